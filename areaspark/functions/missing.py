@@ -45,8 +45,8 @@ def sum_strict_where(condition: Column, col: Column | str) -> Column:
     filter -> group -> pivot (two shuffles) by one shuffle.
     """
     c = F.col(col) if isinstance(col, str) else col
-    hit = F.count(F.when(condition, F.lit(1)))
-    return F.when(hit == F.count(F.when(condition, c)), F.sum(F.when(condition, c)))
+    unknown = F.count(F.when(condition & c.isNull(), F.lit(1)))
+    return F.when(unknown == 0, F.sum(F.when(condition, c)))
 
 
 def if_else(condition: Column, yes, no) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing, numbers, text
+from areaspark.operators.reshape import staged
 
 # --- fixed values -----------------------------------------------------------
 SCHOOL_COLUMNS = ["A", "B", "C", "D", "E", "G", "H", "I", "J", "K", "L", "M"]
@@ -37,19 +38,20 @@ def parse_schools(lines: DataFrame, columns: Sequence[str] = tuple(SCHOOL_COLUMN
     promise = F.coalesce(F.col("B") == PROMISE_WORD, F.lit(False))
     number = F.coalesce(*[numbers.number_text(numbers.parse_number(c)) for c in columns[2:9]])
     middle = F.array(*[F.col(c) for c in columns[2:7]])
-    df = lines.withColumn("Number", F.when(promise, PROMISE_NUMBER).otherwise(number))
+    df = staged(lines, {"Number": F.when(promise, PROMISE_NUMBER).otherwise(number)})
     # tokens before the number; all five when the number is not a token of its own
-    before = F.when(F.array_position(middle, F.col("Number")) > 0, F.array_position(middle, F.col("Number")) - 1).otherwise(
-        F.lit(len(columns[2:7]))
-    )
-    taken = F.slice(middle, F.lit(1), before.cast("int"))
+    df = staged(df, {"at": F.array_position(middle, F.col("Number"))})
+    before = F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.lit(len(columns[2:7])))
+    df = staged(df, {"taken": F.slice(middle, F.lit(1), before.cast("int"))})
+    taken = F.col("taken")
     name = F.when(
         F.col("Number").isNotNull() & ~F.exists(taken, lambda t: t.isNull()),
         F.array_join(F.concat(F.array(F.coalesce("A", F.lit("NA")), F.coalesce("B", F.lit("NA"))), taken), " "),
     )
-    df = df.withColumn("Name", name).withColumn("line", text.paste(*columns))
-    rest = text.remove_first_of(text.remove_first_of("line", "Name"), "Number")
-    df = df.withColumn("rest", F.split(text.trim_space(rest), ",", -1))
+    df = staged(df, {"Name": name, "line": text.paste(*columns)})
+    df = staged(df, {"line": text.remove_first_of("line", "Name")})
+    df = staged(df, {"line": text.remove_first_of("line", "Number")})
+    df = staged(df, {"rest": F.split(text.trim_space("line"), ",", -1)})
     tail = text.trim_space(F.get("rest", F.lit(2)))
     name = F.col("Name")
     for word, full in SCHOOL_RENAMES.items():
@@ -83,25 +85,27 @@ def _first_with_comma(candidates: Sequence[Column]) -> Column:
 def parse_pharmacies(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
     """Name, address, city and state from "name - … - CITY, ST - address" texts."""
     top = text.split_columns(column, "-", ["p0", "p1", "p2"], merge=True)
-    df = df.withColumns(top)
+    df = staged(df, top)
     second = missing.if_else(F.col("p1") == "", F.col("p2"), F.col("p1"))
-    df = df.withColumn("second", second)
+    df = staged(df, {"second": second})
     block = text.trim_space(missing.if_else(F.col("second").contains(","), F.col("second"), F.col("p2")))
-    df = df.withColumn("block", block)
-    df = df.withColumns(text.split_columns("block", "-", ["c0", "c1", "c2", "c3"], merge=True))
+    df = staged(df, {"block": block})
+    df = staged(df, text.split_columns("block", "-", ["c0", "c1", "c2", "c3"], merge=True))
     place = _first_with_comma([F.col("c0"), text.trim_space("c1"), text.trim_space("c2")])
-    df = df.withColumn("place", place).where(F.col("place").isNotNull())
+    df = staged(df, {"place": place}).where(F.col("place").isNotNull())
     parts = F.split("place", ",", -1)
-    df = df.withColumns(
+    df = staged(
+        df,
         {
             "City": F.get(parts, F.lit(0)),
             "State": text.trim_space(F.coalesce(*[F.get(parts, F.lit(i)) for i in (3, 2, 1)])),
-        }
+            "unit": text.trim_space(text.before_any("c2", ROOM_WORDS)),
+        },
     ).where(F.col("State").isin(PHARMACY_STATES))
     last = text.before_any(
         F.when(F.col("c3").contains(NO_ELECTRONIC), None).otherwise(text.trim_space("c3")), [","]
     )
-    unit = text.trim_space(text.before_any("c2", ROOM_WORDS))
+    unit = F.col("unit")
     numbered = missing.is_in(text.prefix(unit, 1), [str(i) for i in range(1, 10)])
     street = F.when(numbered & (F.length(unit) >= 4), unit)
     joined = F.when(numbered | unit.isNull(), F.col("c1")).otherwise(text.paste("c1", unit))
@@ -118,28 +122,28 @@ def parse_pharmacies(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
 
 def parse_pharmacies_earlier(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
     """Earlier variant: the address is the first part that starts with its own number."""
-    df = df.withColumns(text.split_columns(column, "-", ["p0", "p1", "p2"], merge=True))
-    df = df.withColumns(text.split_columns("p2", "--", ["n3", "n4", "n5"], merge=True))
-    df = df.withColumn("second", missing.if_else(F.col("p1") == "", F.col("n3"), F.col("p1")))
+    df = staged(df, text.split_columns(column, "-", ["p0", "p1", "p2"], merge=True))
+    df = staged(df, text.split_columns("p2", "--", ["n3", "n4", "n5"], merge=True))
+    df = staged(df, {"second": missing.if_else(F.col("p1") == "", F.col("n3"), F.col("p1"))})
     block = text.trim_space(missing.if_else(F.col("second").contains(","), F.col("second"), F.col("n3")))
-    df = df.withColumn("block", block)
-    df = df.withColumns(text.split_columns("block", "-", [f"c{i}" for i in range(5)]))
+    df = staged(df, {"block": block})
+    df = staged(df, text.split_columns("block", "-", [f"c{i}" for i in range(5)]))
     place = _first_with_comma(
         [text.trim_space("c0"), text.trim_space("c1"), F.col("c2"), F.col("c3"), F.col("c4")]
     )
-    df = df.withColumn("place", place).where(F.col("place").isNotNull())
-    df = df.withColumns(
-        {"City": text.piece("place", ",", 0), "State": text.trim_space(text.piece("place", ",", 1))}
+    df = staged(df, {"place": place}).where(F.col("place").isNotNull())
+    df = staged(
+        df, {"City": text.piece("place", ",", 0), "State": text.trim_space(text.piece("place", ",", 1))}
     ).where(F.col("State").isin(PHARMACY_STATES))
 
     def numbered(c: Column) -> Column:
         return c.startswith(numbers.number_text(numbers.parse_number(c)))
 
-    df = df.withColumn("a", text.trim_space(text.piece("n3", " AT ", 0)))
+    df = staged(df, {"a": text.trim_space(text.piece("n3", " AT ", 0))})
     # each step falls back to the next part; an unnumbered first fallback asks the city block
-    df = df.withColumn("a", missing.if_else(numbered(F.col("a")), F.col("a"), text.trim_space("n4")))
-    df = df.withColumn("a", F.when(numbered(F.col("a")).isNull(), text.trim_space("c1")).otherwise(F.col("a")))
-    df = df.withColumn("a", missing.if_else(numbered(F.col("a")), F.col("a"), text.trim_space("c2")))
+    df = staged(df, {"a": missing.if_else(numbered(F.col("a")), F.col("a"), text.trim_space("n4"))})
+    df = staged(df, {"a": F.when(numbered(F.col("a")).isNull(), text.trim_space("c1")).otherwise(F.col("a"))})
+    df = staged(df, {"a": missing.if_else(numbered(F.col("a")), F.col("a"), text.trim_space("c2"))})
     return df.where(numbered(F.col("a"))).select(
         "pharmacy_id", F.col("p0").alias("name"), F.col("a").alias("Address"), "City", "State"
     )

@@ -67,6 +67,18 @@ def across(
     return df.withColumns({c: fn(F.col(c)) for c in columns})
 
 
+def staged(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns as a stage of their own.
+
+    Later expressions and filters then refer to the values. Without the stage the
+    optimizer writes every formula out again wherever its result is used, and a
+    chain of parsing steps grows exponentially.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Names from ``first`` to ``last`` in column order."""
     cols = df.columns

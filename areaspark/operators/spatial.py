@@ -141,7 +141,8 @@ def dissolve(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     An edge used by two members of a group is interior and cancels. Needs
     neighbours whose shared borders have the same corners.
     """
-    a, b = F.struct("x1", "y1"), F.struct("x2", "y2")
+    a = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    b = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     side = edges.select(*keys, *EDGE, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     left = side.groupBy(*keys, "a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*EDGE)).alias("e")

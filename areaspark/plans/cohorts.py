@@ -138,7 +138,11 @@ def flag_conditions(encounters: DataFrame, exceptions: DataFrame, strict: bool =
 
 
 def at_located_points(rows: DataFrame, located: DataFrame) -> DataFrame:
-    """Bring the areas of located points back to the rows with the same X and Y."""
+    """Bring the areas of located points back to the rows with the same X and Y.
+
+    A ``county`` text of the row's own gives way to the located County.
+    """
+    rows = rows.drop("county")
     return joins.lookup_join(rows.where("X is not null and Y is not null"), located, ["X", "Y"])
 
 

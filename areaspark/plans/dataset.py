@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from areaspark.functions import missing
 from areaspark.operators import joins
+from areaspark.plans import cohorts
 
 AREA = ["County", "Municipality", "Neighborhood"]
 
@@ -74,13 +75,16 @@ def final_dataset(
     hospital: DataFrame,
     children: DataFrame,
     income: DataFrame,
+    city: str,
 ) -> DataFrame:
     """Assemble, name, rate, order and round the dataset.
 
     Areas come from the themes and the index (inner); the other parts are
-    optional. Children are known only for areas that have hospital rows.
+    optional. Children are given for areas with hospital rows and for the whole
+    city; the hospital's own columns stay empty on the city row.
     """
-    served = joins.null_safe_join(children, hospital.select(*AREA), AREA, "left_semi")
+    with_city = cohorts.with_city_total(hospital, city).select(*AREA)
+    served = joins.null_safe_join(children, with_city, AREA, "left_semi")
     wide = joins.assemble_wide(
         [
             (themes, "inner"),

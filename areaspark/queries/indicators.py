@@ -68,6 +68,11 @@ def hub(t: Tables) -> DataFrame:
     )
 
 
+def kept_hub(t: Tables) -> DataFrame:
+    """The hub for queries that read it more than once."""
+    return t.kept("hub", lambda: hub(t))
+
+
 @query("merge_split_places", f"SELECT County, Municipality, variable, round({strict('estimate')}, 6) AS estimate FROM ox_named_muni GROUP BY ALL")
 def _(t: Tables):
     sums = t.px_muni_rows.groupBy("NAME", "variable").agg(missing.sum_strict("estimate").alias("estimate"))
@@ -306,7 +311,7 @@ view(
 
 
 def assistance(t: Tables) -> DataFrame:
-    return themes.assistance(hub(t), interpolated(t))
+    return themes.assistance(kept_hub(t), interpolated(t))
 
 
 @query("theme_assistance", f"SELECT {KEYS}, round(PopHH, 4) AS PopHH, round(TotalAssistance, 4) AS TotalAssistance, {_r('AssistancePct')} FROM ox_assist")
@@ -413,7 +418,7 @@ def place_pops(t: Tables) -> DataFrame:
 
 @query("deprivation_rollup", f"SELECT State, County, {_r('DeprivationIndex')} FROM ox_di_rolled")
 def _(t: Tables):
-    places = deprivation.place_index(t.px_tract, crosswalk(t), t.px_index, OVERRIDES, with_state=True)
+    places = rolled_places(t)
     return r6(deprivation.rollup_index(places, place_pops(t)), "DeprivationIndex")
 
 
@@ -435,7 +440,7 @@ _RACES = ["White", "Black", "Hispanic"]
 
 
 def race_rates(t: Tables) -> DataFrame:
-    return benchmark.compare_rates(themes.theme_wide(hub(t), "race"), AREA, _RACES, "PopPopulation", OWN)
+    return benchmark.compare_rates(t.kept("race", lambda: themes.theme_wide(hub(t), "race")), AREA, _RACES, "PopPopulation", OWN)
 
 
 _RACE_SQL = bench_sql("ox_race", _RACES, {r: f"Total{r}" for r in _RACES}, "PopPopulation")
@@ -451,7 +456,7 @@ def _(t: Tables):
     f"{bench_sql('ox_hh', _HHK, {k: f'Total{k}' for k in _HHK}, 'PopHH')} SELECT {KEYS}, name, round({_SHADE}, 6) AS Shade, round({_TEXTLOC}, 6) AS Textloc FROM b",
 )
 def _(t: Tables):
-    out = benchmark.compare_rates(themes.theme_wide(hub(t), "households"), AREA, _HHK, "PopHH", OWN)
+    out = benchmark.compare_rates(t.kept("households", lambda: themes.theme_wide(hub(t), "households")), AREA, _HHK, "PopHH", OWN)
     return r6(out.select(*AREA, "name", "Shade", "Textloc"), "Shade", "Textloc")
 
 
@@ -465,14 +470,14 @@ def zscore_sql(values: str, variable: str) -> str:
 
 
 def weights(t: Tables, variable: str) -> DataFrame:
-    return hub(t).where(F.col("variable") == variable)
+    return kept_hub(t).where(F.col("variable") == variable)
 
 
 _POV = f"SELECT {KEYS}, TotalPoverty / nullif(PopPoverty, 0) AS value {join_pops('ox_dep')}"
 
 
 def poverty(t: Tables) -> DataFrame:
-    return themes.theme_wide(hub(t), "deprivation").select(*AREA, F.col("RatePoverty").alias("value"))
+    return themes.theme_wide(kept_hub(t), "deprivation").select(*AREA, F.col("RatePoverty").alias("value"))
 
 
 @query(
@@ -481,7 +486,8 @@ def poverty(t: Tables) -> DataFrame:
     round(CASE WHEN Scale > 0.9 THEN Scale - 0.025 ELSE Scale + 0.04 END, 6) AS Textloc FROM s""",
 )
 def _(t: Tables):
-    out = benchmark.zscore_halfscale(poverty(t), weights(t, "B17010_001"), AREA, OWN)
+    values = t.kept("poverty", lambda: poverty(t))
+    out = benchmark.zscore_halfscale(values, weights(t, "B17010_001"), AREA, OWN)
     return r6(out, "value", "Mean", "Min", "Max", "SD", "ZScore", "Scale", "Textloc")
 
 
@@ -494,8 +500,8 @@ _INC = f"SELECT {KEYS}, value FROM ox_income"
     UNION ALL SELECT 'MedianIncome', {KEYS}, round(Scale, 6) FROM ({zscore_sql(_INC, 'B11012_001')} SELECT * FROM s)""",
 )
 def _(t: Tables):
-    pov = benchmark.zscore_halfscale(poverty(t), weights(t, "B17010_001"), AREA, OWN).withColumn("name", F.lit("Poverty"))
-    inc = benchmark.zscore_halfscale(income(t), weights(t, "B11012_001"), AREA, OWN).withColumn("name", F.lit("MedianIncome"))
+    pov = benchmark.zscore_halfscale(t.kept("poverty", lambda: poverty(t)), weights(t, "B17010_001"), AREA, OWN).withColumn("name", F.lit("Poverty"))
+    inc = benchmark.zscore_halfscale(t.kept("income", lambda: income(t)), weights(t, "B11012_001"), AREA, OWN).withColumn("name", F.lit("MedianIncome"))
     both = pov.unionByName(inc)
     shade = benchmark.direction_shade(F.col("Scale"), F.col("name").isin("MedianIncome", "NoHS"))
     return both.select("name", *AREA, F.round(shade, 6).alias("Shade"))
@@ -524,7 +530,7 @@ _VIEW_LIST = "('Nation_0', 'Nation_1', 'Nation_2', 'Nation_3 Township')"
     UNION ALL SELECT 'city', {KEYS}, HoodID FROM ox_areas WHERE Municipality IN {_VIEW_LIST} AND Neighborhood <> 'Nation_0'""",
 )
 def _(t: Tables):
-    muni, city = survey.area_views(survey.areas(hub(t)), CITY)
+    muni, city = survey.area_views(t.kept("areas", lambda: survey.areas(kept_hub(t))), CITY)
     return muni.withColumn("view", F.lit("muni")).unionByName(city.withColumn("view", F.lit("city")))
 
 
@@ -564,7 +570,10 @@ _MEASURES = ["DI", "MedianIncome", "Poverty"]
     {' AND '.join(f'v.{k} IS NOT DISTINCT FROM a.{k}' for k in AREA)}""",
 )
 def _(t: Tables):
-    rows = di(t).withColumn("name", F.lit("DI")).unionByName(income(t).where("value > 50000").withColumn("name", F.lit("MedianIncome")))
+    rows = t.kept(
+        "measures",
+        lambda: di(t).withColumn("name", F.lit("DI")).unionByName(income(t).where("value > 50000").withColumn("name", F.lit("MedianIncome"))),
+    )
     return benchmark.pad_missing_measures(rows, AREA, _MEASURES).select(*AREA, "name", F.round("value", 4).alias("value"))
 
 
@@ -640,11 +649,20 @@ def earlier_wide(t: Tables) -> DataFrame:
     alloc = names.merge_neighbourhoods(t.px_alloc, {})
     city = earlier.city_levels(t.px_bg_rows, alloc, t.px_tract, lookup, CITY)
     muni = earlier.municipality_levels(t.px_muni_rows, lookup, OVERRIDES)
-    county = earlier.county_levels(t.px_county, lookup)
+    county = t.kept("county", lambda: earlier.county_levels(t.px_county, lookup))
     levels = city.unionByName(muni).unionByName(county).unionByName(earlier.metro_level(county))
-    places = deprivation.place_index(t.px_tract, crosswalk(t), t.px_index, OVERRIDES, with_state=True)
+    return earlier.rates_wide(levels, t.kept("index", lambda: earlier_index(t)))
+
+
+def rolled_places(t: Tables) -> DataFrame:
+    return t.kept("places", lambda: deprivation.place_index(t.px_tract, crosswalk(t), t.px_index, OVERRIDES, with_state=True))
+
+
+def earlier_index(t: Tables) -> DataFrame:
+    """Deprivation index of all four levels."""
+    places = rolled_places(t)
     none = F.lit(None).cast("string")
-    index = (
+    return (
         deprivation.city_index(t.px_bg_rows, t.px_alloc, t.px_index, CITY, MERGES)
         .select(F.lit(CITY.state).alias("State"), *AREA, F.col("value").alias("DeprivationIndex"))
         .unionByName(places.select("State", "County", "Municipality", none.alias("Neighborhood"), F.col("value").alias("DeprivationIndex")))
@@ -654,7 +672,6 @@ def earlier_wide(t: Tables) -> DataFrame:
             )
         )
     )
-    return earlier.rates_wide(levels, index)
 
 
 @query(
@@ -677,7 +694,7 @@ _LM = ["WhiteRate", "BlackRate", "PovertyRate", "MedianHHIncome", "DeprivationIn
 
 
 def labelled(t: Tables) -> DataFrame:
-    rows = earlier_wide(t).withColumns({k: F.coalesce(k, F.lit("All")) for k in ("Municipality", "Neighborhood")})
+    rows = t.kept("earlier", lambda: earlier_wide(t)).withColumns({k: F.coalesce(k, F.lit("All")) for k in ("Municipality", "Neighborhood")})
     return benchmark.level_and_label(rows)
 
 

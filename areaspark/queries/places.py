@@ -59,7 +59,7 @@ people.hits("ox_tract_hits", "ox_spots_ambiguous", "ID, X, Y", "px_edges_tract",
     JOIN (SELECT DISTINCT ID, GEOID FROM ox_tract_hits) t ON t.ID = a.ID AND t.GEOID = c.GEOID""",
 )
 def _(t: Tables):
-    placed = spatial.points_in_polygons(t.px_points, t.px_edges_muni, MUNI)
+    placed = t.kept("placed", lambda: spatial.points_in_polygons(t.px_points, t.px_edges_muni, MUNI))
     several = placed.groupBy("ID").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ID")
     state = (
         F.when(F.col("County").isin("AFRICA", "AMERICA"), "Ohio").when(F.col("County").isin("ASIA", "EUROPE"), "Kentucky").otherwise("Indiana")
@@ -136,7 +136,7 @@ def _(t: Tables):
     )
     munis = t.px_edges_muni.select(*MUNI, F.col("Municipality").alias("Neighborhood"), *spatial.EDGE)
     tiers = indicators.di(t).select(*AREA, benchmark.tier(F.col("value")).alias("Tier"))
-    out = locate.area_dimension(survey.areas(indicators.hub(t)), tiers, hoods.unionByName(munis), AREA)
+    out = locate.area_dimension(survey.areas(indicators.kept_hub(t)), tiers, hoods.unionByName(munis), AREA)
     return r6(out, "X", "Y").select(*AREA, "HoodID", "Tier", "X", "Y")
 
 
@@ -166,8 +166,8 @@ _NUM = "nullif(regexp_extract({0}, '[0-9]+'), '')"
 _W = [f"w[{i}]" for i in range(1, 13)]
 _SCHOOL = f"""WITH l AS (SELECT value, string_split(value, ' ') AS w FROM px_school_lines),
     n AS (SELECT *, CASE WHEN w[2] = 'Promise' THEN '5425' ELSE coalesce({', '.join(_NUM.format(c) for c in _W[2:9])}) END AS num FROM l),
-    p AS (SELECT *, coalesce(list_position(w[3:7], num), 0) AS at FROM n),
-    m AS (SELECT *, CASE WHEN num IS NULL OR (at = 0 AND len(w) < 7) THEN NULL ELSE array_to_string(w[1:CASE WHEN at = 0 THEN 7 ELSE 1 + at END], ' ') END AS nm,
+    p AS (SELECT *, coalesce(list_position(w[3:7], num), 0) AS pos FROM n),
+    m AS (SELECT *, CASE WHEN num IS NULL OR (pos = 0 AND len(w) < 7) THEN NULL ELSE array_to_string(w[1:CASE WHEN pos = 0 THEN 7 ELSE 1 + pos END], ' ') END AS nm,
       array_to_string([{', '.join(f"coalesce({c}, 'NA')" for c in _W)}], ' ') AS combo FROM p),
     c AS (SELECT *, trim(CASE WHEN instr(rest1, num) > 0 THEN substring(rest1, 1, CAST(instr(rest1, num) AS BIGINT) - 1) || substring(rest1, CAST(instr(rest1, num) + length(num) AS BIGINT)) ELSE rest1 END) AS rest FROM
       (SELECT *, CASE WHEN instr(combo, nm) > 0 THEN substring(combo, 1, CAST(instr(combo, nm) AS BIGINT) - 1) || substring(combo, CAST(instr(combo, nm) + length(nm) AS BIGINT)) ELSE combo END AS rest1 FROM m)),

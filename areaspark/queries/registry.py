@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from areaspark import session
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -43,6 +45,13 @@ class Tables:
             self._frames[name] = frame
         return self._frames[name]
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """An intermediate used by several branches of one query, written once."""
+        key = f"_kept_{name}"
+        if key not in self._frames:
+            self._frames[key] = session.keep(make(), name)
+        return self._frames[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose FROM/JOIN names are driver tables or shapes."""
         used: dict[str, DataFrame] = {}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "areaspark", **conf: str) -> SparkSession:
@@ -39,3 +39,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="areaspark-")
     return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several branches use, and read it back.
+
+    It is computed once instead of once per branch, survives lost executors, and
+    later plans start from a file scan with known size.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
