@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing
@@ -14,7 +14,11 @@ from areaspark.queries.shapes import CITY, COUNTY_STATES, MERGES, OVERRIDES
 
 AREA = survey.AREA
 KEYS = "County, Municipality, Neighborhood"
-OWN = F.col("Municipality") == F.col("Neighborhood")
+
+
+def own_row() -> Column:
+    """Rows of whole municipalities."""
+    return F.col("Municipality") == F.col("Neighborhood")
 
 
 def strict(expr: str, agg: str = "sum") -> str:
@@ -440,7 +444,7 @@ _RACES = ["White", "Black", "Hispanic"]
 
 
 def race_rates(t: Tables) -> DataFrame:
-    return benchmark.compare_rates(t.kept("race", lambda: themes.theme_wide(hub(t), "race")), AREA, _RACES, "PopPopulation", OWN)
+    return benchmark.compare_rates(t.kept("race", lambda: themes.theme_wide(hub(t), "race")), AREA, _RACES, "PopPopulation", own_row())
 
 
 _RACE_SQL = bench_sql("ox_race", _RACES, {r: f"Total{r}" for r in _RACES}, "PopPopulation")
@@ -456,7 +460,7 @@ def _(t: Tables):
     f"{bench_sql('ox_hh', _HHK, {k: f'Total{k}' for k in _HHK}, 'PopHH')} SELECT {KEYS}, name, round({_SHADE}, 6) AS Shade, round({_TEXTLOC}, 6) AS Textloc FROM b",
 )
 def _(t: Tables):
-    out = benchmark.compare_rates(t.kept("households", lambda: themes.theme_wide(hub(t), "households")), AREA, _HHK, "PopHH", OWN)
+    out = benchmark.compare_rates(t.kept("households", lambda: themes.theme_wide(hub(t), "households")), AREA, _HHK, "PopHH", own_row())
     return r6(out.select(*AREA, "name", "Shade", "Textloc"), "Shade", "Textloc")
 
 
@@ -487,7 +491,7 @@ def poverty(t: Tables) -> DataFrame:
 )
 def _(t: Tables):
     values = t.kept("poverty", lambda: poverty(t))
-    out = benchmark.zscore_halfscale(values, weights(t, "B17010_001"), AREA, OWN)
+    out = benchmark.zscore_halfscale(values, weights(t, "B17010_001"), AREA, own_row())
     return r6(out, "value", "Mean", "Min", "Max", "SD", "ZScore", "Scale", "Textloc")
 
 
@@ -500,8 +504,8 @@ _INC = f"SELECT {KEYS}, value FROM ox_income"
     UNION ALL SELECT 'MedianIncome', {KEYS}, round(Scale, 6) FROM ({zscore_sql(_INC, 'B11012_001')} SELECT * FROM s)""",
 )
 def _(t: Tables):
-    pov = benchmark.zscore_halfscale(t.kept("poverty", lambda: poverty(t)), weights(t, "B17010_001"), AREA, OWN).withColumn("name", F.lit("Poverty"))
-    inc = benchmark.zscore_halfscale(t.kept("income", lambda: income(t)), weights(t, "B11012_001"), AREA, OWN).withColumn("name", F.lit("MedianIncome"))
+    pov = benchmark.zscore_halfscale(t.kept("poverty", lambda: poverty(t)), weights(t, "B17010_001"), AREA, own_row()).withColumn("name", F.lit("Poverty"))
+    inc = benchmark.zscore_halfscale(t.kept("income", lambda: income(t)), weights(t, "B11012_001"), AREA, own_row()).withColumn("name", F.lit("MedianIncome"))
     both = pov.unionByName(inc)
     shade = benchmark.direction_shade(F.col("Scale"), F.col("name").isin("MedianIncome", "NoHS"))
     return both.select("name", *AREA, F.round(shade, 6).alias("Shade"))
