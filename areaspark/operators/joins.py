@@ -95,7 +95,7 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str] | Mapping[str, str],
     how: str = "inner",
-    salts: int = 16,
+    salts: int = 8,
 ) -> DataFrame:
     """Join a large left side to a lookup, safe when one key holds much of the left.
 
@@ -128,7 +128,7 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def flag_exists(
-    df: DataFrame, other: DataFrame, on: Sequence[str], flag: str, salts: int = 16
+    df: DataFrame, other: DataFrame, on: Sequence[str], flag: str, salts: int = 8
 ) -> DataFrame:
     """1 when the key occurs in ``other``, else 0; never multiplies rows."""
     keys = other.select(*on).distinct().withColumn(flag, F.lit(1))
@@ -145,13 +145,14 @@ def join_valid_time(
     end: str,
     first: str,
     last: str,
+    salts: int = 4,
 ) -> DataFrame:
     """Join each event to the history rows whose half-open period holds it.
 
     ``first``/``last`` bound the event window (inclusive dates). Periods are cut
     to the window and spread over its months, and the month joins as an equality
-    key: a subject with very many events is split by month, and an open period
-    costs at most one copy per month of the window.
+    key: an open period costs at most one copy per month of the window. A subject
+    with very many events is split by month and by ``salts``.
     """
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     windowed = events.where(
@@ -167,7 +168,7 @@ def join_valid_time(
             F.explode(F.sequence(F.trunc(from_, "month"), F.trunc(to, "month"), F.expr("interval 1 month"))),
         )
     )
-    joined = null_safe_join(windowed, spread, [*on, "__month"])
+    joined = lookup_join(windowed, spread, [*on, "__month"], "inner", salts)
     return joined.where(
         (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     ).drop("__month")

@@ -17,7 +17,7 @@ from areaspark.operators import joins
 
 
 def with_group_values(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], salts: int = 16
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], salts: int = 8
 ) -> DataFrame:
     """Add aggregates of each row's group to the row."""
     per_group = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
@@ -25,8 +25,20 @@ def with_group_values(
 
 
 def with_group_total(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, strict: bool = True
+    df: DataFrame, keys: Sequence[str], value: str, name: str, strict: bool = True, bounded: bool = False
 ) -> DataFrame:
+    """Total of each row's group.
+
+    ``bounded``: the groups have a small known size, because the rows are already
+    aggregated to a few per group. Then a window does it in one shuffle, without
+    computing the input twice.
+    """
+    if bounded:
+        group = Window.partitionBy(*keys)
+        total = F.sum(value).over(group)
+        if strict:
+            total = F.when(F.count(value).over(group) == F.count(F.lit(1)).over(group), total)
+        return df.withColumn(name, total)
     total = missing.sum_strict(value) if strict else F.sum(value)
     return with_group_values(df, keys, {name: total})
 

@@ -111,7 +111,7 @@ def exception_encounters(account_dx: DataFrame, dx_code: DataFrame, account_enco
     accounts = joins.lookup_join(account_dx.select("hsp_account_id", "dx_id"), ids, ["dx_id"], "left_semi").select(
         "hsp_account_id"
     ).distinct()
-    return joins.null_safe_join(
+    return joins.lookup_join(
         account_encounter.select("hsp_account_id", "pat_enc_csn_id"), accounts, ["hsp_account_id"], "left_semi"
     ).select("pat_enc_csn_id").distinct()
 
@@ -127,7 +127,7 @@ def flag_conditions(encounters: DataFrame, exceptions: DataFrame, strict: bool =
     mental = missing.is_in("department_id", MENTAL_HEALTH_DEPARTMENTS) | prefixed
     if not strict:
         mental = F.coalesce(mental, F.lit(False))
-    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException")
+    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException", salts=1)
     return flagged.withColumns(
         {
             "Asthma": (missing.is_in(dx, ASTHMA_CODES) & (F.col("AsthmaException") == 0)).cast("int"),

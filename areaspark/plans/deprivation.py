@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing, text
-from areaspark.operators import joins, names, windows
+from areaspark.operators import joins, names
 from areaspark.plans import catalog
 from areaspark.plans.survey import City
 
@@ -28,11 +28,20 @@ def city_index(
         .groupBy(text.prefix("GEOID", 11).alias("census_tract_fips"), "Municipality", "Neighborhood")
         .agg(F.sum(F.col("estimate") * F.col("Allocation")).alias("Population"))
     )
-    shared = windows.with_share(tracts, ["Municipality", "Neighborhood"], "Population", "TractWeight")
-    joined = joins.null_safe_join(shared, index, ["census_tract_fips"])
+    # sum(pop / all_pop * index) = sum(pop * index) / all_pop: one pass, tracts
+    # without an index count in the divisor only
+    joined = joins.null_safe_join(tracts, index.withColumn("known", F.lit(True)), ["census_tract_fips"], "left")
+    known = F.col("known").isNotNull()
     return (
         joined.groupBy("Municipality", "Neighborhood")
-        .agg(missing.sum_strict(F.col("TractWeight") * F.col("dep_index")).alias("value"))
+        .agg(
+            missing.ratio(
+                missing.sum_strict_where(known, F.col("Population") * F.col("dep_index")),
+                missing.sum_strict("Population"),
+            ).alias("value"),
+            F.max(known).alias("known"),
+        )
+        .where("known")
         .select(F.lit(city.county).alias("County"), "Municipality", "Neighborhood", "value")
     )
 

@@ -152,7 +152,8 @@ def household_shares(
         .groupBy("TractID", "Municipality", "Neighborhood")
         .agg(F.sum(F.col("estimate") * F.col("Allocation")).alias("HoodTractHH"))
     )
-    out = windows.with_group_total(parts, ["TractID"], "HoodTractHH", "TractHH")
+    # at most one row per neighbourhood of a tract
+    out = windows.with_group_total(parts, ["TractID"], "HoodTractHH", "TractHH", bounded=True)
     return (
         out.where(F.col("Municipality") == city.name)
         .withColumn("Allocation", missing.ratio("HoodTractHH", "TractHH"))

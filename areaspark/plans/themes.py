@@ -155,7 +155,8 @@ def age_gender(hub: DataFrame) -> DataFrame:
         .groupBy(*AREA, "Gender", "Age")
         .agg(missing.sum_strict("estimate").alias("Population"))
     )
-    out = windows.with_group_total(rows, AREA, "Population", "Total")
+    # at most one row per gender and age band of an area
+    out = windows.with_group_total(rows, AREA, "Population", "Total", bounded=True)
     return out.withColumn(
         "Pct", F.bround(missing.ratio(F.col("Population") * 100, "Total"), 1)
     ).select(*AREA, "Gender", "Age", "Population", "Pct")

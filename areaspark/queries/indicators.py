@@ -654,7 +654,9 @@ def earlier_wide(t: Tables) -> DataFrame:
     city = earlier.city_levels(t.px_bg_rows, alloc, t.px_tract, lookup, CITY)
     muni = earlier.municipality_levels(t.px_muni_rows, lookup, OVERRIDES)
     county = t.kept("county", lambda: earlier.county_levels(t.px_county, lookup))
-    levels = city.unionByName(muni).unionByName(county).unionByName(earlier.metro_level(county))
+    levels = t.kept(
+        "levels", lambda: city.unionByName(muni).unionByName(county).unionByName(earlier.metro_level(county))
+    )
     return earlier.rates_wide(levels, t.kept("index", lambda: earlier_index(t)))
 
 
