@@ -17,7 +17,7 @@ ADDRESS = ["add_line_1", "add_line_2", "city", "state", "zip"]
 
 # --- fixed values -----------------------------------------------------------
 STATES = ["Ohio", "Kentucky", "Indiana"]
-UNUSABLE_FLAGS = ["foster", "rmh", "pobox", "cchmc", "stjoe", "unknown_address", "foreign_address"]
+UNUSABLE_FLAGS = ["foster", "rmh", "pobox", "own_site", "stjoe", "unknown_address", "foreign_address"]
 HOSPITAL_LINE = "%222 E%"
 ASTHMA_CODES = [
     "J45.21", "J45.22", "J45.31", "J45.32", "J45.41", "J45.42", "J45.51", "J45.52", "J45.901", "J45.902",
@@ -63,6 +63,7 @@ def registry_cohort(
     max_age: float | None = 18,
     inclusive: bool = True,
     divisor: float = dates.DAYS_PER_YEAR,
+    flags: Sequence[str] = tuple(UNUSABLE_FLAGS),
 ) -> DataFrame:
     """Active members of the wanted registries at a usable address, up to an age."""
     wanted = config.where(registries).select("registry_id", "registry_name")
@@ -80,12 +81,17 @@ def registry_cohort(
     if max_age is not None:
         age = dates.age_years("birth_date", as_of, divisor)
         people = people.where(age <= max_age if inclusive else age < max_age)
-    usable = cache.where(usable_address() & F.col("state").isin(STATES))
+    usable = cache.where(usable_address(flags) & F.col("state").isin(STATES)).select(*ADDRESS, "X", "Y")
     return with_geocode(joins.null_safe_join(enrolled, people, ["pat_id"]), usable).distinct()
 
 
 def admission_cohort(
-    encounter: DataFrame, history: DataFrame, cache: DataFrame, first: str, last: str
+    encounter: DataFrame,
+    history: DataFrame,
+    cache: DataFrame,
+    first: str,
+    last: str,
+    flags: Sequence[str] = tuple(UNUSABLE_FLAGS),
 ) -> DataFrame:
     """Encounters of a time window with the address valid at admission.
 
@@ -95,7 +101,7 @@ def admission_cohort(
     joined = joins.join_valid_time(
         encounter, there, ["pat_id"], "hosp_admsn_time", "eff_start_date", "eff_end_date", first, last
     )
-    located = with_geocode(joined, cache.where(usable_address()))
+    located = with_geocode(joined, cache.where(usable_address(flags)).select(*ADDRESS, "X", "Y"))
     return located.withColumn("contact_date", F.col("hosp_admsn_time").cast("date")).drop(
         "hosp_admsn_time", "eff_start_date", "eff_end_date"
     ).distinct()

@@ -91,7 +91,7 @@ def _(t: Tables):
 _PARTS = ["add_line_1", "add_line_2", "city", "state", "zip"]
 view(
     "ox_cached",
-    "SELECT p.*, g.\"X\", g.\"Y\", g.foster, g.rmh, g.pobox, g.cchmc, g.stjoe, g.unknown_address, g.foreign_address FROM px_patient p JOIN px_cache g ON "
+    "SELECT p.*, g.\"X\", g.\"Y\", g.foster, g.rmh, g.pobox, g.own_site, g.stjoe, g.unknown_address, g.foreign_address FROM px_patient p JOIN px_cache g ON "
     + " AND ".join(f"p.{c} IS NOT DISTINCT FROM g.{c}" for c in _PARTS),
 )
 

@@ -31,11 +31,16 @@ def _(t: Tables):
 
 @query(
     "spatial_join_poly_left",
-    """SELECT e.County, e.Municipality, h.ID FROM (SELECT DISTINCT County, Municipality FROM px_edges_muni) e LEFT JOIN
-    (SELECT * FROM ox_point_hits WHERE X < 3) h ON e.County = h.County AND e.Municipality = h.Municipality""",
+    """SELECT e.County, e.Municipality, h.ID FROM (SELECT DISTINCT County, Municipality FROM px_edges_muni UNION ALL SELECT 'FAR', 'Empty') e
+    LEFT JOIN ox_point_hits h ON e.County = h.County AND e.Municipality = h.Municipality""",
 )
 def _(t: Tables):
-    return spatial.polygons_with_points(t.px_points.where("X < 3"), t.px_edges_muni, MUNI).select(*MUNI, "ID")
+    # one more polygon that no point falls into
+    empty = t.px_edges_muni.where("Municipality = 'Overlap'").select(
+        F.lit("FAR").alias("County"), F.lit("Empty").alias("Municipality"), *[(F.col(c) + 50).alias(c) for c in spatial.EDGE]
+    )
+    edges = t.px_edges_muni.unionByName(empty)
+    return spatial.polygons_with_points(t.px_points, edges, MUNI).select(*MUNI, "ID")
 
 
 @query("spatial_ambiguity_drop", "SELECT ID, min(County) AS County, min(Municipality) AS Municipality FROM ox_point_hits GROUP BY ID HAVING count(*) = 1")
@@ -141,11 +146,11 @@ def _(t: Tables):
 
 
 _PLACES = """SELECT c_name AS Name, CASE WHEN c_custkey % 2 = 0 THEN 'School' ELSE 'Pharmacy' END AS Type,
-    CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE ((c_custkey * 7919) % 1000) / 200 END AS X, ((c_custkey * 104729) % 1000) / 200 AS Y, c_mktsegment AS Address FROM customer"""
+    CASE WHEN c_acctbal < 0 THEN NULL ELSE ((c_custkey * 7919) % 1000) / 200 END AS X, ((c_custkey * 104729) % 1000) / 200 AS Y, c_mktsegment AS Address FROM customer"""
 view(
     "ox_places",
     """SELECT c_name AS Name, CASE WHEN c_custkey % 2 = 0 THEN 'School' ELSE 'Pharmacy' END AS Type, c_mktsegment AS Address, h.County, h.Municipality
-    FROM customer JOIN ox_point_hits h ON c_custkey = h.ID WHERE c_custkey % 10 <> 9""",
+    FROM customer JOIN ox_point_hits h ON c_custkey = h.ID WHERE c_acctbal >= 0""",
 )
 
 

@@ -153,7 +153,7 @@ shape("px_alloc", f"{_alloc(0, 0.6173)} UNION ALL {_alloc(1, 0.3827)}")
 shape(
     "px_index",
     f"""SELECT (max(s_acctbal) + 1000) / 11000 AS dep_index, {tract_geoid('s_suppkey')} AS census_tract_fips
-    FROM supplier WHERE {tract_no('s_suppkey')} % 7 <> 3 GROUP BY {tract_geoid('s_suppkey')}""",
+    FROM supplier GROUP BY {tract_geoid('s_suppkey')} HAVING max(s_acctbal) >= 7000""",
 )
 
 
@@ -183,9 +183,9 @@ shape(
       CASE WHEN k % 5 = 4 THEN NULL ELSE ((k * 7919) % 1000) / 200 END AS X,
       CASE WHEN k % 5 = 4 THEN NULL ELSE ((k * 104729) % 1000) / 200 END AS Y,
       CASE WHEN k % 47 = 0 THEN NULL WHEN k % 43 = 0 THEN 1 ELSE 0 END AS foster, 0 AS rmh,
-      CASE WHEN k % 41 = 0 THEN 1 ELSE 0 END AS pobox, 0 AS cchmc, 0 AS stjoe, 0 AS unknown_address, 0 AS foreign_address, 1 AS geocode_attempted
-    FROM (SELECT {listed(address('c_custkey'))}, min(c_custkey) AS k FROM customer
-      GROUP BY {', '.join(address('c_custkey').values())}) a WHERE k % 6 <> 5""",
+      CASE WHEN k % 41 = 0 THEN 1 ELSE 0 END AS pobox, 0 AS own_site, 0 AS stjoe, 0 AS unknown_address, 0 AS foreign_address, 1 AS geocode_attempted
+    FROM (SELECT {listed(address('c_custkey'))}, min(c_custkey) AS k, min(c_mktsegment) AS segment FROM customer
+      GROUP BY {', '.join(address('c_custkey').values())}) a WHERE segment <> 'BUILDING'""",
 )
 shape(
     "px_history",

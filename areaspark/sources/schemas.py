@@ -24,7 +24,7 @@ PATIENT = (
 )
 GEOCODE_CACHE = (
     "add_line_1 string, add_line_2 string, city string, state string, zip string, X double, Y double, "
-    "foster int, rmh int, pobox int, cchmc int, stjoe int, unknown_address int, foreign_address int, geocode_attempted int"
+    "foster int, rmh int, pobox int, own_site int, stjoe int, unknown_address int, foreign_address int, geocode_attempted int"
 )
 ENCOUNTER = (
     "pat_enc_csn_id string, pat_id string, birth_date date, hosp_admsn_time timestamp_ntz, disch_icd_1 string, "
