@@ -113,6 +113,37 @@ def lookup_join(
     return out.drop(_SALT)
 
 
+def hot_split_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    salts: int = 64,
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """Join two large sides when a few keys may hold much of the left one.
+
+    Keys with more than ``hot_rows`` rows on the left are counted first, a pass
+    that reads the key columns only. Their rows are spread over ``salts`` tasks
+    and only their right rows are copied; all other keys join as they are. Use it
+    where the left side is cheap to read twice.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("a split join keeps left rows only")
+    # fewer keys than left rows / hot_rows: small enough to send to every task
+    hot = F.broadcast(
+        left.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > hot_rows)
+        .select(*on, F.lit(True).alias("__hot"))
+    )
+    marked = with_salt(null_safe_join(left, hot, on, "left"), salts)
+    marked = marked.withColumn(_SALT, F.when(F.col("__hot"), F.col(_SALT)).otherwise(F.lit(0))).drop("__hot")
+    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
+    spread = null_safe_join(right, hot, on, "left").withColumn(_SALT, F.explode(copies)).drop("__hot")
+    return null_safe_join(marked, spread, [*on, _SALT], how).drop(_SALT)
+
+
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Every column of a one-row frame on every row.
 
@@ -145,14 +176,14 @@ def join_valid_time(
     end: str,
     first: str,
     last: str,
-    salts: int = 4,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Join each event to the history rows whose half-open period holds it.
 
     ``first``/``last`` bound the event window (inclusive dates). Periods are cut
     to the window and spread over its months, and the month joins as an equality
     key: an open period costs at most one copy per month of the window. A subject
-    with very many events is split by month and by ``salts``.
+    with very many events is split by month, and within a month if need be.
     """
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     windowed = events.where(
@@ -168,7 +199,7 @@ def join_valid_time(
             F.explode(F.sequence(F.trunc(from_, "month"), F.trunc(to, "month"), F.expr("interval 1 month"))),
         )
     )
-    joined = lookup_join(windowed, spread, [*on, "__month"], "inner", salts)
+    joined = hot_split_join(windowed, spread, [*on, "__month"], hot_rows=hot_rows)
     return joined.where(
         (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     ).drop("__month")

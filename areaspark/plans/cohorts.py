@@ -97,12 +97,13 @@ def admission_cohort(
 
     ``history`` names its address parts as the cache does.
     """
-    there = history.where(F.col("state").isin(STATES))
+    # locate the addresses first: fewer rows than encounters, and unusable ones drop early
+    usable = cache.where(usable_address(flags)).select(*ADDRESS, "X", "Y")
+    there = joins.hot_split_join(history.where(F.col("state").isin(STATES)), usable, ADDRESS)
     joined = joins.join_valid_time(
         encounter, there, ["pat_id"], "hosp_admsn_time", "eff_start_date", "eff_end_date", first, last
     )
-    located = with_geocode(joined, cache.where(usable_address(flags)).select(*ADDRESS, "X", "Y"))
-    return located.withColumn("contact_date", F.col("hosp_admsn_time").cast("date")).drop(
+    return joined.withColumn("contact_date", F.col("hosp_admsn_time").cast("date")).drop(
         "hosp_admsn_time", "eff_start_date", "eff_end_date"
     ).distinct()
 

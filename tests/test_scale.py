@@ -42,6 +42,16 @@ def test_lookup_on_a_hot_key(spark, no_broadcast):
     assert joins.lookup_join(df, lookup.where("k = 'hot'"), ["k"], "left_anti").count() == 2000
 
 
+def test_split_join_on_a_hot_key(spark, no_broadcast):
+    df = _hot(spark)
+    other = df.select("k").distinct().select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).where("k <> 'k1'")
+    other = other.unionByName(spark.createDataFrame([(None, 9)], "k string, n int"))
+    df = df.unionByName(df.limit(5).withColumn("k", F.lit(None).cast("string")))
+    for how in ("inner", "left"):
+        split = joins.hot_split_join(df, other, ["k"], how, salts=7, hot_rows=500)
+        assert rows(split) == rows(joins.null_safe_join(df, other, ["k"], how))
+
+
 def test_hot_key_is_spread(spark):
     salted = joins.with_salt(_hot(spark).repartition(4, "k"), 8)
     sizes = [r["count"] for r in salted.where("k = 'k1'").groupBy("__salt").count().collect()]
