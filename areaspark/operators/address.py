@@ -63,18 +63,19 @@ def geocode_cascade(
 ) -> DataFrame:
     """Coordinates from the first provider that knows the place; misses drop out.
 
-    Each provider table has the key, ``lat`` and ``long``. A later provider is
-    only asked for the places the earlier ones missed.
+    Each provider table has the key, ``lat`` and ``long``; each is looked up once
+    and the first known position in provider order is taken.
     """
-    found, todo = [], places
-    for table in providers:
-        known = table.where(F.col(lat).isNotNull()).select(*key, lat, lon).dropDuplicates(list(key))
-        found.append(joins.lookup_join(todo, known, list(key)))
-        todo = joins.lookup_join(todo, known, list(key), "left_anti")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    out = places
+    for i, table in enumerate(providers):
+        known = (
+            table.where(F.col(lat).isNotNull())
+            .dropDuplicates(list(key))
+            .select(*key, F.struct(F.col(lat).alias(lat), F.col(lon).alias(lon)).alias(f"__at{i}"))
+        )
+        out = joins.lookup_join(out, known, list(key), "left")
+    found = F.coalesce(*[F.col(f"__at{i}") for i in range(len(providers))])
+    return out.select(*places.columns, found.alias("__at")).where("__at is not null").select(*places.columns, "__at.*")
 
 
 def roundtrip(ids: DataFrame, original: DataFrame, parts: Sequence[str]) -> DataFrame:

@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaspark.functions import missing
-
 _SALT = "__salt"
 
 
@@ -217,7 +215,3 @@ def assemble_wide(parts: Sequence[tuple[DataFrame, str]], keys: Sequence[str]) -
         fresh = [c for c in frame.columns if c not in keys and c not in out.columns]
         out = null_safe_join(out, frame.select(*keys, *fresh), list(keys), how)
     return out
-
-
-def rows_like(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    return df.where(missing.is_in(column, values))

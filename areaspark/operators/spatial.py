@@ -13,7 +13,7 @@ touch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,10 +117,19 @@ def points_in_polygons(
 
 
 def polygons_with_points(
-    points: DataFrame, edges: DataFrame, keys: Sequence[str], x: str = "X", y: str = "Y", cell: float = 0.25
+    points: DataFrame,
+    edges: DataFrame,
+    keys: Sequence[str],
+    x: str = "X",
+    y: str = "Y",
+    cell: float = 0.25,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Every polygon with its points; a polygon without points has one row of NULLs."""
-    matched = points_in_polygons(points, edges, keys, x, y, cell)
+    """Every polygon with its points; a polygon without points has one row of NULLs.
+
+    The matches are read twice; ``keep`` may write them once.
+    """
+    matched = keep(points_in_polygons(points, edges, keys, x, y, cell))
     empty = joins.null_safe_join(
         edges.select(*keys).distinct(), matched.select(*keys).distinct(), list(keys), "left_anti"
     )

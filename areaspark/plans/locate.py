@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaspark.functions import text
 from areaspark.operators import joins, spatial, windows
 from areaspark.plans.survey import City
 
@@ -31,15 +30,21 @@ def two_stage(
     neighbourhood_edges: DataFrame,
     city: City,
     cell: float = 0.25,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """County, Municipality and Neighborhood of distinct points (X, Y).
 
+    The placed points are read twice (inside and outside the city); ``keep`` may
+    write them once, see :func:`areaspark.session.keep`.
+
     Points in two municipalities are dropped; points in two neighbourhoods are
     kept once for each. Points of the city outside every neighbourhood drop out.
     """
     distinct = points.select("X", "Y").where("X is not null and Y is not null").distinct()
-    placed = unambiguous(
-        spatial.points_in_polygons(distinct, municipality_edges, ["County", "Municipality"], cell=cell), ["X", "Y"]
+    placed = keep(
+        unambiguous(
+            spatial.points_in_polygons(distinct, municipality_edges, ["County", "Municipality"], cell=cell), ["X", "Y"]
+        )
     )
     inside = placed.where(F.col("Municipality") == city.name)
     hoods = spatial.points_in_polygons(inside, neighbourhood_edges, ["Neighborhood"], cell=cell)
@@ -83,15 +88,21 @@ def area_dimension(areas: DataFrame, tiers: DataFrame, outlines: DataFrame, keys
 
 
 def points_in_area(
-    points: DataFrame, municipality_edges: DataFrame, city: City, cell: float = 0.25
+    points: DataFrame,
+    municipality_edges: DataFrame,
+    city: City,
+    cell: float = 0.25,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
     """Located points with their municipality, and the part shown on the city map.
 
     ``points`` has Name, Type, X, Y, Address. The city map shows the city, its
     enclaves and every school.
     """
-    located = spatial.points_in_polygons(
-        points.where("X is not null and Y is not null").distinct(), municipality_edges, ["County", "Municipality"], cell=cell
+    located = keep(
+        spatial.points_in_polygons(
+            points.where("X is not null and Y is not null").distinct(), municipality_edges, ["County", "Municipality"], cell=cell
+        )
     )
     city_map = located.where(
         F.col("Municipality").isin([city.name, *city.enclaves]) | (F.col("Type") == "School")
@@ -102,7 +113,3 @@ def points_in_area(
 def point_key(x: Column | str = "X", y: Column | str = "Y") -> Column:
     """Id of a coordinate pair, for joins that should not compare doubles."""
     return windows.surrogate_id(x, y)
-
-
-def clean_label(col: Column | str) -> Column:
-    return text.trim_space(col)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing
-from areaspark.operators import benchmark, names, ordering
+from areaspark.operators import benchmark, names
 from areaspark.plans import catalog, deprivation, earlier, survey, themes
 from areaspark.queries.registry import Tables, query, view
 from areaspark.queries.scalars import CLEAN_SQL
@@ -765,6 +765,3 @@ def _(t: Tables):
     long, bench = _level_rows(t)
     out = benchmark.compare_levels(benchmark.copy_enclaves(long, CITY.enclaves), bench)
     return out.select("Level", *AREA, "variable", F.round("Scale", 5).alias("Scale"), F.round("Shade", 5).alias("Shade"))
-
-
-assert ordering

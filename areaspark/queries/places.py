@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from areaspark.operators import benchmark, names, placelists, spatial
+from areaspark import session
+from areaspark.operators import benchmark, placelists, spatial
 from areaspark.plans import locate, survey
 from areaspark.queries import indicators, people
 from areaspark.queries.indicators import AREA, KEYS, r6
@@ -40,7 +41,9 @@ def _(t: Tables):
         F.lit("FAR").alias("County"), F.lit("Empty").alias("Municipality"), *[(F.col(c) + 50).alias(c) for c in spatial.EDGE]
     )
     edges = t.px_edges_muni.unionByName(empty)
-    return spatial.polygons_with_points(t.px_points, edges, MUNI).select(*MUNI, "ID")
+    return spatial.polygons_with_points(
+        t.px_points, edges, MUNI, keep=lambda df: session.keep(df, "matched")
+    ).select(*MUNI, "ID")
 
 
 @query("spatial_ambiguity_drop", "SELECT ID, min(County) AS County, min(Municipality) AS Municipality FROM ox_point_hits GROUP BY ID HAVING count(*) = 1")
@@ -160,7 +163,9 @@ view(
     WHERE Municipality IN ('Nation_0', 'Nation_1', 'Nation_2', 'Nation_3 Township') OR Type = 'School'""",
 )
 def _(t: Tables):
-    located, city = locate.points_in_area(t.sql(_PLACES), t.px_edges_muni, CITY)
+    located, city = locate.points_in_area(
+        t.sql(_PLACES), t.px_edges_muni, CITY, keep=lambda df: session.keep(df, "places")
+    )
     cols = ["Name", "Type", "Address", *MUNI]
     return located.select(F.lit("all").alias("map"), *cols).unionByName(city.select(F.lit("city").alias("map"), *cols))
 
@@ -241,5 +246,3 @@ def _(t: Tables):
     older = placelists.parse_pharmacies_earlier(active).select(F.lit("older").alias("variant"), "name", "Address", "City", "State")
     return newer.unionByName(older)
 
-
-assert names

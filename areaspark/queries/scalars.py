@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from areaspark.functions import dates, missing, numbers, text
 from areaspark.operators import names
 from areaspark.queries.registry import Tables, query
-from areaspark.queries.shapes import COUNTIES, tract_geoid, tract_text
+from areaspark.queries.shapes import tract_geoid, tract_text
 
 AS_OF = "2024-06-30"
 
@@ -311,6 +311,3 @@ def _(t: Tables):
         F.coalesce("zip", F.lit("All")).alias("Neighborhood"),
     )
     return benchmark.level_and_label(rows)
-
-
-assert COUNTIES
