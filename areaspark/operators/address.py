@@ -64,7 +64,8 @@ def geocode_cascade(
     """Coordinates from the first provider that knows the place; misses drop out.
 
     Each provider table has the key, ``lat`` and ``long``; each is looked up once
-    and the first known position in provider order is taken.
+    and the first known position in provider order is taken. ``places`` has one
+    row per place.
     """
     out = places
     for i, table in enumerate(providers):
@@ -73,11 +74,11 @@ def geocode_cascade(
             .dropDuplicates(list(key))
             .select(*key, F.struct(F.col(lat).alias(lat), F.col(lon).alias(lon)).alias(f"__at{i}"))
         )
-        out = joins.lookup_join(out, known, list(key), "left")
+        out = joins.null_safe_join(out, known, list(key), "left")
     found = F.coalesce(*[F.col(f"__at{i}") for i in range(len(providers))])
     return out.select(*places.columns, found.alias("__at")).where("__at is not null").select(*places.columns, "__at.*")
 
 
 def roundtrip(ids: DataFrame, original: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Bring per-address results back to all original rows with that address."""
-    return joins.lookup_join(original, ids, list(parts))
+    return joins.hot_split_join(original, ids, list(parts))

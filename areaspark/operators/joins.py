@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
+# rows of one key that a single task handles well
+HOT_ROWS = 1_000_000
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -95,10 +97,11 @@ def lookup_join(
     how: str = "inner",
     salts: int = 8,
 ) -> DataFrame:
-    """Join a large left side to a lookup, safe when one key holds much of the left.
+    """Join a large left side to a small lookup, safe when one key holds much of the left.
 
     The lookup is copied once per salt, so the hot key's rows go to ``salts``
     tasks. A small lookup is still broadcast by size and then nothing shuffles.
+    For a large right side use :func:`hot_split_join`.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a salted lookup keeps or filters left rows only")
@@ -117,24 +120,23 @@ def hot_split_join(
     on: Sequence[str],
     how: str = "inner",
     salts: int = 64,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join two large sides when a few keys may hold much of the left one.
 
     Keys with more than ``hot_rows`` rows on the left are counted first, a pass
     that reads the key columns only. Their rows are spread over ``salts`` tasks
     and only their right rows are copied; all other keys join as they are. Use it
-    where the left side is cheap to read twice.
+    where the left side is cheap to read twice, or pass ``counts`` (the keys and
+    ``__n``) when the number of rows per key is known anyway.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("a split join keeps left rows only")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("a split join keeps or filters left rows only")
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     # fewer keys than left rows / hot_rows: small enough to send to every task
-    hot = F.broadcast(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_rows)
-        .select(*on, F.lit(True).alias("__hot"))
-    )
+    hot = F.broadcast(counts.where(F.col("__n") > hot_rows).select(*on, F.lit(True).alias("__hot")))
     marked = with_salt(null_safe_join(left, hot, on, "left"), salts)
     marked = marked.withColumn(_SALT, F.when(F.col("__hot"), F.col(_SALT)).otherwise(F.lit(0))).drop("__hot")
     copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
@@ -157,12 +159,15 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def flag_exists(
-    df: DataFrame, other: DataFrame, on: Sequence[str], flag: str, salts: int = 8
+    df: DataFrame, other: DataFrame, on: Sequence[str], flag: str, unique: bool = False
 ) -> DataFrame:
-    """1 when the key occurs in ``other``, else 0; never multiplies rows."""
+    """1 when the key occurs in ``other``, else 0; never multiplies rows.
+
+    ``unique``: the key identifies a row of ``df``, so none can be hot.
+    """
     keys = other.select(*on).distinct().withColumn(flag, F.lit(1))
-    out = lookup_join(df, keys, on, "left", salts)
-    return out.withColumn(flag, F.coalesce(flag, F.lit(0)))
+    join = null_safe_join if unique else hot_split_join
+    return join(df, keys, on, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
 
 
 def join_valid_time(
@@ -174,7 +179,7 @@ def join_valid_time(
     end: str,
     first: str,
     last: str,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join each event to the history rows whose half-open period holds it.
 

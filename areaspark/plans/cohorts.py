@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,14 +42,13 @@ def usable_address(flags: Sequence[str] = tuple(UNUSABLE_FLAGS)) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f) != 1 for f in flags])
 
 
-def with_geocode(df: DataFrame, cache: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+def with_geocode(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Coordinates and flags of the row's address; five parts match, NULL equals NULL.
 
     Rows without a cached address drop out. The cache has one row per address;
     an address shared by very many rows is spread over tasks.
     """
-    pairs = columns or {c: c for c in ADDRESS}
-    return joins.lookup_join(df, cache, pairs, "inner")
+    return joins.hot_split_join(df, cache, ADDRESS)
 
 
 def registry_cohort(
@@ -82,7 +81,7 @@ def registry_cohort(
         age = dates.age_years("birth_date", as_of, divisor)
         people = people.where(age <= max_age if inclusive else age < max_age)
     usable = cache.where(usable_address(flags) & F.col("state").isin(STATES)).select(*ADDRESS, "X", "Y")
-    return with_geocode(joins.null_safe_join(enrolled, people, ["pat_id"]), usable).distinct()
+    return joins.null_safe_join(enrolled, with_geocode(people, usable), ["pat_id"]).distinct()
 
 
 def admission_cohort(
@@ -99,7 +98,7 @@ def admission_cohort(
     """
     # locate the addresses first: fewer rows than encounters, and unusable ones drop early
     usable = cache.where(usable_address(flags)).select(*ADDRESS, "X", "Y")
-    there = joins.hot_split_join(history.where(F.col("state").isin(STATES)), usable, ADDRESS)
+    there = with_geocode(history.where(F.col("state").isin(STATES)), usable)
     joined = joins.join_valid_time(
         encounter, there, ["pat_id"], "hosp_admsn_time", "eff_start_date", "eff_end_date", first, last
     )
@@ -118,7 +117,7 @@ def exception_encounters(account_dx: DataFrame, dx_code: DataFrame, account_enco
     accounts = joins.lookup_join(account_dx.select("hsp_account_id", "dx_id"), ids, ["dx_id"], "left_semi").select(
         "hsp_account_id"
     ).distinct()
-    return joins.lookup_join(
+    return joins.hot_split_join(
         account_encounter.select("hsp_account_id", "pat_enc_csn_id"), accounts, ["hsp_account_id"], "left_semi"
     ).select("pat_enc_csn_id").distinct()
 
@@ -134,7 +133,7 @@ def flag_conditions(encounters: DataFrame, exceptions: DataFrame, strict: bool =
     mental = missing.is_in("department_id", MENTAL_HEALTH_DEPARTMENTS) | prefixed
     if not strict:
         mental = F.coalesce(mental, F.lit(False))
-    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException", salts=1)
+    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException", unique=True)
     return flagged.withColumns(
         {
             "Asthma": (missing.is_in(dx, ASTHMA_CODES) & (F.col("AsthmaException") == 0)).cast("int"),

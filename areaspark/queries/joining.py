@@ -98,7 +98,7 @@ view(
 
 @query("join_nullsafe_sql", """SELECT pat_id, "X", "Y" FROM ox_cached""")
 def _(t: Tables):
-    return joins.lookup_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
+    return joins.hot_split_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
 
 
 @query(
@@ -169,7 +169,7 @@ def _(t: Tables):
 def _(t: Tables):
     from areaspark.plans import cohorts
 
-    people = joins.lookup_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
+    people = joins.hot_split_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
     spots = t.px_cache.where("X is not null").groupBy("X", "Y").agg(F.count(F.lit(1)).alias("n"))
     return cohorts.at_located_points(people, spots)
 

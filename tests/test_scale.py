@@ -47,7 +47,7 @@ def test_split_join_on_a_hot_key(spark, no_broadcast):
     other = df.select("k").distinct().select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).where("k <> 'k1'")
     other = other.unionByName(spark.createDataFrame([(None, 9)], "k string, n int"))
     df = df.unionByName(df.limit(5).withColumn("k", F.lit(None).cast("string")))
-    for how in ("inner", "left"):
+    for how in ("inner", "left", "left_semi", "left_anti"):
         split = joins.hot_split_join(df, other, ["k"], how, salts=7, hot_rows=500)
         assert rows(split) == rows(joins.null_safe_join(df, other, ["k"], how))
 
@@ -59,7 +59,8 @@ def test_hot_key_is_spread(spark):
 
 
 def test_group_total_on_a_hot_key(spark, no_broadcast):
-    out = windows.with_group_total(_hot(spark), ["k"], "estimate", "total").groupBy("k").agg(
+    added = windows.with_group_values(_hot(spark), ["k"], {"total": F.sum("estimate")}, hot_rows=500)
+    out = added.groupBy("k").agg(
         F.count("*").alias("n"), F.min("total").alias("a"), F.max("total").alias("b"), F.sum("estimate").alias("s")
     )
     assert all(r["a"] == r["b"] == pytest.approx(r["s"]) for r in out.collect())
