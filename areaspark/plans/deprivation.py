@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing, text
-from areaspark.operators import joins, names, reshape
+from areaspark.operators import joins, names
 from areaspark.plans import catalog
 from areaspark.plans.survey import City
 
@@ -83,11 +83,13 @@ def rollup_index(places: DataFrame, pops: DataFrame) -> DataFrame:
     keys = ["State", "County", "Municipality"]
     joined = joins.null_safe_join(pops.select(*keys, "Population"), places.select(*keys, "value"), keys)
     weighted = joined.select("State", "County", "Population", (F.col("value") * F.col("Population")).alias("w"))
-    # states are rolled up on the way but are no level of their own
-    levels = reshape.rollup_labelled(weighted, ["State", "County"], ["w", "Population"]).where(
-        (F.col("County") != "All") | (F.col("State") == "All")
+    sums = [missing.sum_strict(c).alias(c) for c in ("w", "Population")]
+    county = weighted.groupBy("State", "County").agg(*sums)
+    # a global aggregate, so the metro row exists even without places
+    metro = county.agg(*sums).select(F.lit("All").alias("State"), F.lit("All").alias("County"), "w", "Population")
+    return county.unionByName(metro).select(
+        "State", "County", missing.ratio("w", "Population").alias("DeprivationIndex")
     )
-    return levels.select("State", "County", missing.ratio("w", "Population").alias("DeprivationIndex"))
 
 
 def all_levels(
