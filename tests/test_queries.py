@@ -6,9 +6,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from areaspark.queries import load
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = entry.oracle_sql()
+SQL = load.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +17,9 @@ def con():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(load.queries()))
 def test_query(spark, con, key):
-    df = entry.queries()[key](spark, FOLDER)
+    df = load.queries()[key](spark, FOLDER)
     problems = compare.differences(df, con, SQL[key])
     # a query may be empty on the smallest tables; it must still agree
     assert [p for p in problems if p != "no rows at all"] == []
