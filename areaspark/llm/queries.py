@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import bpe
+from areaspark.llm import bpe, language, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,53 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(bpe.decode(encoded, keep=("doc_id", "ids", "n_tokens")))
 
 
+@_query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    docs = _table(spark, folder, "documents")
+    profiles = language.fit(docs.where(language.remainder(F.col("doc_id")) != 0))
+    held_out = F.coalesce(language.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    return language.predict(docs, profiles).select("doc_id", held_out, "lang_pred", "score")
+
+
+#: Rules of the query: host, path, action.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@_query
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_rules.judge(_table(spark, folder, "pages"), rules)
+
+
+ORACLE["op4_url_rules"] = """
+WITH parts AS (
+    SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), cut AS (
+    SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM parts
+), named AS (
+    SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+    FROM cut
+), rules(h, p, action) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+    SELECT page_id, host, path, h || p AS rule, action,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC, action DESC) AS place
+    FROM named LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+
+@_query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.groups(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
