@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; a value named inside a lambda is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def needs(df: DataFrame, columns: Sequence[str]) -> None:
     """Stop early, with the missing names, if a table lacks columns."""
     missing = [c for c in columns if c not in df.columns]
