@@ -45,23 +45,30 @@ def _upto(n: Column) -> Column:
 
 
 def _runs(words: Column, run: int) -> Column:
-    """A hash of each ``run`` consecutive words."""
-    return common.let(words, lambda w: F.transform(_upto(F.size(w) - (run - 1)), lambda i: F.xxhash64(F.slice(w, i + 1, run))))
+    """A hash of each ``run`` consecutive words; its last three bits are 0."""
+    some = lambda w: F.transform(
+        _upto(F.size(w) - (run - 1)), lambda i: F.xxhash64(F.slice(w, i + 1, run)).bitwiseAND(F.lit(-8).cast("long"))
+    )
+    return common.let(words, some)
+
 
+def _places(hashes: Column, span: int) -> Column:
+    """Where the hashes stand that are smallest in some ``span`` (up to 8) consecutive ones.
 
-def _kept(hashes: Column, span: int) -> Column:
-    """(hash, place) that are smallest, the last of equals, in some ``span`` consecutive hashes."""
-    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (-i).alias("back")))
+    The free bits of a hash take its place modulo 8, which tells the places of a stretch apart.
+    """
+    placed = F.transform(hashes, lambda h, i: h.bitwiseOR(i.bitwiseAND(7).cast("long")))
     least = lambda all: F.transform(_upto(F.size(all) - (span - 1)), lambda i: F.array_min(F.slice(all, i + 1, span)))
-    return F.array_distinct(common.let(placed, least))
+    place = lambda m, i: i + F.pmod(m.bitwiseAND(7).cast("int") - i, F.lit(8))
+    return F.array_distinct(F.transform(common.let(placed, least), place))
 
 
 def _prints(words: Column, window: int, short: Sequence[int]) -> Column:
     """All fingerprints of a text: ``n`` words of the window they stand for, hash, place."""
-    found = F.transform(
-        _kept(_runs(words, RUN), window - RUN + 1),
-        lambda p: F.struct(F.lit(window).alias("n"), p["h"].alias("h"), (-p["back"]).alias("at")),
+    whole = lambda runs: F.transform(
+        _places(runs, window - RUN + 1), lambda at: F.struct(F.lit(window).alias("n"), runs[at].alias("h"), at.alias("at"))
     )
+    found = common.let(_runs(words, RUN), whole)
     for n in short:
         some = F.transform(_runs(words, n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("h"), i.alias("at")))
         found = F.concat(found, some)
@@ -70,8 +77,8 @@ def _prints(words: Column, window: int, short: Sequence[int]) -> Column:
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The kept columns, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``contaminated``."""
-    if window <= RUN:
-        raise ValueError(f"a window needs more than {RUN} words")
+    if not RUN < window <= RUN + 7:
+        raise ValueError(f"a window needs {RUN + 1} to {RUN + 7} words")
     common.needs(docs, [text, *keep])
     common.needs(benchmark, [item, item_text])
 
@@ -88,7 +95,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequen
     said = F.split("said", " ")
     known = windows.select("n", "said").distinct()
     whole = known.where(F.col("n") == window).select("n", F.array_min(_runs(said, RUN)).alias("h"))
-    part = known.where(F.col("n") < window).select("n", F.xxhash64(said).alias("h"))
+    part = known.where(F.col("n") < window).select("n", F.xxhash64(said).bitwiseAND(F.lit(-8).cast("long")).alias("h"))
     prints = keep_table(whole.union(part).distinct(), "prints")
 
     # one pass over the documents: a row for each, and the words around fingerprints the benchmark knows
