@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import bpe, decontaminate, language, simhash, url_rules
+from areaspark.llm import bpe, chat, decontaminate, language, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,6 +122,13 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+@_query
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles of every conversation's rows, recovered without looking at them, and canonical turns."""
+    talks = _table(spark, folder, "conversations")
+    return chat.parse(talks, chat.fit(talks))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
