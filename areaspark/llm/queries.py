@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import bpe, chat, decontaminate, language, simhash, url_rules
+from areaspark.llm import ann, bpe, chat, decontaminate, language, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,6 +115,12 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@_query
+def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50."""
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
 @_query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
