@@ -188,8 +188,11 @@ class Codec:
         head, *rest = text.split(" ")
         return ([head] if head else []) + list(map(" ".__add__, rest))
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode_many(self, texts: list[str | None], special: bool = True) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers.
+
+        Without ``special``, the names of added tokens in a text are text like any other.
+        """
         for known in (self.known, self.small):
             if len(known) >= REMEMBERED:  # short words come again sooner
                 again = {w: ids for w, ids in known.items() if len(w) <= 9}
@@ -198,9 +201,9 @@ class Codec:
         plans: list[list] = []
         for text in texts:
             parts = [text or ""]
-            if text and self.split_added is not None and self.split_added.search(text):
+            if special and text and self.split_added is not None and self.split_added.search(text):
                 parts = self.split_added.split(text)
-            plans.append([self.added.get(p, None) if p in self.added else self.units(p) for p in parts])
+            plans.append([self.added[p] if special and p in self.added else self.units(p) for p in parts])
         self.learn({u for plan in plans for p in plan if isinstance(p, list) for u in p} - self.known.keys())
         get = self.known.__getitem__
         return [

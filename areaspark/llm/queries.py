@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, chat, decontaminate, language, simhash, url_rules
+from areaspark.llm import ann, bpe, chat, decontaminate, language, simhash, token_counts, url_rules
+from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,16 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@_query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat files of two-byte ids that are written first."""
+    path = bpe.default_path()
+    written = keep(token_counts.write_files(_table(spark, folder, "documents"), work_folder(spark, "tokens")), "written")
+    files = written.groupBy("file").agg(F.max("size").alias("size"))
+    found = token_counts.count(files, token_counts.separator_of(path), token_counts.width_of(path))
+    return written.join(found, ["file", "number"]).select("doc_id", "n_tokens")
+
+
 @_query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document and decode the ids again."""
