@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, chat, decontaminate, language, simhash, token_counts, url_rules
+from areaspark.llm import ann, bpe, chat, decontaminate, language, pii, simhash, token_counts, url_rules
 from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,13 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 """
 
 
+@_query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return pii.replace(docs, count="n_entities")
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that benchmark items hold too."""
