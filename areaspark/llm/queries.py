@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, chat, decontaminate, language, pii, simhash, token_counts, url_rules
+from areaspark.llm import ann, bpe, chat, decontaminate, language, pii, simhash, suffix_dedup, token_counts, url_rules
 from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,23 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace(docs, count="n_entities")
 
 
+@_query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document outside strings of 400 bytes that occur again."""
+    docs = _table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = suffix_dedup.spans(docs).select(
+        "digest", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    found = keep(found, "spans")
+    short = F.when(F.octet_length("text") < suffix_dedup.LENGTH, F.sha2(F.col("text").cast("binary"), 256))
+    docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("digest"), short.alias("whole"))
+    return docs.join(found, "digest", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+    )
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that benchmark items hold too."""
