@@ -75,12 +75,22 @@ def piece(col: Column | str, delimiter: str, index: int, limit: int = -1) -> Col
 
 
 def split_columns(
-    col: Column | str, delimiter: str, names: Sequence[str], merge: bool = False
+    col: Column | str, delimiter: str, names: Sequence[str], surplus: str = "error"
 ) -> dict[str, Column]:
-    """Named pieces; too few give NULL on the right, surplus is dropped or merged."""
-    limit = len(names) if merge else -1
-    parts = F.split(_c(col), literal_pattern(delimiter), limit)
-    return {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
+    """Named pieces; too few give NULL on the right.
+
+    ``surplus``: more pieces than names are an error, are merged into the last piece
+    ("merge"), or are left out ("drop").
+    """
+    if surplus not in ("error", "merge", "drop"):
+        raise ValueError(f"surplus pieces can't be treated by {surplus!r}")
+    text = _c(col)
+    parts = F.split(text, literal_pattern(delimiter), len(names) if surplus == "merge" else -1)
+    out = {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
+    if surplus == "error":
+        told = F.raise_error(F.concat(F.lit(f"more than {len(names)} parts: "), text)).cast("string")
+        out = {n: F.when(F.size(parts) > len(names), told).otherwise(c) for n, c in out.items()}
+    return out
 
 
 def piece_count(col: Column | str, delimiter: str) -> Column:

@@ -64,15 +64,16 @@ def geocode_cascade(
     """Coordinates from the first provider that knows the place; misses drop out.
 
     Each provider table has the key, ``lat`` and ``long``; each is looked up once
-    and the first known position in provider order is taken. ``places`` has one
+    and the first known position in provider order is taken, of several positions
+    of one place the smallest. ``places`` has one
     row per place.
     """
     out = places
     for i, table in enumerate(providers):
         known = (
             table.where(F.col(lat).isNotNull())
-            .dropDuplicates(list(key))
-            .select(*key, F.struct(F.col(lat).alias(lat), F.col(lon).alias(lon)).alias(f"__at{i}"))
+            .groupBy(*key)
+            .agg(F.min(F.struct(F.col(lat).alias(lat), F.col(lon).alias(lon))).alias(f"__at{i}"))
         )
         out = joins.null_safe_join(out, known, list(key), "left")
     found = F.coalesce(*[F.col(f"__at{i}") for i in range(len(providers))])
@@ -81,4 +82,4 @@ def geocode_cascade(
 
 def roundtrip(ids: DataFrame, original: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Bring per-address results back to all original rows with that address."""
-    return joins.hot_split_join(original, ids, list(parts))
+    return joins.null_safe_join(original, ids, list(parts))

@@ -95,7 +95,7 @@ def compare_rates(
     long = wide.select(*keys, *[F.col(f"Rate{m}").alias(m) for m in measures]).unpivot(
         list(keys), list(measures), "name", "value"
     )
-    joined = joins.lookup_join(long, bench, ["name"])
+    joined = joins.null_safe_join(long, bench, ["name"])
     v = F.col("value")
     return joined.withColumns(
         {
@@ -176,7 +176,7 @@ def level_benchmarks(
 
 def compare_levels(rows: DataFrame, bench: DataFrame) -> DataFrame:
     """Long rows of several levels against their level's benchmarks."""
-    joined = joins.lookup_join(rows, bench, ["Level", "variable"])
+    joined = joins.null_safe_join(rows, bench, ["Level", "variable"])
     v = F.col("value")
     scale = minmax_scale(v, F.col("Minimum"), F.col("Maximum"), F.col("variable").isin(RAW_SCALE_RATES))
     return joined.withColumns(

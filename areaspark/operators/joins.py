@@ -1,8 +1,11 @@
-"""Joins whose keys treat NULL as equal, with the skew handling they need.
-
-No join here forces a broadcast: the optimizer's size thresholds (and, at run
-time, the measured shuffle sizes) decide. ``salts`` spreads a hot key over
-several tasks where the right side is a lookup that must not be broadcast.
+"""Joins whose keys treat NULL as equal.
+
+No join here forces a broadcast or salts its keys: the optimizer's size thresholds and,
+at run time, the measured shuffle sizes decide. A key that holds much of the left side is
+spread by adaptive execution, which cuts its shuffle partition between map tasks, however
+equal its rows are; inner, left, semi and anti joins keep that way open. Sessions
+switch on ``spark.sql.adaptive.forceOptimizeSkewedJoin``, so that an aggregation on the
+same keys above the join doesn't keep it from being split.
 """
 
 from __future__ import annotations
@@ -13,10 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SALT = "__salt"
-# rows of one key that a single task handles well
-HOT_ROWS = 1_000_000
-
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in set(right.columns)]
@@ -72,78 +71,6 @@ def null_safe_join(
     )
 
 
-def with_salt(df: DataFrame, salts: int) -> DataFrame:
-    """Spread rows over ``salts`` values.
-
-    The salt depends on the row's content and its input partition only, so a
-    recomputed task gives every row the salt it had before.
-    """
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    return df.withColumn(
-        _SALT,
-        F.pmod(F.xxhash64(*cols) + F.spark_partition_id(), F.lit(salts)).cast("int"),
-    )
-
-
-def replicate(df: DataFrame, salts: int) -> DataFrame:
-    """One copy of every row per salt value."""
-    return df.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str] | Mapping[str, str],
-    how: str = "inner",
-    salts: int = 8,
-) -> DataFrame:
-    """Join a large left side to a small lookup, safe when one key holds much of the left.
-
-    The lookup is copied once per salt, so the hot key's rows go to ``salts``
-    tasks. A small lookup is still broadcast by size and then nothing shuffles.
-    For a large right side use :func:`hot_split_join`.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError("a salted lookup keeps or filters left rows only")
-    if salts <= 1:
-        return null_safe_join(left, right, on, how)
-    pairs = dict(on) if isinstance(on, Mapping) else {c: c for c in on}
-    out = null_safe_join(
-        with_salt(left, salts), replicate(right, salts), {**pairs, _SALT: _SALT}, how
-    )
-    return out.drop(_SALT)
-
-
-def hot_split_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salts: int = 64,
-    hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """Join two large sides when a few keys may hold much of the left one.
-
-    Keys with more than ``hot_rows`` rows on the left are counted first, a pass
-    that reads the key columns only. Their rows are spread over ``salts`` tasks
-    and only their right rows are copied; all other keys join as they are. Use it
-    where the left side is cheap to read twice, or pass ``counts`` (the keys and
-    ``__n``) when the number of rows per key is known anyway.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError("a split join keeps or filters left rows only")
-    if counts is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    # fewer keys than left rows / hot_rows: small enough to send to every task
-    hot = F.broadcast(counts.where(F.col("__n") > hot_rows).select(*on, F.lit(True).alias("__hot")))
-    marked = with_salt(null_safe_join(left, hot, on, "left"), salts)
-    marked = marked.withColumn(_SALT, F.when(F.col("__hot"), F.col(_SALT)).otherwise(F.lit(0))).drop("__hot")
-    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
-    spread = null_safe_join(right, hot, on, "left").withColumn(_SALT, F.explode(copies)).drop("__hot")
-    return null_safe_join(marked, spread, [*on, _SALT], how).drop(_SALT)
-
-
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Every column of a one-row frame on every row.
 
@@ -158,16 +85,10 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     )
 
 
-def flag_exists(
-    df: DataFrame, other: DataFrame, on: Sequence[str], flag: str, unique: bool = False
-) -> DataFrame:
-    """1 when the key occurs in ``other``, else 0; never multiplies rows.
-
-    ``unique``: the key identifies a row of ``df``, so none can be hot.
-    """
+def flag_exists(df: DataFrame, other: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+    """1 when the key occurs in ``other``, else 0; never multiplies rows."""
     keys = other.select(*on).distinct().withColumn(flag, F.lit(1))
-    join = null_safe_join if unique else hot_split_join
-    return join(df, keys, on, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+    return null_safe_join(df, keys, on, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
 
 
 def join_valid_time(
@@ -179,33 +100,32 @@ def join_valid_time(
     end: str,
     first: str,
     last: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join each event to the history rows whose half-open period holds it.
 
     ``first``/``last`` bound the event window (inclusive dates). Periods are cut
-    to the window and spread over its months, and the month joins as an equality
-    key: an open period costs at most one copy per month of the window. A subject
-    with very many events is split by month, and within a month if need be.
+    to the window and spread over its years, and the year joins as an equality key:
+    an open period costs one copy per year of the window, and a subject's events meet
+    the periods of their own year only.
     """
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     windowed = events.where(
         (F.col(at) >= lo.cast("timestamp_ntz"))
         & (F.col(at) < F.date_add(hi, 1).cast("timestamp_ntz"))
-    ).withColumn("__month", F.trunc(F.col(at).cast("date"), "month"))
+    ).withColumn("__year", F.year(at))
     from_ = F.greatest(F.col(start).cast("date"), lo)
     to = F.least(F.coalesce(F.col(end).cast("date"), hi), hi)
     spread = (
         history.where((F.col(start).cast("date") <= hi) & (from_ <= to))
         .withColumn(
-            "__month",
-            F.explode(F.sequence(F.trunc(from_, "month"), F.trunc(to, "month"), F.expr("interval 1 month"))),
+            "__year",
+            F.explode(F.sequence(F.year(from_), F.year(to))),
         )
     )
-    joined = hot_split_join(windowed, spread, [*on, "__month"], hot_rows=hot_rows)
+    joined = null_safe_join(windowed, spread, [*on, "__year"])
     return joined.where(
         (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    ).drop("__month")
+    ).drop("__year")
 
 
 def assemble_wide(parts: Sequence[tuple[DataFrame, str]], keys: Sequence[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def split_quarantine(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that split into exactly the given parts, and the rows that do not."""
     fits = F.coalesce(text.piece_count(column, delimiter) == len(names), F.lit(False))
-    good = df.where(fits).withColumns(text.split_columns(column, delimiter, names))
+    good = df.where(fits).withColumns(text.split_columns(column, delimiter, names, "drop"))  # none is left over
     return good, df.where(~fits)
 
 

@@ -33,7 +33,7 @@ def parse_schools(lines: DataFrame, columns: Sequence[str] = tuple(SCHOOL_COLUMN
 
     The house number is the first number among the third to ninth token; the
     tokens before it (at most eight) are the name; the text after it holds
-    "street, city, state zip".
+    "street, city, state zip". A fourth part between commas is an error.
     """
     promise = F.coalesce(F.col("B") == PROMISE_WORD, F.lit(False))
     number = F.coalesce(*[numbers.number_text(numbers.parse_number(c)) for c in columns[2:9]])
@@ -51,15 +51,15 @@ def parse_schools(lines: DataFrame, columns: Sequence[str] = tuple(SCHOOL_COLUMN
     df = staged(df, {"Name": name, "line": text.paste(*columns)})
     df = staged(df, {"line": text.remove_first_of("line", "Name")})
     df = staged(df, {"line": text.remove_first_of("line", "Number")})
-    df = staged(df, {"rest": F.split(text.trim_space("line"), ",", -1)})
-    tail = text.trim_space(F.get("rest", F.lit(2)))
+    df = staged(df, text.split_columns(text.trim_space("line"), ",", ["street", "town", "tail"]))
+    tail = text.trim_space("tail")
     name = F.col("Name")
     for word, full in SCHOOL_RENAMES.items():
         name = F.when(F.coalesce(F.col("Name").contains(word), F.lit(False)), full).otherwise(name)
     out = df.select(
         F.when(promise, PROMISE_NAME).otherwise(name).alias("Name"),
         "Number",
-        F.when(promise, PROMISE_STREET).otherwise(F.get("rest", F.lit(0))).alias("Street"),
+        F.when(promise, PROMISE_STREET).otherwise(F.col("street")).alias("Street"),
         F.lit(SCHOOL_CITY).alias("City"),
         F.lit(SCHOOL_STATE).alias("State"),
         text.recode("Name", SCHOOL_ZIPS, text.piece(tail, " ", 1)).alias("Zip"),
@@ -84,21 +84,21 @@ def _first_with_comma(candidates: Sequence[Column]) -> Column:
 
 def parse_pharmacies(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
     """Name, address, city and state from "name - … - CITY, ST - address" texts."""
-    top = text.split_columns(column, "-", ["p0", "p1", "p2"], merge=True)
+    top = text.split_columns(column, "-", ["p0", "p1", "p2"], "merge")
     df = staged(df, top)
     second = missing.if_else(F.col("p1") == "", F.col("p2"), F.col("p1"))
     df = staged(df, {"second": second})
     block = text.trim_space(missing.if_else(F.col("second").contains(","), F.col("second"), F.col("p2")))
     df = staged(df, {"block": block})
-    df = staged(df, text.split_columns("block", "-", ["c0", "c1", "c2", "c3"], merge=True))
+    df = staged(df, text.split_columns("block", "-", ["c0", "c1", "c2", "c3"], "merge"))
     place = _first_with_comma([F.col("c0"), text.trim_space("c1"), text.trim_space("c2")])
     df = staged(df, {"place": place}).where(F.col("place").isNotNull())
-    parts = F.split("place", ",", -1)
+    parts = text.split_columns("place", ",", ["City", "s1", "s2", "s3"])
     df = staged(
         df,
         {
-            "City": F.get(parts, F.lit(0)),
-            "State": text.trim_space(F.coalesce(*[F.get(parts, F.lit(i)) for i in (3, 2, 1)])),
+            "City": parts["City"],
+            "State": text.trim_space(F.coalesce(parts["s3"], parts["s2"], parts["s1"])),
             "unit": text.trim_space(text.before_any("c2", ROOM_WORDS)),
         },
     ).where(F.col("State").isin(PHARMACY_STATES))
@@ -122,8 +122,8 @@ def parse_pharmacies(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
 
 def parse_pharmacies_earlier(df: DataFrame, column: str = "pharmacy_name") -> DataFrame:
     """Earlier variant: the address is the first part that starts with its own number."""
-    df = staged(df, text.split_columns(column, "-", ["p0", "p1", "p2"], merge=True))
-    df = staged(df, text.split_columns("p2", "--", ["n3", "n4", "n5"], merge=True))
+    df = staged(df, text.split_columns(column, "-", ["p0", "p1", "p2"], "merge"))
+    df = staged(df, text.split_columns("p2", "--", ["n3", "n4", "n5"], "merge"))
     df = staged(df, {"second": missing.if_else(F.col("p1") == "", F.col("n3"), F.col("p1"))})
     block = text.trim_space(missing.if_else(F.col("second").contains(","), F.col("second"), F.col("n3")))
     df = staged(df, {"block": block})
@@ -132,9 +132,8 @@ def parse_pharmacies_earlier(df: DataFrame, column: str = "pharmacy_name") -> Da
         [text.trim_space("c0"), text.trim_space("c1"), F.col("c2"), F.col("c3"), F.col("c4")]
     )
     df = staged(df, {"place": place}).where(F.col("place").isNotNull())
-    df = staged(
-        df, {"City": text.piece("place", ",", 0), "State": text.trim_space(text.piece("place", ",", 1))}
-    ).where(F.col("State").isin(PHARMACY_STATES))
+    parts = text.split_columns("place", ",", ["City", "State"], "drop")  # what follows a state is left out by rule
+    df = staged(df, {"City": parts["City"], "State": text.trim_space(parts["State"])}).where(F.col("State").isin(PHARMACY_STATES))
 
     def numbered(c: Column) -> Column:
         return c.startswith(numbers.number_text(numbers.parse_number(c)))

@@ -91,24 +91,20 @@ def points_in_polygons(
     y: str = "Y",
     cell: float = 0.25,
     how: str = "inner",
-    salts: int = 8,
 ) -> DataFrame:
     """Attach the keys of every polygon that holds the point.
 
-    ``how="left"`` keeps unmatched points with NULL keys. A crowded cell is
-    spread over ``salts`` tasks when the polygons are too many to broadcast.
+    ``how="left"`` keeps unmatched points with NULL keys. A crowded cell is split
+    by adaptive execution when the polygons are too many to broadcast.
     """
     cells = polygon_cells(edges, keys, cell)
-    keyed = joins.with_salt(points, salts).withColumns(
+    keyed = points.withColumns(
         {"__cx": _cell(F.col(x), cell), "__cy": _cell(F.col(y), cell)}
     )
-    renamed = joins.replicate(cells, salts).withColumnsRenamed(
-        {"__salt": "__psalt", **{k: f"__p_{k}" for k in keys}}
-    )
+    renamed = cells.withColumnsRenamed({k: f"__p_{k}" for k in keys})
     hit = (
         (F.col("__cx") == F.col("cx"))
         & (F.col("__cy") == F.col("cy"))
-        & (F.col("__salt") == F.col("__psalt"))
         & (F.col("edges").isNull() | covers(F.col("edges"), F.col(x), F.col(y)))
     )
     joined = keyed.join(renamed, hit, how)

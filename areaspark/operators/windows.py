@@ -16,18 +16,10 @@ from areaspark.functions import missing
 from areaspark.operators import joins
 
 
-def with_group_values(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], hot_rows: int = joins.HOT_ROWS
-) -> DataFrame:
-    """Add aggregates of each row's group to the row.
-
-    The aggregation also counts the group, which tells the join back which keys
-    to spread over several tasks.
-    """
-    per_group = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()], F.count(F.lit(1)).alias("__n"))
-    return joins.hot_split_join(
-        df, per_group.drop("__n"), list(keys), hot_rows=hot_rows, counts=per_group.select(*keys, "__n")
-    )
+def with_group_values(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates of each row's group to the row."""
+    per_group = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
+    return joins.null_safe_join(df, per_group, list(keys))
 
 
 def with_group_total(

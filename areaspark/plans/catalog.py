@@ -162,15 +162,20 @@ def earlier_category(variable: str) -> str | None:
     # fixed values
     return {
         "B02001_002": "White", "B02001_003": "Black", "B03002_012": "Hispanic",
-        "B11012_001": "Households", "B11012_003": "HHWithChildren",
+        "B11005_001": "Households", "B11005_002": "HHWithChildren",
         "B17010_001": "Families", "B17010_002": "Poverty",
         "B19049_001": "MedianHHIncome", "B19058_002": "Assistance",
         "B25002_001": "HousingUnits", "B25002_003": "Vacant",
     }.get(variable)
 
 
+def earlier_list() -> list[str]:
+    """Variables that only the earlier dataset asks for: households, and those with a person under 18."""
+    return numbered("B11005", 1, 2)
+
+
 def category_rows() -> list[tuple[str, str]]:
-    ids = [*variable_list(), PUBLIC_ASSISTANCE]
+    ids = [*variable_list(), PUBLIC_ASSISTANCE, *earlier_list()]
     return [(v, c) for v in ids if (c := earlier_category(v)) is not None]
 
 

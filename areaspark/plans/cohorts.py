@@ -45,10 +45,9 @@ def usable_address(flags: Sequence[str] = tuple(UNUSABLE_FLAGS)) -> Column:
 def with_geocode(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Coordinates and flags of the row's address; five parts match, NULL equals NULL.
 
-    Rows without a cached address drop out. The cache has one row per address;
-    an address shared by very many rows is spread over tasks.
+    Rows without a cached address drop out. The cache has one row per address.
     """
-    return joins.hot_split_join(df, cache, ADDRESS)
+    return joins.null_safe_join(df, cache, ADDRESS)
 
 
 def registry_cohort(
@@ -68,7 +67,7 @@ def registry_cohort(
     wanted = config.where(registries).select("registry_id", "registry_name")
     active = membership.where("status_c = 1").select("registry_id", "record_id").distinct()
     # reduce to one row per registry and patient before any patient data is moved
-    members = joins.lookup_join(active, wanted, ["registry_id"])
+    members = joins.null_safe_join(active, wanted, ["registry_id"])
     enrolled = (
         joins.null_safe_join(members, record.select("record_id", "networked_id"), ["record_id"])
         .select("registry_id", "registry_name", F.col("networked_id").alias("pat_id"))
@@ -114,10 +113,10 @@ def exception_encounters(account_dx: DataFrame, dx_code: DataFrame, account_enco
     for p in EXCEPTION_PREFIXES:
         excluded = excluded | code.startswith(p)
     ids = dx_code.where(excluded).select("dx_id").distinct()
-    accounts = joins.lookup_join(account_dx.select("hsp_account_id", "dx_id"), ids, ["dx_id"], "left_semi").select(
+    accounts = joins.null_safe_join(account_dx.select("hsp_account_id", "dx_id"), ids, ["dx_id"], "left_semi").select(
         "hsp_account_id"
     ).distinct()
-    return joins.hot_split_join(
+    return joins.null_safe_join(
         account_encounter.select("hsp_account_id", "pat_enc_csn_id"), accounts, ["hsp_account_id"], "left_semi"
     ).select("pat_enc_csn_id").distinct()
 
@@ -133,7 +132,7 @@ def flag_conditions(encounters: DataFrame, exceptions: DataFrame, strict: bool =
     mental = missing.is_in("department_id", MENTAL_HEALTH_DEPARTMENTS) | prefixed
     if not strict:
         mental = F.coalesce(mental, F.lit(False))
-    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException", unique=True)
+    flagged = joins.flag_exists(encounters, exceptions, ["pat_enc_csn_id"], "AsthmaException")
     return flagged.withColumns(
         {
             "Asthma": (missing.is_in(dx, ASTHMA_CODES) & (F.col("AsthmaException") == 0)).cast("int"),
@@ -149,7 +148,7 @@ def at_located_points(rows: DataFrame, located: DataFrame) -> DataFrame:
     A ``county`` text of the row's own gives way to the located County.
     """
     rows = rows.drop("county")
-    return joins.lookup_join(rows.where("X is not null and Y is not null"), located, ["X", "Y"])
+    return joins.null_safe_join(rows.where("X is not null and Y is not null"), located, ["X", "Y"])
 
 
 def admission_totals(
@@ -222,7 +221,8 @@ def rates_per_hundred(hospital: DataFrame, children: DataFrame) -> DataFrame:
     measures = [c for c in hospital.columns if c not in AREA]
     joined = joins.null_safe_join(hospital, children, AREA)
     long = joined.unpivot([*AREA, "Children"], measures, "name", "value")
-    parts = text.split_columns("name", "_", ["Condition", "Measure"])
+    # the measure is the last word: a condition may hold underscores
+    parts = {"Measure": F.substring_index("name", "_", -1), "Condition": F.regexp_replace("name", "_[^_]*$", "")}
     return long.select(
         *AREA,
         "Children",
@@ -249,7 +249,7 @@ def compare_hospital(rates: DataFrame, children: DataFrame) -> DataFrame:
         "Condition", "Measure", "Min", "Max", "SD",
         missing.ratio(F.col("MetroValue") * 100, "MetroChildren").alias("Mean"),
     )
-    joined = joins.lookup_join(rates, bench, ["Condition", "Measure"])
+    joined = joins.null_safe_join(rates, bench, ["Condition", "Measure"])
     return joined.withColumn("Shade", missing.ratio(F.col("Rate") - F.col("Mean"), "SD"))
 
 

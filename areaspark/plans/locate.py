@@ -63,8 +63,10 @@ def resolve_by_crosswalk(
     spots = ambiguous.select("ID", "X", "Y").distinct()
     tracts = spatial.points_in_polygons(spots, tract_edges, ["GEOID"], cell=cell).select("ID", "GEOID").distinct()
     keys = ["State", "County", "Municipality"]
-    candidates = joins.null_safe_join(ambiguous.select("ID", *keys), crosswalk.select("GEOID", *keys), keys)
-    return joins.null_safe_join(candidates, tracts, ["ID", "GEOID"]).select("ID", *keys)
+    # a point lies in one tract or a few, so it is placed before the crosswalk is asked
+    candidates = joins.null_safe_join(ambiguous.select("ID", *keys), tracts, ["ID"])
+    allotted = joins.null_safe_join(candidates, crosswalk.select("GEOID", *keys), ["GEOID", *keys])
+    return allotted.select("ID", *keys)
 
 
 def centroid_override(

@@ -114,7 +114,11 @@ def area_views(areas_rows: DataFrame, city: City) -> tuple[DataFrame, DataFrame]
 
 def tract_crosswalk(raw: DataFrame, counties: Sequence[str]) -> DataFrame:
     """Clean tract-to-municipality shares and build the tract id."""
-    county = text.split_columns("County", " ", ["County", "State"])
+    # the state is the last word: a county may have several
+    known = F.coalesce(F.col("County").rlike("^.+ [A-Z]{2}$"), F.lit(True))
+    checked = F.when(known, F.col("County")).otherwise(F.raise_error(F.concat(F.lit("no county and state: "), F.col("County"))).cast("string"))
+    state = F.substring_index(checked, " ", -1)
+    county = {"State": state, "County": F.regexp_replace("County", " [A-Z]{2}$", "")}
     place = text.before_any("Municipality", ["CCD", " city", ",", "village"])
     place = text.remove_first_text(place, "The Village of")
     return (

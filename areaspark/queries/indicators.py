@@ -97,14 +97,17 @@ def _(t: Tables):
     return r6(hub(t), "estimate").select(*AREA, "variable", "estimate", *[f"Group{i}" for i in range(1, 6)], "concept")
 
 
+_CATEGORIES = [*earlier.CATEGORIES, earlier.MEDIAN]
+
+
 @query(
     "category_map_sum",
-    """SELECT NAME, max(CASE WHEN category = 'Children' THEN total END) AS Children, max(CASE WHEN category = 'HighSchool' THEN total END) AS HighSchool,
-    max(CASE WHEN category = 'Vacant' THEN total END) AS Vacant FROM (SELECT NAME, category, CASE WHEN count(estimate) = count(*) THEN sum(estimate) END AS total
+    f"""SELECT NAME, {', '.join(f"max(CASE WHEN category = '{c}' THEN total END) AS {c}" for c in _CATEGORIES)}
+    FROM (SELECT NAME, category, CASE WHEN count(estimate) = count(*) THEN sum(estimate) END AS total
     FROM px_muni_rows r JOIN px_cat c ON r.variable = c.variable GROUP BY ALL) GROUP BY NAME""",
 )
 def _(t: Tables):
-    return earlier.category_wide(t.px_muni_rows, catalog.category_lookup(t.spark), ["NAME"], ["Children", "HighSchool", "Vacant"])
+    return earlier.category_wide(t.px_muni_rows, catalog.category_lookup(t.spark), ["NAME"], _CATEGORIES)
 
 
 # --- themes ------------------------------------------------------------------

@@ -98,7 +98,7 @@ view(
 
 @query("join_nullsafe_sql", """SELECT pat_id, "X", "Y" FROM ox_cached""")
 def _(t: Tables):
-    return joins.hot_split_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
+    return joins.null_safe_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
 
 
 @query(
@@ -132,7 +132,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     active = t.px_membership.where("status_c = 1").select("registry_id", "record_id").distinct()
-    enrolled = joins.null_safe_join(joins.lookup_join(active, t.px_config, ["registry_id"]), t.px_record, ["record_id"])
+    enrolled = joins.null_safe_join(joins.null_safe_join(active, t.px_config, ["registry_id"]), t.px_record, ["record_id"])
     people = enrolled.select(F.col("networked_id").alias("pat_id"), "registry_id", "registry_name").distinct()
     return joins.null_safe_join(people, t.px_patient.select("pat_id"), ["pat_id"])
 
@@ -169,7 +169,7 @@ def _(t: Tables):
 def _(t: Tables):
     from areaspark.plans import cohorts
 
-    people = joins.hot_split_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
+    people = joins.null_safe_join(t.px_patient, t.px_cache.select(*_PARTS, "X", "Y"), _PARTS).select("pat_id", "X", "Y")
     spots = t.px_cache.where("X is not null").groupBy("X", "Y").agg(F.count(F.lit(1)).alias("n"))
     return cohorts.at_located_points(people, spots)
 

@@ -11,6 +11,7 @@ from areaspark.queries import indicators, people
 from areaspark.queries.indicators import AREA, KEYS, r6
 from areaspark.queries.registry import Tables, query, view
 from areaspark.queries.shapes import CITY
+from areaspark.sources import readers
 
 MUNI = ["County", "Municipality"]
 people.hits("ox_point_hits", "px_points", "ID, X, Y", "px_edges_muni", "County, Municipality")
@@ -173,7 +174,7 @@ def _(t: Tables):
 # --- place lists ---------------------------------------------------------------------
 
 _NUM = "nullif(regexp_extract({0}, '[0-9]+'), '')"
-_W = [f"w[{i}]" for i in range(1, 13)]
+_W = [*[f"w[{i}]" for i in range(1, 12)], "nullif(array_to_string(w[12:], ' '), '')"]
 _SCHOOL = f"""WITH l AS (SELECT value, string_split(value, ' ') AS w FROM px_school_lines),
     n AS (SELECT *, CASE WHEN w[2] = 'Promise' THEN '5425' ELSE coalesce({', '.join(_NUM.format(c) for c in _W[2:9])}) END AS num FROM l),
     p AS (SELECT *, coalesce(list_position(w[3:7], num), 0) AS pos FROM n),
@@ -190,8 +191,7 @@ _SCHOOL = f"""WITH l AS (SELECT value, string_split(value, ' ') AS w FROM px_sch
 
 @query("parse_school_lines", _SCHOOL)
 def _(t: Tables):
-    words = F.split("value", " ", -1)
-    lines = t.px_school_lines.select([F.get(words, F.lit(i)).alias(c) for i, c in enumerate(placelists.SCHOOL_COLUMNS)])
+    lines = readers.token_columns(t.px_school_lines, placelists.SCHOOL_COLUMNS, surplus="merge")
     return placelists.parse_schools(lines)
 
 

@@ -194,7 +194,7 @@ def _(t: Tables):
     FROM (SELECT pharmacy_id, string_split(pharmacy_name, '-') AS w FROM px_pharmacy)""",
 )
 def _(t: Tables):
-    parts = text.split_columns("pharmacy_name", "-", ["a", "b", "c"], merge=True)
+    parts = text.split_columns("pharmacy_name", "-", ["a", "b", "c"], "merge")
     return t.px_pharmacy.select("pharmacy_id", *[c.alias(n) for n, c in parts.items()])
 
 

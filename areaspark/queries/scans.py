@@ -55,13 +55,13 @@ def _(t: Tables):
 @query(
     "scan_delim_positional",
     """SELECT w[1] AS "A", w[2] AS "B", w[3] AS "C", w[4] AS "D", w[5] AS "E", w[6] AS "G", w[7] AS "H", w[8] AS "I",
-    w[9] AS "J", w[10] AS "K", w[11] AS "L", w[12] AS "M" FROM (SELECT string_split(value, ' ') AS w FROM px_school_lines)""",
+    w[9] AS "J", w[10] AS "K", w[11] AS "L", nullif(array_to_string(w[12:], ' '), '') AS "M" FROM (SELECT string_split(value, ' ') AS w FROM px_school_lines)""",
 )
 def _(t: Tables):
     from areaspark.operators import placelists
 
     path = sinks.write_lines(t.px_school_lines, session.work_folder(t.spark, "lines"))
-    return readers.tokens(t.spark, path, placelists.SCHOOL_COLUMNS)
+    return readers.tokens(t.spark, path, placelists.SCHOOL_COLUMNS, surplus="merge")
 
 
 _WANTED = ["B01001_001", "B02001_002", "B02001_003", "B03002_012"]

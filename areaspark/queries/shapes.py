@@ -17,7 +17,7 @@ OVERRIDES = {"Nation_3 Township": "EUROPE", "Nation_7 Township": "ASIA"}
 COUNTIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE-EAST"]
 COUNTY_STATES = ["AFRICA OH", "AMERICA OH", "ASIA KY", "EUROPE KY", "MIDDLE-EAST IN"]
 
-VARIABLES = [*catalog.variable_list(), catalog.PUBLIC_ASSISTANCE]
+VARIABLES = [*catalog.variable_list(), catalog.PUBLIC_ASSISTANCE, *catalog.earlier_list()]
 
 
 def whole(expr: str) -> str:
@@ -82,7 +82,19 @@ def listed(cols: dict[str, str]) -> str:
 
 shape("px_vars", catalog.values_text(list(enumerate(VARIABLES)), ["idx", "variable"]))
 shape("px_dict", catalog.values_text(catalog.dictionary_rows(), ["variable", "label", "concept"]))
-shape("px_cat", catalog.values_text(catalog.category_rows(), ["variable", "category"]))
+# Written out from the rule, not from the plan: table and numbers of each category.
+_CATEGORIES = {
+    "Population": ("B01001", [1]), "Children": ("B01001", [3, 4, 5, 6, 27, 28, 29, 30]), "White": ("B02001", [2]), "Black": ("B02001", [3]),
+    "Hispanic": ("B03002", [12]), "Households": ("B11005", [1]), "HHWithChildren": ("B11005", [2]), "Age25": ("B15003", [1]),
+    "HighSchool": ("B15003", list(range(17, 26))), "Age5": ("B16004", [1]), "English": ("B16004", [3, 25, 47]),
+    "LimitedEnglish": ("B16004", [n + m for n in (0, 22, 44) for m in (7, 8, 12, 13, 17, 18, 22, 23)]),
+    "Families": ("B17010", [1]), "Poverty": ("B17010", [2]), "MedianHHIncome": ("B19049", [1]), "Assistance": ("B19058", [2]),
+    "HousingUnits": ("B25002", [1]), "Vacant": ("B25002", [3]), "Uninsured": ("B27010", [17, 33, 50, 66]),
+}
+shape(
+    "px_cat",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}_{n:03d}', '{c}')" for c, (t, ns) in _CATEGORIES.items() for n in ns) + ") AS t(variable, category)",
+)
 
 # Survey rows. Totals are scaled up; medians and vacancies have missing estimates.
 ESTIMATE = (
@@ -90,7 +102,7 @@ ESTIMATE = (
     "WHEN v.variable = 'B19049_001' THEN l_extendedprice "
     "WHEN substring(v.variable, 7, 4) = '_001' THEN l_quantity * 40 ELSE l_quantity END"
 )
-ROWS = "FROM lineitem l JOIN px_vars v ON l.l_partkey % 128 = v.idx"
+ROWS = f"FROM lineitem l JOIN px_vars v ON l.l_partkey % {len(VARIABLES)} = v.idx"
 shape("px_bg_rows", f"SELECT {bg_geoid('l_suppkey')} AS GEOID, v.variable, {ESTIMATE} AS estimate {ROWS}")
 # one row per area and variable where a median must be unique
 shape("px_bg", "SELECT GEOID, variable, CASE WHEN variable = 'B19049_001' THEN max(estimate) ELSE sum(estimate) END AS estimate FROM px_bg_rows GROUP BY GEOID, variable")

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "areaspark", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cpus) if cpus != "*" else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.functions import missing
+from areaspark.functions import missing, text
 from areaspark.operators import address, joins
 
 _SKIP = "skip_"
@@ -24,10 +24,26 @@ def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def tokens(spark: SparkSession, path: str, columns: Sequence[str], delimiter: str = " ") -> DataFrame:
-    """Text lines with uneven word counts; missing words NULL, surplus words dropped."""
-    words = F.split("value", delimiter, -1)
-    return spark.read.text(path).select([F.get(words, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+def tokens(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    delimiter: str = " ",
+    header: bool = True,
+    surplus: str = "error",
+) -> DataFrame:
+    """Text lines with uneven word counts, after a header line in each file.
+
+    Missing words are NULL; surplus words are an error, or stay with the last one ("merge").
+    """
+    lines = spark.read.schema("value string").option("header", header).option("sep", "\u0001").option("quote", "").csv(path)
+    return token_columns(lines, columns, delimiter, surplus)
+
+
+def token_columns(lines: DataFrame, columns: Sequence[str], delimiter: str = " ", surplus: str = "error") -> DataFrame:
+    """Words of the column ``value`` as columns."""
+    words = text.split_columns("value", delimiter, columns, surplus)
+    return lines.select([c.alias(n) for n, c in words.items()])
 
 
 def long_survey(
@@ -59,15 +75,15 @@ def match_dictionaries(left: DataFrame, right: DataFrame) -> DataFrame:
     return joins.null_safe_join(left, right, ["label", "concept"], "left")
 
 
-def sql_query(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+def sql_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Result of a query over named tables, written ``{name}`` in the text."""
-    return spark.sql(text, **tables)
+    return spark.sql(query, **tables)
 
 
 def jdbc_query(
     spark: SparkSession,
     url: str,
-    text: str,
+    query: str,
     partition: tuple[str, str, str, int] | None = None,
     properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
@@ -78,10 +94,10 @@ def jdbc_query(
     """
     reader = spark.read.format("jdbc").option("url", url).options(**(properties or {}))
     if partition is None:
-        return reader.option("query", text).load()
+        return reader.option("query", query).load()
     column, lower, upper, parts = partition
     return (
-        reader.option("dbtable", f"({text}) q")
+        reader.option("dbtable", f"({query}) q")
         .option("partitionColumn", column)
         .option("lowerBound", lower)
         .option("upperBound", upper)

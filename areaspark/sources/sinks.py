@@ -14,8 +14,8 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_lines(df: DataFrame, path: str) -> str:
-    """One text column as lines."""
-    df.write.mode("errorifexists").text(path)
+    """One text column as lines, below its name in each file."""
+    df.write.mode("errorifexists").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
     return path
 
 

@@ -32,34 +32,44 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_lookup_on_a_hot_key(spark, no_broadcast):
-    df = _hot(spark)
-    lookup = df.select("k").distinct().withColumn("n", F.length("k"))
-    for how in ("inner", "left"):
-        salted = joins.lookup_join(df, lookup, ["k"], how, salts=8)
-        assert rows(salted) == rows(joins.null_safe_join(df, lookup, ["k"], how))
-    assert joins.lookup_join(df, lookup.where("k = 'hot'"), ["k"], "left_semi").count() == 1000
-    assert joins.lookup_join(df, lookup.where("k = 'hot'"), ["k"], "left_anti").count() == 2000
-
-
-def test_split_join_on_a_hot_key(spark, no_broadcast):
-    df = _hot(spark)
-    other = df.select("k").distinct().select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).where("k <> 'k1'")
-    other = other.unionByName(spark.createDataFrame([(None, 9)], "k string, n int"))
-    df = df.unionByName(df.limit(5).withColumn("k", F.lit(None).cast("string")))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        split = joins.hot_split_join(df, other, ["k"], how, salts=7, hot_rows=500)
-        assert rows(split) == rows(joins.null_safe_join(df, other, ["k"], how))
-
-
-def test_hot_key_is_spread(spark):
-    salted = joins.with_salt(_hot(spark).repartition(4, "k"), 8)
-    sizes = [r["count"] for r in salted.where("k = 'k1'").groupBy("__salt").count().collect()]
-    assert len(sizes) > 3
+def _runs(df):
+    """Executed plan after a run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_reads_only_what_is_asked(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey", "p_brand")
+    joined = joins.null_safe_join(lines, parts, {"l_partkey": "p_partkey"}).where("l_shipmode = 'AIR'").select("l_orderkey", "p_brand")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "lineitem" in x)
+    assert "EqualTo(l_shipmode,AIR)" in scan
+    schema = re.search(r"ReadSchema: struct<([^>]*)", scan)[1]
+    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_orderkey", "l_partkey", "l_shipmode"]
+
+
+def test_equal_rows_of_a_hot_key_are_split(spark, no_broadcast):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 60_000, 1, 16).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.lit("equal").alias("v"))
+        small = df.select("k").distinct().withColumn("n", F.length("k"))
+        joined = joins.null_safe_join(df, small, ["k"])
+        assert "skew=true" in _runs(joined) and joined.count() == 60_000
+        total = joins.null_safe_join(df, small, ["k"], "left").groupBy("k").agg(F.sum("n").alias("s"))
+        assert "skew=true" in _runs(total)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_group_total_on_a_hot_key(spark, no_broadcast):
-    added = windows.with_group_values(_hot(spark), ["k"], {"total": F.sum("estimate")}, hot_rows=500)
+    added = windows.with_group_values(_hot(spark), ["k"], {"total": F.sum("estimate")})
     out = added.groupBy("k").agg(
         F.count("*").alias("n"), F.min("total").alias("a"), F.max("total").alias("b"), F.sum("estimate").alias("s")
     )
