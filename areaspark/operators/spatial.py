@@ -3,12 +3,13 @@
 A polygon is a set of edge rows: its area keys and ``x1, y1, x2, y2``. All
 coordinates share one planar reference system.
 
-The join works on a grid. Each polygon lists the grid cells it meets; a cell that
-no edge of the polygon passes through is wholly inside (kept without edges) or
-wholly outside (dropped). A point meets only the polygons of its own cell, and
-only the edges in its own grid row are tested, so the work per point does not
-grow with the size of a polygon. Boundary points belong to every polygon they
-touch.
+The join works on grids. Each polygon lists the grid cells it meets, on the finest of
+the grids (each twice as coarse as the one before) on which it is at most ``SPAN``
+cells wide and high; a cell that no edge of the polygon passes through is wholly
+inside (kept without edges) or wholly outside (dropped). A point meets only the
+polygons of its own cell, and only the edges in its grid row and not left of its cell
+are tested, so neither the cells nor the work per point grow with the size of a
+polygon. Boundary points belong to every polygon they touch.
 """
 
 from __future__ import annotations
@@ -21,10 +22,25 @@ from pyspark.sql import functions as F
 from areaspark.operators import joins
 
 EDGE = ["x1", "y1", "x2", "y2"]
+# cells that a polygon is wide or high, at most about
+SPAN = 64
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / F.lit(size)).cast("long")
+def _cell(v: Column, size: Column | float) -> Column:
+    return F.floor(v / (size if isinstance(size, Column) else F.lit(size))).cast("long")
+
+
+def _size(level: Column, cell: float) -> Column:
+    return F.lit(float(cell)) * F.pow(F.lit(2.0), level)
+
+
+def polygon_levels(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Grid of each polygon: 0 has cells of size ``cell``, every further one cells twice as large."""
+    low = lambda a, b: F.min(F.least(a, b))
+    high = lambda a, b: F.max(F.greatest(a, b))
+    extent = F.greatest(high("x1", "x2") - low("x1", "x2"), high("y1", "y2") - low("y1", "y2"))
+    doublings = F.ceil(F.log2(extent / F.lit(float(cell * SPAN))))
+    return edges.groupBy(*keys).agg(F.greatest(F.coalesce(doublings, F.lit(0)), F.lit(0)).cast("int").alias("level"))
 
 
 def _crosses(e: Column, x: Column, y: Column) -> Column:
@@ -55,15 +71,18 @@ def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFra
     One polygon's edges within one grid row form one array; a polygon is a single
     geometry value, so this is bounded by its number of corners.
     """
+    leveled = joins.null_safe_join(edges.select(*keys, *EDGE), polygon_levels(edges, keys, cell), list(keys))
+    size = _size(F.col("level"), cell)
     low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edges.select(
+    rows = leveled.select(
         *keys,
+        "level",
         F.struct(*EDGE).alias("e"),
-        _cell(F.least("x1", "x2"), cell).alias("lx"),
-        _cell(F.greatest("x1", "x2"), cell).alias("hx"),
-        F.explode(F.sequence(_cell(low_y, cell), _cell(high_y, cell))).alias("cy"),
+        _cell(F.least("x1", "x2"), size).alias("lx"),
+        _cell(F.greatest("x1", "x2"), size).alias("hx"),
+        F.explode(F.sequence(_cell(low_y, size), _cell(high_y, size))).alias("cy"),
     )
-    bands = rows.groupBy(*keys, "cy").agg(
+    bands = rows.groupBy(*keys, "level", "cy").agg(
         F.collect_list(
             F.struct("e.x1", "e.y1", "e.x2", "e.y2", "lx", "hx")
         ).alias("edges"),
@@ -71,15 +90,17 @@ def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFra
         F.max("hx").alias("to_x"),
     )
     cells = bands.select(
-        *keys, "cy", "edges", F.explode(F.sequence("from_x", "to_x")).alias("cx")
+        *keys, "level", "cy", "edges", F.explode(F.sequence("from_x", "to_x")).alias("cx")
     )
+    # edges left of a cell neither hold its points nor meet the rays that leave them to the right
+    cells = cells.withColumn("edges", F.filter("edges", lambda e: e["hx"] >= F.col("cx")))
     passed = F.exists("edges", lambda e: (e["lx"] <= F.col("cx")) & (F.col("cx") <= e["hx"]))
-    middle_x, middle_y = (F.col("cx") + 0.5) * F.lit(cell), (F.col("cy") + 0.5) * F.lit(cell)
+    middle_x, middle_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
     inside = F.size(F.filter("edges", lambda e: _crosses(e, middle_x, middle_y))) % 2 == 1
     return (
         cells.withColumn("passed", passed)
         .where(F.col("passed") | inside)
-        .select(*keys, "cx", "cy", F.when(F.col("passed"), F.col("edges")).alias("edges"))
+        .select(*keys, "level", "cx", "cy", F.when(F.col("passed"), F.col("edges")).alias("edges"))
     )
 
 
@@ -98,12 +119,21 @@ def points_in_polygons(
     by adaptive execution when the polygons are too many to broadcast.
     """
     cells = polygon_cells(edges, keys, cell)
-    keyed = points.withColumns(
-        {"__cx": _cell(F.col(x), cell), "__cy": _cell(F.col(y), cell)}
-    )
+    # the grids in use: as many as the sizes of the polygons have powers of two, at most
+    levels = sorted(r["level"] for r in polygon_levels(edges, keys, cell).select("level").distinct().collect()) or [0]
+    if how == "left" and len(levels) > 1:
+        matched = points_in_polygons(points, edges, keys, x, y, cell)
+        rest = joins.null_safe_join(points, matched.select(x, y).distinct(), [x, y], "left_anti")
+        kinds = {f.name: f.dataType for f in matched.schema.fields}
+        missing = [F.lit(None).cast(kinds[c]).alias(c) if c in keys else F.col(c) for c in matched.columns]
+        return matched.unionByName(rest.select(*missing))
+    size = _size(F.col("__level"), cell)
+    level = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels)))
+    keyed = points.withColumn("__level", level).withColumns({"__cx": _cell(F.col(x), size), "__cy": _cell(F.col(y), size)})
     renamed = cells.withColumnsRenamed({k: f"__p_{k}" for k in keys})
     hit = (
-        (F.col("__cx") == F.col("cx"))
+        (F.col("__level") == F.col("level"))
+        & (F.col("__cx") == F.col("cx"))
         & (F.col("__cy") == F.col("cy"))
         & (F.col("edges").isNull() | covers(F.col("edges"), F.col(x), F.col(y)))
     )

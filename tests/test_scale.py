@@ -41,12 +41,12 @@ def _runs(df):
 def test_join_reads_only_what_is_asked(spark):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
     parts = spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey", "p_brand")
-    joined = joins.null_safe_join(lines, parts, {"l_partkey": "p_partkey"}).where("l_shipmode = 'AIR'").select("l_orderkey", "p_brand")
+    joined = joins.null_safe_join(lines, parts, {"l_partkey": "p_partkey"}).where("l_returnflag = 'R'").select("l_orderkey", "p_brand")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.splitlines() if "lineitem" in x)
-    assert "EqualTo(l_shipmode,AIR)" in scan
+    assert "EqualTo(l_returnflag,R)" in scan
     schema = re.search(r"ReadSchema: struct<([^>]*)", scan)[1]
-    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_orderkey", "l_partkey", "l_shipmode"]
+    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_orderkey", "l_partkey", "l_returnflag"]
 
 
 def test_equal_rows_of_a_hot_key_are_split(spark, no_broadcast):
@@ -114,7 +114,17 @@ def _inside(ring, x, y):
     return odd
 
 
-@pytest.mark.parametrize("cell", [0.3, 1.0, 7.0])
+def test_cells_do_not_grow_with_a_polygon(spark):
+    corners = [(0, 0), (400, 0), (400, 400), (0, 400)]
+    edges = spark.createDataFrame([("a", *map(float, p), *map(float, q)) for p, q in zip(corners, corners[1:] + corners[:1])], "area string, x1 double, y1 double, x2 double, y2 double")
+    assert spatial.polygon_cells(edges, ["area"], 0.25).count() < 4000
+    points = spark.createDataFrame([(1, 399.9, 0.1), (2, 400.1, 5.0), (3, 200.0, 200.0), (4, 0.0, 77.7), (5, None, 1.0)], "id int, X double, Y double")
+    both = edges.unionByName(_edges(spark))
+    got = rows(spatial.points_in_polygons(points, both, ["area"], how="left").select("id", "area"))
+    assert got == [(1, "a"), (2, None), (3, "a"), (4, "a"), (5, None)]
+
+
+@pytest.mark.parametrize("cell", [0.02, 0.3, 1.0, 7.0])
 def test_points_in_polygons_against_brute_force(spark, cell):
     rnd = random.Random(5)
     pts = [(i, rnd.uniform(-4, 8), rnd.uniform(-4, 8)) for i in range(800)]
