@@ -53,17 +53,18 @@ def tier_rank(tier_name: Column) -> Column:
 def rate_benchmarks(
     wide: DataFrame,
     measures: Sequence[str],
-    denominator: str,
+    denominator: str | Mapping[str, str],
     own: Column,
     strict: bool = True,
 ) -> DataFrame:
     """Mean, Min and Max of each Rate* in one aggregation, one row per measure.
 
-    The mean is the metro rate over the rows marked ``own`` (whole
+    ``denominator`` is one for all measures or names one for each. The mean is the metro rate over the rows marked ``own`` (whole
     municipalities), so neighbourhoods are not counted twice; the extremes are
     over all rows.
     """
-    base = missing.sum_strict_where(own, denominator)
+    denominators = {m: denominator if isinstance(denominator, str) else denominator[m] for m in measures}
+    base = {d: missing.sum_strict_where(own, d) for d in set(denominators.values())}
     lowest = missing.min_strict if strict else F.min
     highest = missing.max_strict if strict else F.max
     one = wide.agg(
@@ -71,7 +72,7 @@ def rate_benchmarks(
             *[
                 F.struct(
                     F.lit(m).alias("name"),
-                    missing.ratio(missing.sum_strict_where(own, f"Total{m}"), base).alias("Mean"),
+                    missing.ratio(missing.sum_strict_where(own, f"Total{m}"), base[denominators[m]]).alias("Mean"),
                     lowest(f"Rate{m}").alias("Min"),
                     highest(f"Rate{m}").alias("Max"),
                 )
@@ -86,7 +87,7 @@ def compare_rates(
     wide: DataFrame,
     keys: Sequence[str],
     measures: Sequence[str],
-    denominator: str,
+    denominator: str | Mapping[str, str],
     own: Column,
     strict: bool = True,
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaspark.functions import missing
-from areaspark.operators import benchmark, names
+from areaspark.operators import benchmark, joins, names
 from areaspark.plans import catalog, deprivation, earlier, survey, themes
 from areaspark.queries.registry import Tables, query, view
 from areaspark.queries.scalars import CLEAN_SQL
@@ -468,7 +468,7 @@ def _(t: Tables):
 
 
 def zscore_sql(values: str, variable: str) -> str:
-    return f"""WITH v AS ({values}), wt AS (SELECT sum(v.value * h.estimate) / nullif(sum(h.estimate), 0) AS Mean FROM v JOIN ox_hub h USING ({KEYS})
+    return f"""WITH v AS ({values}), wt AS (SELECT ({strict('v.value * h.estimate')}) / nullif({strict('h.estimate')}, 0) AS Mean FROM v JOIN ox_hub h USING ({KEYS})
       WHERE h.variable = '{variable}' AND Municipality = Neighborhood),
     st AS (SELECT {strict('value', 'min')} AS Min, {strict('value', 'max')} AS Max, CASE WHEN count(value) = count(*) THEN stddev_samp(value) END AS SD FROM v),
     z AS (SELECT v.*, Mean, Min, Max, SD, (value - Mean) / nullif(SD, 0) AS ZScore FROM v, wt, st),
@@ -514,6 +514,65 @@ def _(t: Tables):
     return both.select("name", *AREA, F.round(shade, 6).alias("Shade"))
 
 
+# All seven indicators in one table: name, values, their variable of weight; high values are good for some.
+_INDICATORS = [
+    ("DeprivationIndex", f"SELECT {KEYS}, value FROM ox_di", "B01001_001", False),
+    ("Poverty", _POV, "B17010_001", False),
+    ("Assistance", f"SELECT {KEYS}, AssistancePct AS value FROM ox_assist", "B11012_001", False),
+    ("MedianIncome", _INC, "B11012_001", True),
+    ("Uninsured", f"SELECT {KEYS}, TotalUninsured / nullif(PopPopulation, 0) AS value {join_pops('ox_dep')}", "B01001_001", False),
+    ("NoHS", f"SELECT {KEYS}, TotalNoHighSchool / nullif(PopOver25, 0) AS value {join_pops('ox_dep')}", "B15003_001", True),
+    ("Vacant", f"SELECT {KEYS}, TotalVacant / nullif(PopHousingUnits, 0) AS value {join_pops('ox_dep')}", "B25002_001", False),
+]
+
+
+@query(
+    "indicator_comparison",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS name, {KEYS}, HoodID, round(Mean, 5) AS Mean, round(Scale, 5) AS Scale, round({'Scale' if good else '1 - Scale'}, 5) AS Shade FROM ({zscore_sql(v, w)} SELECT * FROM s) JOIN ox_areas USING ({KEYS})"
+        for n, v, w, good in _INDICATORS
+    ),
+)
+def _(t: Tables):
+    rates = t.kept("inputs", lambda: themes.theme_wide(kept_hub(t), "deprivation"))
+    values = {
+        "DeprivationIndex": di(t), "Poverty": rates.select(*AREA, F.col("RatePoverty").alias("value")),
+        "Assistance": assistance(t).select(*AREA, F.col("AssistancePct").alias("value")), "MedianIncome": income(t),
+        "Uninsured": rates.select(*AREA, F.col("RateUninsured").alias("value")),
+        "NoHS": rates.select(*AREA, F.col("RateNoHighSchool").alias("value")), "Vacant": rates.select(*AREA, F.col("RateVacant").alias("value")),
+    }
+    out = None
+    for name, _, weight, good in _INDICATORS:
+        compared = benchmark.zscore_halfscale(values[name].select(*AREA, "value"), weights(t, weight), AREA, own_row())
+        shade = benchmark.direction_shade(F.col("Scale"), F.lit(good))
+        part = compared.select(F.lit(name).alias("name"), *AREA, F.round("Mean", 5).alias("Mean"), F.round("Scale", 5).alias("Scale"), F.round(shade, 5).alias("Shade"))
+        out = part if out is None else out.unionByName(part)
+    areas = survey.areas(kept_hub(t)).select(*AREA, "HoodID")
+    return joins.null_safe_join(out, areas, AREA)
+
+
+# Four themes against their own denominators: name, total and population of each measure.
+_COMPARED = [
+    ("ox_race", _RACES, {r: f"Total{r}" for r in _RACES}, "PopPopulation"),
+    ("ox_lang", ["OtherThanEnglish", "NotWell"], {"OtherThanEnglish": "(PopOver5 - TotalEnglish)", "NotWell": "TotalNotWell"}, "PopOver5"),
+    ("ox_hh", _HHK, {k: f"Total{k}" for k in _HHK}, "PopHH"),
+    ("ox_mobile", ["SameHome", "SameCity", "Abroad", "OtherUS"], {"SameHome": "TotalSameHome", "SameCity": "TotalSameCity", "Abroad": "TotalAbroad", "OtherUS": _US}, "PopMobility"),
+]
+
+
+@query(
+    "theme_benchmarks",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({bench_sql(v, m, total, pop)} SELECT {KEYS}, name, {_r('value')}, {_r('Mean')}, {_r('Min')}, {_r('Max')}, round({_SHADE}, 5) AS Shade FROM b)" for v, m, total, pop in _COMPARED
+    ),
+)
+def _(t: Tables):
+    wide = t.kept("themes", lambda: themes.totals_and_rates(hub(t), ["race", "language", "households", "mobility"]))
+    denominators = {m: pop for _, measures, _, pop in _COMPARED for m in measures}
+    out = benchmark.compare_rates(wide, AREA, list(denominators), denominators, own_row())
+    return r6(out.drop("Textloc"), "value", "Mean", "Min", "Max").withColumn("Shade", F.round("Shade", 5))
+
+
 _TIER = "CASE WHEN {0} >= 0.6 THEN 'Highest' WHEN {0} >= 0.475 THEN 'Higher' WHEN {0} >= 0.35 THEN 'Medium' WHEN {0} >= 0.225 THEN 'Lower' ELSE 'Lowest' END"
 
 
@@ -693,13 +752,14 @@ def _(t: Tables):
 
 
 _ALL = "coalesce({0}, 'All')"
+_LM = [*earlier.RATES, earlier.MEDIAN, "DeprivationIndex"]
+_RAW = ", ".join(f"'{m}'" for m in ("WhiteRate", "BlackRate", "HispanicRate", "ChildRate", "ChildHHRate", "OtherLanguageRate", "LimitedEnglishRate"))
 view(
     "ox_e_labelled",
     f"""SELECT *, CASE WHEN Neighborhood <> 'All' THEN 'Neighborhood' WHEN Municipality <> 'All' THEN 'Municipality' WHEN County <> 'All' THEN 'County' ELSE 'All' END AS Level
     FROM (SELECT State, County, coalesce(Municipality, 'All') AS Municipality, coalesce(Neighborhood, 'All') AS Neighborhood,
-    WhiteRate, BlackRate, PovertyRate, MedianHHIncome, DeprivationIndex FROM ox_e_wide)""",
+    {', '.join(_LM)} FROM ox_e_wide)""",
 )
-_LM = ["WhiteRate", "BlackRate", "PovertyRate", "MedianHHIncome", "DeprivationIndex"]
 
 
 def labelled(t: Tables) -> DataFrame:
@@ -738,9 +798,9 @@ def _(t: Tables):
     return out.select("variant", "Level", "variable", *[F.round(c, 5).alias(c) for c in ("Mean", "Minimum", "Maximum")])
 
 
-_SCALED = """SELECT r.Level, r.County, r.Municipality, r.Neighborhood, r.variable, r.value, CASE WHEN r.variable IN ('WhiteRate', 'BlackRate') THEN value ELSE (value - Minimum) / nullif(Maximum - Minimum, 0) END AS Scale,
+_SCALED = f"""SELECT r.Level, r.County, r.Municipality, r.Neighborhood, r.variable, r.value, CASE WHEN r.variable IN ({_RAW}) THEN value ELSE (value - Minimum) / nullif(Maximum - Minimum, 0) END AS Scale,
     CASE WHEN value > Mean THEN (value - Mean) / nullif(Maximum - Mean, 0) WHEN value IS NULL OR Mean IS NULL THEN NULL ELSE (value - Mean) / nullif(Mean - Minimum, 0) END AS Shade
-    FROM {0} r JOIN ox_pair_a b ON r.Level = b.Level AND r.variable = b.variable"""
+    FROM {{0}} r JOIN ox_pair_a b ON r.Level = b.Level AND r.variable = b.variable"""
 view("ox_e_rates", "SELECT * FROM ox_e_long WHERE County <> 'All'")
 view(
     "ox_e_enclaves",
