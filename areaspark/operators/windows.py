@@ -7,7 +7,7 @@ with a third of all rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,32 +73,41 @@ def surrogate_id(*cols: Column | str) -> Column:
 
 
 def dense_ids(
-    df: DataFrame, order: Mapping[str, Column], name: str, buckets: int = 64
+    df: DataFrame,
+    order: Mapping[str, Column],
+    name: str,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+    cuts: int = 64,
 ) -> DataFrame:
     """Consecutive ids from 1 in a global order, missing keys last.
 
-    The order is cut into ranges at the keys with the smallest hashes (a fixed
-    sample of ``buckets`` rows). Rows are numbered inside their range and shifted
-    by the size of the ranges before it, so no task sees the whole table. The
-    ordering keys must identify a row.
+    Rows are numbered inside ranges of the order and shifted by the size of the ranges
+    before, so no task sees the whole table. With ``keep``, which writes a frame once, the
+    ranges are as many as shuffle partitions and follow the size of the table; without it,
+    as suits small tables, they are cut at a fixed sample of ``cuts`` keys. The ordering
+    keys must identify a row.
     """
     keys = {f"__o{i}": c for i, c in enumerate(order.values())}
     keyed = df.withColumns(keys)
-    # (is missing, value) sorts missing keys last inside the struct comparison
-    rank = F.struct(*[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
-    keyed = keyed.withColumn("__key", rank)
-    cuts = (
-        keyed.select("__key")
-        .orderBy(F.xxhash64("__key"), "__key")
-        .limit(buckets)
-        .agg(F.sort_array(F.collect_list("__key")).alias("c"))
-    )
-    ranged = keyed.select("*", cuts.scalar().alias("__cuts")).withColumn(
-        "__range",
-        F.size(F.filter("__cuts", lambda c: c <= F.col("__key"))),
-    ).drop("__cuts")
+    # (is missing, value) sorts missing keys last
+    by = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+    if keep is None:
+        keyed = keyed.withColumn("__key", F.struct(*by))
+        sample = (
+            keyed.select("__key")
+            .orderBy(F.xxhash64("__key"), "__key")
+            .limit(cuts)
+            .agg(F.sort_array(F.collect_list("__key")).alias("c"))
+        )
+        ranged = keyed.select("*", sample.scalar().alias("__cuts")).withColumn(
+            "__range",
+            F.size(F.filter("__cuts", lambda c: c <= F.col("__key"))),
+        ).drop("__cuts", "__key")
+    else:
+        # part ids hold for the written frame only
+        ranged = keep(keyed.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    # at most buckets + 1 rows reach this window
+    # one row for each range reaches this window
     before = sizes.select(
         "__range",
         (
@@ -106,7 +115,7 @@ def dense_ids(
             - F.col("__n")
         ).alias("__before"),
     )
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
     return (
         ranged.withColumn("__i", inside)
         .join(before, "__range")

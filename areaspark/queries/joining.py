@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areaspark.functions import text
+from areaspark import session
 from areaspark.operators import joins, ordering, reshape, windows
 from areaspark.queries.registry import Tables, query, view
 from areaspark.sources import readers
@@ -290,7 +291,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.customer.select("c_name", "c_mktsegment")
-    return windows.dense_ids(rows, {"segment": F.col("c_mktsegment"), "name": F.col("c_name")}, "id")
+    return windows.dense_ids(rows, {"segment": F.col("c_mktsegment"), "name": F.col("c_name")}, "id", lambda df: session.keep(df, "ranges"))
 
 
 @query(

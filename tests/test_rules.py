@@ -6,10 +6,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from areaspark import session
 from areaspark.functions import dates, missing, numbers, text
 from areaspark.operators import address, benchmark, joins, names, ordering, placelists, reshape, windows
 from areaspark.plans import catalog, cohorts, deprivation, survey
 from areaspark.plans.survey import City
+from areaspark.sources import readers, sinks
 
 
 def test_null_keys_match_and_appear_once(spark):
@@ -150,7 +152,7 @@ def test_single_rows(spark):
 def test_dense_ids_match_a_global_order(spark):
     data = [(f"n{(i * 37) % 101:03d}" if i % 10 else None, i) for i in range(500)]
     df = spark.createDataFrame(data, "n string, i int")
-    got = {r["i"]: r["id"] for r in windows.dense_ids(df, {"n": F.col("n"), "i": F.col("i")}, "id", buckets=7).collect()}
+    got = {r["i"]: r["id"] for r in windows.dense_ids(df, {"n": F.col("n"), "i": F.col("i")}, "id", cuts=7).collect()}
     order = sorted(data, key=lambda r: (r[0] is None, r[0] or "", r[1]))
     assert got == {i: at for at, (_, i) in enumerate(order, 1)}
 
@@ -312,3 +314,74 @@ def test_area_views(spark):
     muni, city = survey.area_views(areas, City("City", "c", "Ohio", ("In",)))
     assert [r[-1] for r in rows(muni)] == [1, 3, 4]
     assert sorted(r[-1] for r in city.collect()) == [2, 3]
+
+
+def test_surplus_parts_are_refused_merged_or_left_out(spark):
+    df = spark.createDataFrame([("a-b-c",), ("a",), (None,)], "v string")
+
+    def parts(surplus):
+        return rows(df.select(*[c.alias(n) for n, c in text.split_columns("v", "-", ["x", "y"], surplus).items()]))
+
+    with pytest.raises(Exception, match="more than 2 parts: a-b-c"):
+        parts("error")
+    assert parts("merge") == [("a", "b-c"), ("a", None), (None, None)]
+    assert parts("drop") == [("a", "b"), ("a", None), (None, None)]
+
+
+def test_lines_keep_surplus_words_and_lose_their_header(spark):
+    lines = spark.createDataFrame([('one "two" three four',), ("one",)], "value string")
+    path = sinks.write_lines(lines, session.work_folder(spark, "lines"))
+    got = rows(readers.tokens(spark, path, ["a", "b", "c"], surplus="merge"))
+    assert got == [("one", '"two"', "three four"), ("one", None, None)]
+    with pytest.raises(Exception, match="more than 3 parts"):
+        readers.tokens(spark, path, ["a", "b", "c"]).collect()
+
+
+def test_schools_and_pharmacies_stop_at_surplus_parts(spark):
+    line = "North Hill School 12 Main St, Cincinnati, OH 45202, extra"
+    words = readers.token_columns(spark.createDataFrame([(line,)], "value string"), placelists.SCHOOL_COLUMNS, surplus="merge")
+    with pytest.raises(Exception, match="more than 3 parts"):
+        placelists.parse_schools(words).collect()
+    shop = spark.createDataFrame([("1", "RX-A, B, C, D, OH-1 ELM")], "pharmacy_id string, pharmacy_name string")
+    with pytest.raises(Exception, match="more than 4 parts"):
+        placelists.parse_pharmacies(shop).collect()
+    shop = spark.createDataFrame([("1", "RX--a-b-c-d-e-MASON, OH")], "pharmacy_id string, pharmacy_name string")
+    with pytest.raises(Exception, match="more than 5 parts"):
+        placelists.parse_pharmacies_earlier(shop).collect()
+
+
+def test_counties_of_several_words(spark):
+    raw = spark.createDataFrame([("39061", "12.01", "St. Clair OH", "Mason city", 1.0)], "CountyCode string, Tract string, County string, Municipality string, Allocation double")
+    row = survey.tract_crosswalk(raw, ["St. Clair OH"]).first()
+    assert (row["County"], row["State"]) == ("St. Clair", "Ohio")
+    with pytest.raises(Exception, match="no county and state"):
+        survey.tract_crosswalk(raw.withColumn("County", F.lit("Clair")), ["Clair"]).collect()
+
+
+def test_measure_is_the_last_word_of_a_name(spark):
+    wide = spark.createDataFrame([("c", "m", "n", 3.0)], "County string, Municipality string, Neighborhood string, Sickle_Cell_Registry double")
+    children = spark.createDataFrame([("c", "m", "n", 60.0)], "County string, Municipality string, Neighborhood string, Children double")
+    row = cohorts.rates_per_hundred(wide, children).first()
+    assert (row["Condition"], row["Measure"], row["Rate"]) == ("Sickle_Cell", "Registry", 5.0)
+
+
+def test_earlier_households_come_from_their_own_table():
+    found = dict(catalog.category_rows())
+    assert found["B11005_001"] == "Households" and found["B11005_002"] == "HHWithChildren"
+    assert "B11012_001" not in found and "B11012_003" not in found and len(set(found.values())) == 19
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_dense_ids_follow_the_order(spark, kept):
+    df = spark.range(500).select(F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 500)).alias("v"), "id").repartition(5)
+    keep = (lambda f: session.keep(f, "ranges")) if kept else None
+    got = windows.dense_ids(df, {"v": F.col("v"), "id": F.col("id")}, "n", keep).collect()
+    want = sorted(got, key=lambda r: (r["v"] is None, r["v"] or 0, r["id"]))
+    assert [r["n"] for r in want] == list(range(1, 501))
+
+
+def test_one_of_several_positions_is_always_the_same(spark):
+    places = spark.createDataFrame([("a",), ("b",)], "k string")
+    first = spark.createDataFrame([("a", 2.0, 9.0), ("a", 1.0, 5.0), ("b", None, 1.0)], "k string, lat double, long double").repartition(3)
+    second = spark.createDataFrame([("b", 7.0, 8.0), ("a", 0.0, 0.0)], "k string, lat double, long double")
+    assert rows(address.geocode_cascade(places, [first, second], ["k"])) == [("a", 1.0, 5.0), ("b", 7.0, 8.0)]
