@@ -53,11 +53,18 @@ KINDS = {
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}" + _STOP + r"|(?<![0-9A-Za-z.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _STOP,
     "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _STOP,
-    "name": r"(?<=(?<![\p{L}\p{N}])(?:" + _FORM + r")\.? )\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40})?",
+    "name": r"(?=\p{Lu})(?<=(?<![\p{L}\p{N}])(?:" + _FORM + r")\.? )\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40})?",
 }
-PATTERN = "|".join(KINDS.values())
-#: What a text with an entity holds at least.
-HINT = "[0-9@]|" + _FORM
+# No entity starts inside a run of ASCII letters and digits: most places are passed over at once.
+PATTERN = r"(?<![0-9A-Za-z])(?=[\p{L}\p{N}+(._-])(?:" + "|".join(KINDS.values()) + ")"
+
+
+def _hint(text: Column) -> Column:
+    """What a text with an entity holds at least, found without alternatives at every place."""
+    hint = text.rlike("[0-9@]")
+    for form in MALE + FEMALE:
+        hint = hint | text.contains(form)
+    return hint
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -188,7 +195,7 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", count: s
     columns = df.columns
     # everything else travels as one column, so that no name can clash
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), df[text].alias("t"))
-    base = base.withColumn("values", F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))))
+    base = base.withColumn("values", F.when(_hint(F.col("t")), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))))
     base = base.withColumn("n", F.coalesce(F.array_size("values"), F.lit(0)))
 
     def told(frame: DataFrame, new: Column) -> DataFrame:
