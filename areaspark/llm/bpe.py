@@ -4,7 +4,7 @@ Encoding of a word holds the parts that are left and the ranks of adjacent pairs
 flat arrays, looks for the smallest rank, drops the boundary there and refreshes the two
 ranks beside it; the arrays are rows of a matrix, so that many words take each step
 together. Words beyond ``SHORT`` bytes, where repeated scans cost too much, keep the ranks
-in a heap. Each worker remembers the ids of the words it met, within a bound.
+in a heap. A task remembers the ids of the words it met, within a bound.
 
 Cases: null text counts as empty; empty text has no ids and decodes to empty text; repeated
 rows give repeated results; no rows give no rows; other columns of the input are ignored.
@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from areaspark.llm import common
 
 SHORT = 128
-#: Words a worker remembers from one piece of work to the next; beyond it, it starts anew.
-REMEMBERED = 500_000
+#: Words a task remembers from one piece of work to the next; beyond it, it starts anew.
+REMEMBERED = 150_000
+#: Bytes of text in a piece of work, about.
+PIECE = 500_000
 NONE = 2**31 - 1
 
 #: The word pattern of the byte-level pre-tokenizer.
@@ -211,6 +213,10 @@ class Codec:
             for plan in plans
         ]
 
+    def forget(self) -> None:
+        """Idle workers hold the vocabulary only."""
+        self.known, self.small = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
@@ -230,39 +236,47 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
-    """The kept columns, ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``."""
+def _mapped(df: DataFrame, source: str, keep: Sequence[str], path: str | None, results: dict[str, T.DataType]) -> DataFrame:
+    """The kept columns and those of ids, n_tokens and decoded that ``results`` names."""
     path = path or default_path()
-    common.needs(df, [text, *keep])
-    schema = common.schema_of(df, keep, ids=T.BinaryType(), n_tokens=T.LongType())
-    df = df.select(*keep, df[text].alias("_text"))
+    common.needs(df, [source, *keep])
+    schema = common.schema_of(df, keep, **results)
+    own = [c for c in keep if c != source]
+    df = df.select(*own, df[source].alias("_source"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for piece in common.pieces(batch, "_text"):
-                ids = coder.encode_many(piece.column("_text").to_pylist())
-                cols = [piece.column(c) for c in keep]
-                cols += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", "n_tokens"])
+            for piece in common.pieces(batch, "_source", PIECE):
+                ids = piece.column("_source").to_pylist()
+                if "ids" in results:
+                    ids = coder.encode_many(ids)
+                made = {
+                    "ids": lambda: pa.array(ids, pa.binary()),
+                    "n_tokens": lambda: pa.array([len(x or b"") // 4 for x in ids], pa.int64()),
+                    "decoded": lambda: pa.array([coder.decode(x) for x in ids], pa.string()),
+                }
+                cols = [piece.column("_source" if c == source else c) for c in keep] + [made[c]() for c in results]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *results])
+        coder.forget()
 
     return df.mapInArrow(task, schema)
 
 
+_IDS = {"ids": T.BinaryType(), "n_tokens": T.LongType()}
+_TEXT = {"decoded": T.StringType()}
+
+
+def encode(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """The kept columns, ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``."""
+    return _mapped(df, text, keep, path, _IDS)
+
+
 def decode(df: DataFrame, ids: str = "ids", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The kept columns and ``decoded``, the text of the ids; null ids decode to empty text."""
-    path = path or default_path()
-    common.needs(df, [ids, *keep])
-    schema = common.schema_of(df, keep, decoded=T.StringType())
-    own = [c for c in keep if c != ids]
-    df = df.select(*own, df[ids].alias("_ids"))
+    return _mapped(df, ids, keep, path, _TEXT)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for batch in batches:
-            for piece in common.pieces(batch, "_ids"):
-                texts = [coder.decode(x.as_py()) for x in piece.column("_ids")]
-                cols = [piece.column("_ids" if c == ids else c) for c in keep] + [pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "decoded"])
 
-    return df.mapInArrow(task, schema)
+def round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """Encode and decode in one task: the kept columns, ``ids``, ``n_tokens`` and ``decoded``."""
+    return _mapped(df, text, keep, path, _IDS | _TEXT)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a task are worked off in pieces of about so many characters.
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 2_000_000
 
 
 def ascii_lower(text: Column) -> Column:

@@ -31,7 +31,7 @@ LENGTH = 300
 ROWS_PER_LANGUAGE = 2_000
 NONE = "und"
 #: Characters and texts counted together.
-SEGMENT, TEXTS = 2_000_000, 4_000
+SEGMENT, TEXTS = 500_000, 4_000
 _BITS, _CODE = 17, 21
 EDGE = 1  # stands for everything between words
 

@@ -43,8 +43,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document and decode the ids again."""
-    encoded = bpe.encode(_table(spark, folder, "documents"))
-    return digests(bpe.decode(encoded, keep=("doc_id", "ids", "n_tokens")))
+    return digests(bpe.round_trip(_table(spark, folder, "documents")))
 
 
 @_query

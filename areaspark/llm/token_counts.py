@@ -67,7 +67,7 @@ def write_files(df: DataFrame, folder: str, text: str = "text", keep: Sequence[s
         store.create_dir(base, recursive=True)
         out, name, size, number = None, "", 0, 0
         for batch in batches:
-            for piece in common.pieces(batch, "_text"):
+            for piece in common.pieces(batch, "_text", bpe.PIECE):
                 if out is None or size >= FILE:
                     if out is not None:
                         out.close()
@@ -84,6 +84,7 @@ def write_files(df: DataFrame, folder: str, text: str = "text", keep: Sequence[s
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "file", "size", "number"])
         if out is not None:
             out.close()
+        coder.forget()
 
     return df.mapInArrow(task, schema)
 
