@@ -8,7 +8,7 @@ letter case, script and, for given names, gender (from the form of address) stay
 parts have their own surrogates, so that a surname alone still points to the same person.
 
 Surrogates are checked over the whole corpus: if two entities share one, or one is an
-entity of the corpus itself, the later one is drawn anew until none is left. Texts
+entity of the corpus itself, the later one is drawn anew, from more surrogates each time, until none is left. Texts
 without entities never move; the others are joined with their surrogates by digest.
 
 Only built-in functions are used.
@@ -146,8 +146,13 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     token = F.when(norm.rlike("^[0-9a-f]+$"), F.array_join(hexes, "")).when(norm.rlike("^[0-9A-F]+$"), F.upper(F.array_join(hexes, "")))
     token = token.otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(4)), _like(F.substr(norm, F.lit(5)), stream)))
     cyrillic = norm.rlike(r"^\p{IsCyrillic}")
-    family = F.when(cyrillic, F.concat(*[pick(SYLLABLES_CYRILLIC, i) for i in range(4)])).otherwise(F.concat(*[pick(SYLLABLES, i) for i in range(4)]))
-    more = F.when(attempt > 0, F.concat(F.lit(" "), _range(65, 26, _byte(stream, F.lit(9))), F.lit("."))).otherwise(F.lit(""))
+    # every redraw adds a syllable or an initial, so that there are surrogates for any number of names
+    again = F.when(attempt > 0, F.sequence(F.lit(1), attempt)).otherwise(F.array().cast("array<int>"))
+    added = lambda one: F.array_join(F.transform(again, lambda i: one(_byte(stream, i + 8))), "")
+    syllable = lambda words: lambda b: F.element_at(F.array(*map(F.lit, words)), F.pmod(b, F.lit(len(words))) + 1)
+    longer = lambda words: F.concat(*[pick(words, i) for i in range(4)], added(syllable(words)))
+    family = F.when(cyrillic, longer(SYLLABLES_CYRILLIC)).otherwise(longer(SYLLABLES))
+    more = added(lambda b: F.concat(F.lit(" "), _range(65, 26, b), F.lit(".")))
     given = lambda g: F.when(cyrillic, F.concat(F.lower(pick(GIVEN_CYRILLIC[g], 0)), more)).otherwise(F.concat(F.lower(pick(GIVEN[g], 0)), more))
     out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", digits).when(kind == "ip", octets).when(kind == "email", mail)
     return out.when(kind == "iban", iban).when(kind == "token", token).when(kind == "surname", family).when(kind == "given_m", given("m")).otherwise(given("f"))

@@ -227,6 +227,19 @@ def test_surrogates_of_different_entities_differ(table):
     assert one != {r["doc_id"]: r["text"] for r in pii.replace(df, key="another").collect()}
 
 
+def test_more_names_than_first_surrogates(table, monkeypatch):
+    """Two given names and 16 surnames at first: each redraw must widen the choice, or it never ends."""
+    monkeypatch.setattr(pii, "GIVEN", {"m": ["Adam"], "f": ["Alma"]})
+    monkeypatch.setattr(pii, "SYLLABLES", ["ba", "do"])
+    words = [f"{a}{b}{c}" for a in "QXZ" for b in "aeiou" for c in "bcdfg"]
+    entities = table([(k, w.lower(), w) for k in ("given_m", "surname") for w in words], "kind string, norm string, raw string")
+    now = pii._surrogate("k", F.col("kind"), F.col("norm"), F.col("attempt"))
+    got = [tuple(r) for r in pii._resolved(entities, "k").select("kind", now).collect()]
+    assert len(got) == len(set(got)) == 2 * len(words)
+    # beyond the pool that one redraw gave, whatever its size: 16 x 27 given names
+    assert {len(s.split()) for k, s in got if k == "given_m"} >= {1, 2, 3}
+
+
 def test_surrogates_are_drawn_anew_on_collision(spark, table, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda key, kind, norm, attempt: F.concat(F.lit("s"), F.length(norm).cast("string"), F.lit("-"), attempt.cast("string")))
     entities = table([("surname", n, n) for n in ["aaaa", "bbbb", "cccc", "dd", "s2-0"]], "kind string, norm string, raw string")
