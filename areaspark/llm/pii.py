@@ -41,6 +41,9 @@ GIVEN_CYRILLIC = {
 SYLLABLES = ["ba", "do", "fe", "gu", "ha", "ke", "li", "mo", "na", "pe", "ra", "so", "ta", "ve", "wi", "zo"]
 SYLLABLES_CYRILLIC = ["ба", "до", "фе", "гу", "ха", "ке", "ли", "мо", "на", "пе", "ра", "со", "та", "ве", "ви", "зо"]
 
+#: Country codes of phone numbers; none starts another.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _EDGE, _STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
@@ -124,7 +127,8 @@ def _parts(value: Column, form: Column) -> Column:
     gender = F.when(form.isin(*FEMALE), "f").otherwise("m")
     words = F.split(value, " ")
     name = F.transform(words, lambda w, i: word(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)), w))
-    norm = F.when(kind.isin("phone", "card", "ssn"), _digits(value)).when(kind == "iban", F.regexp_replace(value, " ", ""))
+    phone = F.concat(F.when(value.startswith("+"), "+").otherwise(""), _digits(value))
+    norm = F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), _digits(value)).when(kind == "iban", F.regexp_replace(value, " ", ""))
     norm = norm.when(kind == "email", F.lower(value)).otherwise(value)
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), value.alias("raw"))))
 
@@ -134,8 +138,8 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     stream = _stream(key, kind, norm, attempt)
     pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(stream, F.lit(i)), F.lit(len(words))) + 1)
     digits = _like(norm, stream)
-    code = F.length(F.regexp_extract(F.col("raw"), r"^\+(\d{1,3})[ .(-]", 1))
-    phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(digits, code + 1))
+    code = F.regexp_extract(norm, COUNTRY, 0)
+    phone = F.concat(code, F.substr(digits, F.length(code) + 1))
     last = F.pmod(F.right(digits, F.lit(1)).cast("int") + _luhn(norm) - _luhn(digits), F.lit(10))
     card = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), last.cast("string"))
     octets = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
@@ -160,10 +164,11 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 
 def _written(kind: Column, raw: Column, sur: Column) -> Column:
     """A surrogate in the layout and case of the entity it stands for."""
+    signs = F.regexp_replace(sur, r"^\+", "")
     fill = F.aggregate(
         _letters(raw),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(s["out"], F.substr(sur, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
+        lambda s, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(s["out"], F.substr(signs, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))
         ),
         lambda s: s["out"],

@@ -240,6 +240,15 @@ def test_more_names_than_first_surrogates(table, monkeypatch):
     assert {len(s.split()) for k, s in got if k == "given_m"} >= {1, 2, 3}
 
 
+def test_a_phone_number_in_several_layouts(table):
+    rows = [(1, "+1 (663) 555-6869"), (2, "+16635556869"), (3, "+1-663-555-6869"), (4, "+49 30 123456"), (5, "+4930123456"), (6, "(663) 555-6869")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(table(rows, "doc_id long, text string")).collect()}
+    digits = {i: re.sub(r"\D", "", t) for i, t in got.items()}
+    assert digits[1] == digits[2] == digits[3] != "16635556869" and digits[4] == digits[5] != "4930123456"
+    assert digits[1][0] == "1" and digits[4][:2] == "49" and digits[6] != "6635556869"
+    assert {i: re.sub(r"\d", "0", t) for i, t in got.items()} == {i: re.sub(r"\d", "0", t) for i, t in rows}
+
+
 def test_surrogates_are_drawn_anew_on_collision(spark, table, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda key, kind, norm, attempt: F.concat(F.lit("s"), F.length(norm).cast("string"), F.lit("-"), attempt.cast("string")))
     entities = table([("surname", n, n) for n in ["aaaa", "bbbb", "cccc", "dd", "s2-0"]], "kind string, norm string, raw string")
