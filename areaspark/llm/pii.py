@@ -51,10 +51,12 @@ _FORM = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP,
-    "token": r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,128}+)(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])" + _BYTE + r"(?:\." + _BYTE + r"){3}(?![0-9A-Za-z])(?!\.\d)",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}" + _STOP + r"|(?<![0-9A-Za-z.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _STOP,
+    "phone": r"(?<![0-9A-Za-z+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}" + _STOP
+    + r"|(?<![0-9A-Za-z+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){3,5}" + _STOP + r"|(?<![0-9A-Za-z.+-])0\d(?:[ .-]\d{2}){4}" + _STOP + r"(?![ .-]\d)"
+    + r"|(?<![0-9A-Za-z.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _STOP,
     "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _STOP,
     "name": r"(?=\p{Lu})(?<=(?<![\p{L}\p{N}])(?:" + _FORM + r")\.? )\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40})?",
 }
@@ -64,7 +66,7 @@ PATTERN = r"(?<![0-9A-Za-z])(?=[\p{L}\p{N}+(._-])(?:" + "|".join(KINDS.values())
 
 def _hint(text: Column) -> Column:
     """What a text with an entity holds at least, found without alternatives at every place."""
-    hint = text.rlike("[0-9@]")
+    hint = text.rlike("[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][0-9A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}|AKIA")
     for form in MALE + FEMALE:
         hint = hint | text.contains(form)
     return hint
@@ -146,9 +148,12 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     local = _like(F.substring_index(norm, "@", 1), stream)
     mail = F.concat(local, F.lit("@"), F.lower(F.substr(stream, F.lit(100), F.lit(8))), F.lit(".example.org"))
     iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _like(F.substr(norm, F.lit(3)), stream))
-    hexes = F.transform(_letters(norm), lambda c, i: F.substr(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1)))
-    token = F.when(norm.rlike("^[0-9a-f]+$"), F.array_join(hexes, "")).when(norm.rlike("^[0-9A-F]+$"), F.upper(F.array_join(hexes, "")))
-    token = token.otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(4)), _like(F.substr(norm, F.lit(5)), stream)))
+    # tokens may be long: every 64 characters have a stream of their own, worked out once
+    blocks = lambda text, one: common.let(stream, lambda s: F.array_join(F.transform(F.regexp_extract_all(text, F.lit(".{1,64}"), F.lit(0)), lambda c, i: common.let(
+        F.when(i == 0, s).otherwise(F.sha2(F.concat_ws("|", s, i.cast("string")).cast("binary"), 512)), lambda t: one(c, t))), ""))
+    hexes = blocks(norm, lambda c, s: F.substr(s, F.lit(1), F.length(c)))
+    token = F.when(norm.rlike("^[0-9a-f]+$"), hexes).when(norm.rlike("^[0-9A-F]+$"), F.upper(hexes))
+    token = token.otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(4)), blocks(F.substr(norm, F.lit(5)), _like)))
     cyrillic = norm.rlike(r"^\p{IsCyrillic}")
     # every redraw adds a syllable or an initial, so that there are surrogates for any number of names
     again = F.when(attempt > 0, F.sequence(F.lit(1), attempt)).otherwise(F.array().cast("array<int>"))

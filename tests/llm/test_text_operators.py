@@ -249,6 +249,23 @@ def test_a_phone_number_in_several_layouts(table):
     assert {i: re.sub(r"\d", "0", t) for i, t in got.items()} == {i: re.sub(r"\d", "0", t) for i, t in rows}
 
 
+def test_long_secrets_and_phone_numbers_in_pairs(table):
+    rng = random.Random(8)
+    tokens = ["".join(rng.choices("0123456789abcdef", k=n)) for n in (32, 128, 129, 160, 5000)]
+    tokens += ["sk-" + "".join(rng.choices("abcXYZ0189", k=n)) for n in (128, 129, 400)] + ["AB" * 200]
+    phones = ["+33 6 12 34 56 78", "+33.6.12.34.56.78", "06 12 34 56 78", "+41 44 668 18 00"]
+    rows = [(i, f"x {t}, y") for i, t in enumerate(tokens + phones)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(table(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(tokens):
+        new = got[i][2:-3]
+        assert len(new) == len(t) and new != t and (new[:3] == "sk-") == (t[:3] == "sk-") and got[i][:2] + got[i][-3:] == "x , y"
+        assert t[4:40] not in got[i] and t[-20:] not in got[i]
+    for i, t in enumerate(phones, len(tokens)):
+        assert re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", rows[i][1]) and t[-8:] not in got[i]
+    # the stream of a long token does not come round again
+    assert got[4][2 : 2 + 128] != got[4][130 : 130 + 128] != got[4][258 : 258 + 128]
+
+
 def test_surrogates_are_drawn_anew_on_collision(spark, table, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda key, kind, norm, attempt: F.concat(F.lit("s"), F.length(norm).cast("string"), F.lit("-"), attempt.cast("string")))
     entities = table([("surname", n, n) for n in ["aaaa", "bbbb", "cccc", "dd", "s2-0"]], "kind string, norm string, raw string")
