@@ -21,6 +21,8 @@ the start of a run of letters only, so long runs cost no more than their length.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,20 @@ SYLLABLES_CYRILLIC = ["ба", "до", "фе", "гу", "ха", "ке", "ли", "
 #: Country codes of phone numbers; none starts another.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
+# Words inside names that stay as they are.
+PARTICLES = ["van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "do", "du", "des", "la", "le", "ten", "ter", "te", "zu", "zum", "zur", "und", "af", "av", "bin", "bint", "ibn", "al", "el", "y", "e"]
+TITLES = ["Dr", "Prof", "Rev", "Hon", "Ing", "Dipl", "Mag", "St"]
+SUFFIXES = ["Jr", "II", "III", "IV"]
+INITIALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
+
 _EDGE, _STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
+_INITIAL = r"\p{Lu}\.(?:-\p{Lu}\.)*+"
+_PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ")"
+_WORD = r"(?:[dl]['’]|(?:al|el)-)?\p{Lu}[\p{L}\p{M}]*+(?:(?:['’](?!s(?!\p{L}))|-)[\p{L}\p{M}]++)*+"
+#: Words of a name: particles, then an initial, a title or a capitalised word that is no form of address.
+_PART = "(?:" + _PARTICLE + " ){0,3}+(?!(?:" + _FORM + r")(?![\p{L}\p{N}]))(?:(?:" + "|".join(TITLES) + r")\.|" + _INITIAL + "|" + _WORD + ")"
 #: Kinds in order of precedence, each with the pattern of its entities.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
@@ -58,7 +71,7 @@ KINDS = {
     + r"|(?<![0-9A-Za-z+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){3,5}" + _STOP + r"|(?<![0-9A-Za-z.+-])0\d(?:[ .-]\d{2}){4}" + _STOP + r"(?![ .-]\d)"
     + r"|(?<![0-9A-Za-z.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _STOP,
     "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _STOP,
-    "name": r"(?=\p{Lu})(?<=(?<![\p{L}\p{N}])(?:" + _FORM + r")\.? )\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40})?",
+    "name": r"(?=\p{L})(?<=[\p{L}.] )(?<=(?<![\p{L}\p{N}])(?:" + _FORM + r")\.? )" + _PART + r"(?:(?: |(?<=\.))" + _PART + ")*+",
 }
 # No entity starts inside a run of ASCII letters and digits: most places are passed over at once.
 PATTERN = r"(?<![0-9A-Za-z])(?=[\p{L}\p{N}+(._-])(?:" + "|".join(KINDS.values()) + ")"
@@ -122,13 +135,24 @@ def _kind(value: Column) -> Column:
     return out.when(value.rlike(r"[+(]") | (F.length(_digits(value)) < 13), "phone").otherwise("card")
 
 
+def _initials(key: str, raw: Column) -> Column:
+    """Initials moved on in their alphabet by a number from the key: different ones stay different."""
+    move = int(hashlib.sha512(f"{key}|initials".encode()).hexdigest(), 16)
+    moved = "".join(a[n:] + a[:n] for a in INITIALS for n in [1 + move % (len(a) - 1)])
+    return F.translate(F.regexp_replace(raw, rf"[\p{{Lu}}&&[^{''.join(INITIALS)}]]", "X"), "".join(INITIALS), moved)
+
+
 def _parts(value: Column, form: Column) -> Column:
     """An entity as parts, each with kind, normal form and letters as written. Given names carry the gender of the form of address."""
     kind = _kind(value)
-    word = lambda k, w: F.struct(k.alias("kind"), F.lower(w).alias("norm"), w.alias("raw"))
+    word = lambda k, w: F.struct(k.alias("kind"), F.lower(F.rtrim(w)).alias("norm"), w.alias("raw"))
     gender = F.when(form.isin(*FEMALE), "f").otherwise("m")
-    words = F.split(value, " ")
-    name = F.transform(words, lambda w, i: word(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)), w))
+    # words keep the blank behind them
+    words = F.split(value, r"(?<= )|(?<=\.)(?=\p{L})")
+    fixed = "^(?:" + "|".join(PARTICLES + [rf"{t}\." for t in TITLES] + SUFFIXES) + ") ?$"
+    short = F.transform(words, lambda w: F.when(w.rlike(fixed), "fixed").when(w.rlike(rf"^(?:{_INITIAL}|\p{{Lu}}) ?$"), "initial").otherwise("word"))
+    last = F.size(words) - F.array_position(F.reverse(short), "word")
+    name = F.zip_with(words, F.transform(short, lambda s, i: F.when(s != "word", s).when(i == last, "surname").otherwise(F.concat(F.lit("given_"), gender))), lambda w, k: word(k, w))
     phone = F.concat(F.when(value.startswith("+"), "+").otherwise(""), _digits(value))
     norm = F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), _digits(value)).when(kind == "iban", F.regexp_replace(value, " ", ""))
     norm = norm.when(kind == "email", F.lower(value)).otherwise(value)
@@ -179,7 +203,8 @@ def _written(kind: Column, raw: Column, sur: Column) -> Column:
         lambda s: s["out"],
     )
     cased = F.when(F.upper(raw) == raw, F.upper(sur)).when(F.lower(raw) == raw, F.lower(sur))
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), fill).when(kind.isin("ip", "token"), sur).when(kind == "email", cased.otherwise(sur)).otherwise(cased.otherwise(F.initcap(sur)))
+    named = F.concat(cased.otherwise(F.initcap(sur)), F.when(raw.endswith(" "), " ").otherwise(""))
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), fill).when(kind.isin("ip", "token"), sur).when(kind == "email", cased.otherwise(sur)).otherwise(named)
 
 
 def _resolved(entities: DataFrame, key: str) -> DataFrame:
@@ -224,16 +249,19 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", count: s
     form = F.regexp_extract(F.get("pieces", F.col("at")), rf"(?<![\p{{L}}\p{{N}}])({_FORM})\.? $", 1)
     said = said.select("digest", "at", F.posexplode(_parts(F.col("value"), form)).alias("k", "part"))
     said = keep_table(said.select("digest", "at", "k", "part.kind", "part.norm", "part.raw"), "said")
-    entities = _resolved(said.groupBy("kind", "norm").agg(F.min("raw").alias("raw")), key)
+    # initials and fixed words are no entities by themselves
+    alone = F.col("kind").isin("fixed", "initial")
+    entities = _resolved(said.where(~alone).groupBy("kind", "norm").agg(F.min("raw").alias("raw")), key)
     # the surrogate without a redraw follows from the entity alone
     redrawn = entities.where("attempt > 0").select("kind", "norm", "attempt")
     said = said.join(redrawn, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
     said = said.withColumn("sur", _surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-    said = said.select("digest", "at", "k", _written(F.col("kind"), F.col("raw"), F.col("sur")).alias("new"))
+    new = F.when(F.col("kind") == "fixed", F.col("raw")).when(F.col("kind") == "initial", _initials(key, F.col("raw")))
+    said = said.select("digest", "at", "k", new.otherwise(_written(F.col("kind"), F.col("raw"), F.col("sur"))).alias("new"))
     rank = F.array_sort(F.collect_list(F.struct("at", "k", "new")))
     new = said.groupBy("digest").agg(rank.alias("new"))
     joined = found.join(new, "digest").withColumn("pieces", pieces)
-    # words of a name are joined by blanks, entities stand between the pieces
-    ahead = F.transform("new", lambda x: F.when(x["k"] > 0, F.concat(F.lit(" "), x["new"])).otherwise(F.concat(F.get("pieces", x["at"]), x["new"])))
+    # words of a name follow each other, entities stand between the pieces
+    ahead = F.transform("new", lambda x: F.when(x["k"] > 0, x["new"]).otherwise(F.concat(F.get("pieces", x["at"]), x["new"])))
     text_of = F.concat(F.array_join(ahead, ""), F.element_at("pieces", -1))
     return told(base.where("n = 0"), F.col("t")).unionByName(told(joined, text_of))

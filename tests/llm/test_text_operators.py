@@ -266,6 +266,27 @@ def test_long_secrets_and_phone_numbers_in_pairs(table):
     assert got[4][2 : 2 + 128] != got[4][130 : 130 + 128] != got[4][258 : 258 + 128]
 
 
+def test_whole_names(table):
+    texts = [
+        "Mr John Fitzgerald Kennedy left.", "Mr Kennedy came.", "Herr Ludwig van Beethoven, Frau von Trapp", "Mrs. J. Smith met Ms Smith's dog.",
+        "Mr J.R.R. Tolkien and Mr. J.Tolkien", "Herr Dr. Müller und Frau Prof. Dr. Anna-Lena Müller", "Mr Brown Mrs Green", "Mr K went", "Mme d'Artois", "господин А. Иванов", "Mr and Mrs Olsen", "MR SMITH",
+    ]
+    df = table(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
+    for word in ["John", "Fitzgerald", "Kennedy", "Ludwig", "Beethoven", "Trapp", "Smith", "Tolkien", "Müller", "Lena", "Brown", "Green", "Artois", "Иванов", "Olsen"]:
+        assert not any(word in got[i] for i in range(len(texts))), (word, got)
+    first = re.fullmatch(r"Mr (\w+) (\w+) (\w+) left\.", got[0])
+    assert got[1] == f"Mr {first[3]} came." and len({*first.groups()}) == 3
+    assert re.fullmatch(r"Herr \w+(?: [A-Z]\.)* van \w+, Frau von \w+", got[2])
+    smith = re.fullmatch(r"Mrs\. ([A-Z])\. (\w+) met Ms (\w+)'s dog\.", got[3])
+    assert smith[1] != "J" and smith[2] == smith[3]
+    tolkien = re.fullmatch(r"Mr ([A-Z])\.([A-Z])\.([A-Z])\. (\w+) and Mr\. ([A-Z])\.(\w+)", got[4])
+    assert tolkien[1] == tolkien[5] == smith[1] != tolkien[2] == tolkien[3] != "R" and tolkien[4] == tolkien[6]
+    doctor = re.fullmatch(r"Herr Dr\. (\w+) und Frau Prof\. Dr\. (\w+)(?: [A-Z]\.)* (\w+)", got[5])
+    assert doctor[1] == doctor[3]
+    assert re.fullmatch(r"Mr \w+ Mrs \w+", got[6]) and re.fullmatch(r"Mr [A-JL-Z] went", got[7]) and re.fullmatch(r"господин [Б-Я]\. \w+", got[9]) and got[10].startswith("Mr and Mrs ")
+
+
 def test_surrogates_are_drawn_anew_on_collision(spark, table, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda key, kind, norm, attempt: F.concat(F.lit("s"), F.length(norm).cast("string"), F.lit("-"), attempt.cast("string")))
     entities = table([("surname", n, n) for n in ["aaaa", "bbbb", "cccc", "dd", "s2-0"]], "kind string, norm string, raw string")
