@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +41,33 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="areaspark-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+#: Folders made inside each open :func:`scratch`.
+_MADE: list[list[str]] = []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the folders made inside: for steps whose result is written by then to an older folder."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            discard(spark, path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -70,3 +70,7 @@ def differences(df, con, sql: str) -> list[str]:
     if not sum(want.values()):
         out.append("no rows at all")
     return out
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))

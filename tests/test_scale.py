@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
