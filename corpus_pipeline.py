@@ -1,8 +1,8 @@
 """A corpus pipeline over the operators of ``areaspark.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; :func:`run` writes every stage's
-result as Parquet to the shared folder and reads it back for the next one. All stages but
-the last return the columns of the documents.
+result as Parquet to the shared folder, reads it back for the next one and deletes what the stage
+worked on. All stages but the last return the columns of the documents.
 
 Stages hold for null or empty texts, null ids, repeated rows, empty tables and further columns of any
 name: decisions are joined to the rows by digests of the texts (null counts as empty), never by ids alone, and
@@ -16,12 +16,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import bpe, decontaminate, language, near, pii
+from areaspark.llm import bpe, common, decontaminate, language, pii, simhash
 from areaspark.llm.queries import digests
-from areaspark.session import keep
+from areaspark.session import discard, keep, scratch, work_folder
 
 #: Texts less like any learned language than this are no text in one of them.
 LEAST_SCORE = 0.1
+#: Words of a shingle and largest number of differing fingerprint bits of near duplicates.
+WORDS, BITS = 4, 4
+#: Digests of contaminated texts (16 bytes each) up to this number are broadcast; beyond it the join shuffles.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def _digest(text: Column) -> Column:
@@ -54,12 +58,12 @@ def _identity(id: Column, text: Column) -> Column:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest id, then digest.
 
-    Near duplicates share at least 0.8 of their shingles of five words.
+    Near duplicates have SimHash fingerprints that differ in :data:`BITS` bits at most.
     """
     numbered, names = _numbered(docs)
     id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     rows = numbered.withColumn("row_id", _identity(F.col(id), F.col(text)))
-    groups = near.groups(rows.select("row_id", F.col(text).alias("text")), id="row_id", words=5, least=0.8)
+    groups = simhash.groups(rows.select("row_id", F.col(text).alias("text")), id="row_id", words=WORDS, bits=BITS)
     first = groups.where(F.col("row_id") == F.col("component_id")).select("row_id").distinct()
     # of rows with the same id and text, one stays
     kept = rows.join(first, "row_id", "left_semi").dropDuplicates(["row_id"])
@@ -67,13 +71,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no window of the benchmark."""
+    """Keep documents that hold no window of the benchmark.
+
+    Texts stay where they are: only digests of contaminated texts reach the rows.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     numbered, names = _numbered(docs)
     text = names[docs.columns.index("text")]
-    rows = numbered.withColumn("text_digest", _digest(F.col(text)))
+    rows = numbered.withColumn("text_digest", F.unhex(_digest(F.col(text))))
     marked = decontaminate.mark(rows.select("text_digest", F.col(text).alias("text")), benchmark, keep=("text_digest",))
-    bad = marked.where("contaminated").select("text_digest").distinct()
+    bad = keep(marked.where("contaminated").select("text_digest").distinct(), "contaminated")
+    bad = common.checked_broadcast(bad, bad.count(), BROADCAST_DIGESTS)
     return rows.join(bad, "text_digest", "left_anti").select(names).toDF(*docs.columns)
 
 
@@ -83,8 +91,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, decoded again; one row per document."""
-    return digests(bpe.round_trip(docs))
+    """Token ids of every document, and digests of them and of the text they decode to; one row per document."""
+    return digests(bpe.round_trip(docs), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -101,7 +109,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        path = work_folder(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
