@@ -23,10 +23,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Digest columns of a frame with ``ids`` and ``decoded``."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Digest columns of a frame with ``ids`` and ``decoded``, and ``more`` of its own."""
     return encoded.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", *more, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from areaspark.llm import ann, chat, graph, near, simhash, suffix_dedup
+from areaspark.llm import ann, chat, graph, simhash, suffix_dedup
 
 # Suffix dedup
 
@@ -290,57 +290,13 @@ def test_stages_on_odd_rows(spark, table, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
-def plain_shingles(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def plain_components(texts, least=0.8):
-    """The smallest number each text reaches over pairs of similarity ``least``, all pairs compared."""
-    sets, root = [plain_shingles(t) for t in texts], list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) >= least * len(a | sets[j]) and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    return root
-
-
-def changed_copies():
-    """Texts, copies with words changed, and a family of 40 whose members are like some others only."""
-    rng = random.Random(12)
-    say = lambda n: ["".join(rng.choices("abdeghilnorst", k=rng.randint(2, 8))) for _ in range(n)]
-    out = []
-    for k in range(60):
-        base = say(300)
-        out.append(" ".join(base))
-        for n in (1, 3, 6, 8):
-            copy = list(base)
-            for i in rng.sample(range(300), n):
-                copy[i] = say(1)[0]
-            out.append(" ".join(copy))
-    walk = say(300)
-    for _ in range(40):
-        walk = list(walk)
-        for i in rng.sample(range(300), 5):
-            walk[i] = say(1)[0]
-        out.append(" ".join(walk))
-    return out
-
-
-@pytest.mark.parametrize("pairwise", [near.PAIRWISE, 2])
-def test_near_copies_against_all_pairs(table, monkeypatch, pairwise):
-    monkeypatch.setattr(near, "PAIRWISE", pairwise)
-    texts = changed_copies() + ["one two", "One  two", None, "", " "]
-    got = {r["doc_id"]: r["component_id"] for r in near.groups(table(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_components(texts)
-
-
-def test_stage_drops_copies_with_changed_words(spark, table):
-    texts = changed_copies()
-    docs = table([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
-    assert kept == sorted(set(plain_components(texts)))
+def test_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("areaspark.session.tempfile.mkdtemp", lambda prefix: str(tmp_path))
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    rows = found.select("n_tokens", F.octet_length("ids").alias("bytes"), "ids_sha256", F.sha2("ids", 256).alias("again")).collect()
+    assert left == ["encoding"]
+    assert rows and all(r["bytes"] == 4 * r["n_tokens"] and r["ids_sha256"] == r["again"] for r in rows)
 
 
 def test_every_query_is_registered():
