@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, chat, decontaminate, language, pii, simhash, suffix_dedup, token_counts, url_rules
+from areaspark.llm import ann, bpe, centroids, chat, decontaminate, language, pii, simhash, suffix_dedup, token_counts, url_rules
 from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,51 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.parse(talks, chat.fit(talks))
 
 
+@_query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector of 64 components, after three rounds over 16 centroids."""
+    found, last = centroids.cluster(_table(spark, folder, "embeddings"))
+    digest = F.element_at(F.array(*[F.lit(centroids.digest(c)) for c in last or [[]]]), F.col("cluster") + 1)
+    return found.select("*", digest.alias("centroid_sha256"))
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Every vector against every centroid, round by round."""
+    nearest = """
+a{t} AS (
+    SELECT r, vec_id, v, c, d FROM (
+        SELECT r, vec_id, v, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+            SELECT r, vec_id, v, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i]))) AS BIGINT) AS d
+            FROM whole, c{t}
+        )
+    ) WHERE place = 1
+)"""
+    moved = """
+m{t} AS (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS w
+    FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) AS places(i) GROUP BY c, i) GROUP BY c
+), c{u} AS (SELECT c, coalesce(m{t}.w, c{t}.w) AS w FROM c{t} LEFT JOIN m{t} USING (c))"""
+    parts = ["""
+whole AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS w FROM whole WHERE vec_id IS NOT NULL
+    ORDER BY sha256('1:' || vec_id), v LIMIT 16
+)"""]
+    for t in range(rounds):
+        parts += [nearest.format(t=t), moved.format(t=t, u=t + 1)]
+    parts.append(nearest.format(t=rounds))
+    return "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+ORACLE["op12_centroids"] = _centroid_sql(3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

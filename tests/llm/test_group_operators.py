@@ -306,7 +306,7 @@ def test_every_query_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("key", ["op4_url_rules", "op7_decontaminate"])
+@pytest.mark.parametrize("key", ["op4_url_rules", "op7_decontaminate", "op12_centroids"])
 def test_reference_sql(spark, key):
     import compare
 
