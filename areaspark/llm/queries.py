@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, centroids, chat, decontaminate, language, pii, simhash, suffix_dedup, token_counts, url_rules
+from areaspark.llm import ann, bpe, centroids, chat, common, decontaminate, language, periodic, pii, simhash, suffix_dedup, token_counts, url_rules
 from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,40 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.parse(talks, chat.fit(talks))
 
 
+#: Fixed value: words of the run query.
+RUN_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _with_runs(doc_id: Column, text: Column) -> Column:
+    """The texts, but for those whose id has a CRC-32 that 10 divides: from a word on, these repeat the next few words."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[a + (i - a) % p]))
+
+    changed = F.array_join(common.let(F.regexp_extract_all(text, F.lit(RUN_WORD), F.lit(0)), repeat), " ")
+    return F.when((h % 10 == 0) & text.rlike(RUN_WORD), changed).otherwise(text)
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words of every document, a tenth of which get a long run first."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.detect(docs.select("doc_id", _with_runs(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 @_query
 def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Cluster of every vector of 64 components, after three rounds over 16 centroids."""
