@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaspark.llm import ann, bpe, centroids, chat, common, decontaminate, language, periodic, pii, simhash, suffix_dedup, token_counts, url_rules
+from areaspark.llm import ann, bpe, centroids, chat, common, decontaminate, language, minhash, periodic, pii, simhash, suffix_dedup, token_counts, url_rules
 from areaspark.session import keep, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +248,32 @@ FROM a{rounds} JOIN c{rounds} USING (c)
 ORACLE["op12_centroids"] = _centroid_sql(3)
 
 
+@_query
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate group of every document: shingles of four words, similarity 0.8."""
+    return minhash.groups(_table(spark, folder, "documents"))
+
+
+#: All pairs of rows that share a shingle, counted; every row then reaches what its links reach.
+ORACLE["op13_minhash"] = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS s
+    FROM w WHERE len(w) > 0
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), both AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s AS a JOIN s AS b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r
+), links AS (SELECT x, y FROM both JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+), reach AS (
+    SELECT r AS x, r AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN least USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

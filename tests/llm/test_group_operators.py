@@ -303,10 +303,10 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("key", ["op4_url_rules", "op7_decontaminate", "op12_centroids"])
+@pytest.mark.parametrize("key", ["op4_url_rules", "op7_decontaminate", "op12_centroids", "op13_minhash"])
 def test_reference_sql(spark, key):
     import compare
 
