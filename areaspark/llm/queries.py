@@ -263,8 +263,8 @@ WITH RECURSIVE w AS (
     SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS s
     FROM w WHERE len(w) > 0
 ), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
-), both AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s AS a JOIN s AS b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r
-), links AS (SELECT x, y FROM both JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+), common AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s AS a JOIN s AS b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r
+), links AS (SELECT x, y FROM common JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)
 ), reach AS (
     SELECT r AS x, r AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
 ), least AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY x
