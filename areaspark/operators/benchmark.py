@@ -56,25 +56,31 @@ def rate_benchmarks(
     denominator: str | Mapping[str, str],
     own: Column,
     strict: bool = True,
+    members: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Mean, Min and Max of each Rate* in one aggregation, one row per measure.
 
     ``denominator`` is one for all measures or names one for each. The mean is the metro rate over the rows marked ``own`` (whole
     municipalities), so neighbourhoods are not counted twice; the extremes are
-    over all rows.
+    over all rows. ``members`` restricts a measure to rows of its own; other measures keep theirs in the same aggregation.
     """
     denominators = {m: denominator if isinstance(denominator, str) else denominator[m] for m in measures}
-    base = {d: missing.sum_strict_where(own, d) for d in set(denominators.values())}
-    lowest = missing.min_strict if strict else F.min
-    highest = missing.max_strict if strict else F.max
+    of = {m: (members or {}).get(m, F.lit(True)) for m in measures}
+
+    def extreme(agg, m: str) -> Column:
+        rate = F.when(of[m], F.col(f"Rate{m}"))
+        return F.when(F.count(rate) == F.count(F.when(of[m], F.lit(1))), agg(rate)) if strict else agg(rate)
+
     one = wide.agg(
         F.array(
             *[
                 F.struct(
                     F.lit(m).alias("name"),
-                    missing.ratio(missing.sum_strict_where(own, f"Total{m}"), base[denominators[m]]).alias("Mean"),
-                    lowest(f"Rate{m}").alias("Min"),
-                    highest(f"Rate{m}").alias("Max"),
+                    missing.ratio(
+                        missing.sum_strict_where(own & of[m], f"Total{m}"), missing.sum_strict_where(own & of[m], denominators[m])
+                    ).alias("Mean"),
+                    extreme(F.min, m).alias("Min"),
+                    extreme(F.max, m).alias("Max"),
                 )
                 for m in measures
             ]
@@ -90,12 +96,22 @@ def compare_rates(
     denominator: str | Mapping[str, str],
     own: Column,
     strict: bool = True,
+    members: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Long rates with metro mean, extremes, shade and label offset."""
-    bench = rate_benchmarks(wide, measures, denominator, own, strict)
-    long = wide.select(*keys, *[F.col(f"Rate{m}").alias(m) for m in measures]).unpivot(
-        list(keys), list(measures), "name", "value"
-    )
+    """Long rates with metro mean, extremes, shade and label offset.
+
+    A measure has a row for each area that is one of its ``members`` (all areas, if it names none).
+    """
+    bench = rate_benchmarks(wide, measures, denominator, own, strict, members)
+    if members is None:
+        long = wide.select(*keys, *[F.col(f"Rate{m}").alias(m) for m in measures]).unpivot(
+            list(keys), list(measures), "name", "value"
+        )
+    else:
+        cells = [
+            F.struct(F.lit(m).alias("name"), F.col(f"Rate{m}").alias("value"), members.get(m, F.lit(True)).alias("member")) for m in measures
+        ]
+        long = wide.select(*keys, F.inline(F.array(*cells))).where("member").drop("member")
     joined = joins.null_safe_join(long, bench, ["name"])
     v = F.col("value")
     return joined.withColumns(

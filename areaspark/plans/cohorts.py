@@ -142,6 +142,11 @@ def flag_conditions(encounters: DataFrame, exceptions: DataFrame, strict: bool =
     )
 
 
+def mental_known() -> Column:
+    """The MH flag with unknown counted as 0."""
+    return F.coalesce("MH", F.lit(0))
+
+
 def at_located_points(rows: DataFrame, located: DataFrame) -> DataFrame:
     """Bring the areas of located points back to the rows with the same X and Y.
 

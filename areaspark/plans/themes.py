@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +88,11 @@ def reference_pops(hub: DataFrame) -> DataFrame:
     )
 
 
-def totals_and_rates(hub: DataFrame, names: Sequence[str] = tuple(ALL_THEMES)) -> DataFrame:
+def totals_and_rates(hub: DataFrame, names: Sequence[str] = tuple(ALL_THEMES), together: bool = True) -> DataFrame:
     """Total*, Pop* and Rate* of the chosen themes, in one pass over the hub.
 
-    Areas need at least one row of every chosen theme and of the denominators.
+    ``together``: areas need at least one row of every chosen theme and of the denominators. Otherwise each theme has its own set
+    of areas: a column In* for each theme tells whether the area has rows of it, and areas in none are left out.
     """
     chosen = {n: theme(n) for n in names}
     kinds = {f"__{n}": t.kind for n, t in chosen.items()}
@@ -105,9 +107,12 @@ def totals_and_rates(hub: DataFrame, names: Sequence[str] = tuple(ALL_THEMES)) -
         *[missing.sum_strict_where(c, "estimate").alias(n) for n, c in sums.items()],
         *[c.alias(n) for n, c in present.items()],
     )
-    for flag in present:
-        wide = wide.where(F.col(flag) > 0)
-    wide = wide.drop(*present)
+    has = {k: F.col(flag) > 0 for k, flag in zip(kinds, present)}
+    if together:
+        wide = wide.where(reduce(lambda a, b: a & b, has.values())).drop(*present)
+    else:
+        own = {f"In{n}": has[f"__{n}"] for n in chosen}
+        wide = wide.where(has["__pop"] & reduce(lambda a, b: a | b, own.values())).withColumns(own).drop(*present)
     extra: dict[str, Column] = {}
     for t in chosen.values():
         for total, (base, parts) in t.remainders.items():

@@ -433,10 +433,11 @@ def _(t: Tables):
 
 
 def bench_sql(v: str, measures: list[str], total: dict[str, str], pop: str) -> str:
-    """CTE text of long rates with mean, min and max; three separate passes."""
+    """CTE text of long rates with mean, min and max; three separate passes. One missing value makes a sum or an extreme missing."""
     own = "Municipality = Neighborhood"
-    means = " UNION ALL ".join(f"SELECT '{m}' AS name, sum({total[m]}) / nullif(sum({pop}), 0) AS Mean FROM w WHERE {own}" for m in measures)
-    ext = " UNION ALL ".join(f"SELECT '{m}' AS name, min({total[m]} / nullif({pop}, 0)) AS Min, max({total[m]} / nullif({pop}, 0)) AS Max FROM w" for m in measures)
+    rate = {m: f"{total[m]} / nullif({pop}, 0)" for m in measures}
+    means = " UNION ALL ".join(f"SELECT '{m}' AS name, ({strict(total[m])}) / nullif({strict(pop)}, 0) AS Mean FROM w WHERE {own}" for m in measures)
+    ext = " UNION ALL ".join(f"SELECT '{m}' AS name, {strict(rate[m], 'min')} AS Min, {strict(rate[m], 'max')} AS Max FROM w" for m in measures)
     long = " UNION ALL ".join(f"SELECT {KEYS}, '{m}' AS name, {total[m]} / nullif({pop}, 0) AS value FROM w" for m in measures)
     return f"WITH w AS (SELECT * FROM {v} v JOIN ox_pops p USING ({KEYS})), mn AS ({means}), ex AS ({ext}), lg AS ({long}), b AS (SELECT lg.*, Mean, Min, Max FROM lg JOIN mn USING (name) JOIN ex USING (name))"
 
@@ -567,9 +568,11 @@ _COMPARED = [
     ),
 )
 def _(t: Tables):
-    wide = t.kept("themes", lambda: themes.totals_and_rates(hub(t), ["race", "language", "households", "mobility"]))
+    compared = ["race", "language", "households", "mobility"]
+    wide = t.kept("themes", lambda: themes.totals_and_rates(hub(t), compared, together=False))
     denominators = {m: pop for _, measures, _, pop in _COMPARED for m in measures}
-    out = benchmark.compare_rates(wide, AREA, list(denominators), denominators, own_row())
+    members = {m: F.col(f"In{name}") for name, (_, measures, _, _) in zip(compared, _COMPARED) for m in measures}
+    out = benchmark.compare_rates(wide, AREA, list(denominators), denominators, own_row(), members=members)
     return r6(out.drop("Textloc"), "value", "Mean", "Min", "Max").withColumn("Shade", F.round("Shade", 5))
 
 

@@ -31,7 +31,7 @@ def _csv(t: Tables, sql: str, name: str) -> str:
     CAST(0.62 AS DOUBLE) AS "Allocation", 'Hood-' || {text('s_suppkey')} AS "Neighborhood" FROM supplier""",
 )
 def _(t: Tables):
-    return readers.csv_typed(t.spark, _csv(t, _BG_FILE, "bg"), schemas.BG_ALLOCATION)
+    return readers.csv_typed(t.spark, _csv(t, _BG_FILE, "bg"), schemas.BG_ALLOCATION, list("abcdefg"))
 
 
 @query(
@@ -40,7 +40,7 @@ def _(t: Tables):
     'Nation_' || {text('s_nationkey')} || ' city' AS "Municipality", s_acctbal AS "Allocation" FROM supplier""",
 )
 def _(t: Tables):
-    return readers.csv_typed(t.spark, _csv(t, _TRACT_FILE, "tract"), schemas.TRACT_ALLOCATION)
+    return readers.csv_typed(t.spark, _csv(t, _TRACT_FILE, "tract"), schemas.TRACT_ALLOCATION, list("abcdefg"))
 
 
 @query(

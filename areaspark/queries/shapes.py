@@ -8,6 +8,7 @@ are customers, addresses come from orders, encounters from line items.
 from __future__ import annotations
 
 from areaspark.plans import catalog
+from areaspark.plans import cohorts as people_codes
 from areaspark.plans.survey import City
 from areaspark.queries.registry import shape
 
@@ -207,21 +208,31 @@ shape(
     FROM orders""",
 )
 ENC_ID = f"'E' || {text('l_orderkey')} || '-' || {text('l_linenumber')}"
-DX = (
-    "CASE l_partkey % 12 WHEN 0 THEN 'J45.21' WHEN 1 THEN 'J45.901' WHEN 2 THEN 'E10.10' WHEN 3 THEN 'E11.9' "
-    "WHEN 4 THEN 'F32.1' WHEN 5 THEN 'R45.1' WHEN 6 THEN NULL ELSE 'Z00.1' END"
-)
+# every code of a listed condition, its prefixes, codes beside them, and none
+_CODES = [*people_codes.ASTHMA_CODES, *people_codes.DIABETES_CODES, "F32.1", "R45.1", "F", "R45", None, "Z00.1", "J45.9", "E11", "R44", "E10.1", "R73.0", "J45.2"]
+_EXCLUDING = [
+    *people_codes.EXCEPTION_CODES, *[f"{p}1" for p in people_codes.EXCEPTION_PREFIXES], *people_codes.EXCEPTION_PREFIXES,
+    "D57.1", "D57.3", "D57.30", "D57", "J96.0", "Z99.12", "Z99", "E84.1", "Q23.1", None,
+]
+
+
+def _nth(key: str, values: list, rest: str) -> str:
+    """The value at a key's number; ``rest`` beyond the last."""
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(values)) + f" ELSE {rest} END"
+
+
+DX = _nth(f"l_partkey % {len(_CODES) + 10}", _CODES, "'Z00.1'")
+DEPARTMENT = "CASE WHEN (l_orderkey + l_linenumber) % 20 = 0 THEN 20026290 ELSE 10401080 + (l_orderkey + l_linenumber) % 20 END"
 shape(
     "px_encounter",
     f"""SELECT {ENC_ID} AS pat_enc_csn_id, 'P' || {text('o_custkey')} AS pat_id, l_shipdate AS hosp_admsn_time,
-      {DX} AS disch_icd_1, CAST(10401080 + l_suppkey % 20 AS INT) AS department_id
+      {DX} AS disch_icd_1, CAST({DEPARTMENT} AS INT) AS department_id
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 shape("px_account_dx", "SELECT l_orderkey AS hsp_account_id, l_partkey AS dx_id FROM lineitem")
 shape(
     "px_dx_code",
-    """SELECT p_partkey AS dx_id, CASE p_partkey % 50 WHEN 0 THEN 'D57.1' WHEN 1 THEN 'D57.3' WHEN 2 THEN 'J96.11'
-      WHEN 3 THEN 'Q24.9' WHEN 4 THEN 'Z93.0' WHEN 5 THEN 'E84.0' ELSE p_brand END AS code FROM part""",
+    f"SELECT p_partkey AS dx_id, {_nth('p_partkey % 200', _EXCLUDING, 'p_brand')} AS code FROM part",
 )
 shape("px_account_encounter", f"SELECT l_orderkey AS hsp_account_id, {ENC_ID} AS pat_enc_csn_id FROM lineitem")
 shape("px_config", "SELECT DISTINCT event_type AS registry_id, 'pediatric ' || event_type || ' registry' AS registry_name FROM events")

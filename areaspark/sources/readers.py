@@ -2,26 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areaspark.functions import missing, text
 from areaspark.operators import address, joins
 
 _SKIP = "skip_"
+#: Text of a row that doesn't fit the declared columns.
+BAD_ROW = "_bad_row"
 
 
-def csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with declared types by position; columns named ``skip_*`` are never parsed."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return df.select([c for c in df.columns if not c.startswith(_SKIP)])
+def csv_rows(
+    spark: SparkSession, path: str, schema: str | T.StructType, header: Sequence[str] | None = None, any_header: bool = False
+) -> DataFrame:
+    """CSV with declared types by position, and ``_bad_row``: the text of a row with a cell of another type or
+    another number of cells, NULL for the others.
+
+    A row is judged by the columns a job asks for, so ask for all: :func:`csv_typed` and :func:`csv_quarantine` do.
+    The header of every file must hold the names in ``header`` (without it, those of the schema), in order; another one stops
+    the read, unless ``any_header``.
+    """
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if BAD_ROW in kinds.names:
+        raise ValueError(f"a column may not be named {BAD_ROW}")
+    names = list(header or kinds.names)
+    if len(names) != len(kinds):
+        raise ValueError(f"{len(names)} names in the header, {len(kinds)} columns")
+    read = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kinds)] + [T.StructField(BAD_ROW, T.StringType())])
+    reader = spark.read.schema(read).option("header", True).option("enforceSchema", any_header)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
+    return df.toDF(*kinds.names, BAD_ROW)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.select([c for c in df.columns if not c.startswith(_SKIP) and c != BAD_ROW])
+
+
+def csv_typed(
+    spark: SparkSession, path: str, schema: str | T.StructType, header: Sequence[str] | None = None, any_header: bool = False
+) -> DataFrame:
+    """The same without columns named ``skip_*``; a row that doesn't fit stops the job with its text."""
+    df = csv_rows(spark, path, schema, header, any_header)
+    # naming all columns makes the reader parse them all, whatever the job asks for
+    told = F.concat(F.lit("row does not fit the columns: "), F.col(BAD_ROW), F.lit(", read as "), F.to_csv(F.struct(*df.columns[:-1])))
+    stop = F.raise_error(told).cast("boolean")
+    return _kept(df.where(F.when(F.col(BAD_ROW).isNotNull(), stop).otherwise(F.lit(True))))
+
+
+def csv_quarantine(
+    spark: SparkSession, path: str, schema: str | T.StructType, keep: Callable[[DataFrame], DataFrame],
+    header: Sequence[str] | None = None, any_header: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit, and the others as ``value`` (their text) and ``file``, for :func:`areaspark.sources.sinks.write_bad_rows`.
+
+    Both come from one read of all columns, which ``keep`` writes, see :func:`areaspark.session.keep`.
+    """
+    df = keep(csv_rows(spark, path, schema, header, any_header).withColumn("_file", F.input_file_name()))
+    good = _kept(df.where(F.col(BAD_ROW).isNull()).drop("_file"))
+    return good, df.where(F.col(BAD_ROW).isNotNull()).select(F.col(BAD_ROW).alias("value"), F.col("_file").alias("file"))
 
 
 def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with types inferred: an extra pass over the file, for exploration."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """CSV with types inferred: an extra pass over the file, for exploration. Rows of another length stop the job."""
+    return csv_typed(spark, path, spark.read.option("header", True).option("inferSchema", True).csv(path).schema)
 
 
 def tokens(
@@ -113,6 +160,5 @@ def boundaries(edges: DataFrame, states: Sequence[str], counties: Sequence[str]
 
 
 def geocode_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Geocoder output, precise matches only, as X and Y."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return address.precise_only(df).select("ID", F.col("lon").alias("X"), F.col("lat").alias("Y"))
+    """Geocoder output, precise matches only, as X and Y. The file names its columns as the schema does."""
+    return address.precise_only(csv_typed(spark, path, schema)).select("ID", F.col("lon").alias("X"), F.col("lat").alias("Y"))

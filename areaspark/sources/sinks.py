@@ -19,6 +19,12 @@ def write_lines(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_bad_rows(bad: DataFrame, path: str) -> int:
+    """Quarantined rows with the file they come from, as Parquet; returns how many there are."""
+    bad.write.mode("errorifexists").parquet(path)
+    return bad.sparkSession.read.schema(bad.schema).parquet(path).count()
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> str:
     """Parquet stored by the columns later scans filter on.
 

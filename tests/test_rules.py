@@ -385,3 +385,20 @@ def test_one_of_several_positions_is_always_the_same(spark):
     first = spark.createDataFrame([("a", 2.0, 9.0), ("a", 1.0, 5.0), ("b", None, 1.0)], "k string, lat double, long double").repartition(3)
     second = spark.createDataFrame([("b", 7.0, 8.0), ("a", 0.0, 0.0)], "k string, lat double, long double")
     assert rows(address.geocode_cascade(places, [first, second], ["k"])) == [("a", 1.0, 5.0), ("b", 7.0, 8.0)]
+
+
+def test_themes_keep_their_own_areas(spark):
+    """An area without mobility rows still counts for race, and only there."""
+    from areaspark.plans import themes
+
+    cells = [("A", "B01001_001", 100.0), ("A", "B02001_002", 60.0), ("A", "B07201_001", 90.0), ("A", "B07201_002", 80.0), ("B", "B01001_001", 50.0), ("B", "B02001_002", 10.0)]
+    long = spark.createDataFrame([("C", m, m, v, e) for m, v, e in cells], "County string, Municipality string, Neighborhood string, variable string, estimate double")
+    df = catalog.with_levels(long.join(catalog.dictionary(spark), "variable"))
+    own = F.col("Municipality") == F.col("Neighborhood")
+    wide = themes.totals_and_rates(df, ["race", "mobility"], together=False)
+    names_ = {r["Municipality"]: (r["Inrace"], r["Inmobility"]) for r in wide.collect()}
+    assert names_ == {"A": (True, True), "B": (True, False)}
+    assert [r["Municipality"] for r in themes.totals_and_rates(df, ["race", "mobility"]).collect()] == ["A"]
+    rates = wide.select("County", "Municipality", "Neighborhood", "PopPopulation", "Inrace", "Inmobility", F.lit(1.0).alias("TotalX"), F.lit(0.5).alias("RateX"))
+    got = benchmark.compare_rates(rates, ["Municipality"], ["X"], "PopPopulation", own, members={"X": F.col("Inmobility")})
+    assert {r["Municipality"] for r in got.collect()} == {m for m, (_, mob) in names_.items() if mob}
