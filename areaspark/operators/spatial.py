@@ -1,4 +1,4 @@
-"""Points in polygons, dissolve and centroids on edge tables.
+"""Points in polygons and centroids on edge tables.
 
 A polygon is a set of edge rows: its area keys and ``x1, y1, x2, y2``. All
 coordinates share one planar reference system.
@@ -170,21 +170,6 @@ def polygons_with_points(
     )
 
 
-def dissolve(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outline of the union of the polygons that share the same keys.
-
-    An edge used by two members of a group is interior and cancels. Needs
-    neighbours whose shared borders have the same corners.
-    """
-    a = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
-    b = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    side = edges.select(*keys, *EDGE, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    left = side.groupBy(*keys, "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*EDGE)).alias("e")
-    )
-    return left.where("n = 1").select(*keys, "e.*")
-
-
 def centroids(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Size and centroid of each outline, from sums over its edges."""
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaspark.operators import joins, spatial, windows
+from areaspark.operators import joins, overlay, spatial, windows
 from areaspark.plans.survey import City
 
 # fixed values: coordinates for areas whose centroid falls outside or is unreadable
@@ -83,9 +83,9 @@ def centroid_override(
     return centroids.withColumns({"X": fixed(0, "X"), "Y": fixed(1, "Y")})
 
 
-def area_dimension(areas: DataFrame, tiers: DataFrame, outlines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Areas with id, tier and centroid, one row each."""
-    centre = centroid_override(spatial.centroids(outlines, keys)).drop("size")
+def area_dimension(areas: DataFrame, tiers: DataFrame, outlines: DataFrame, keys: Sequence[str], sphere: bool = False) -> DataFrame:
+    """Areas with id, tier and centroid, one row each. ``sphere``: corners are longitudes and latitudes."""
+    centre = centroid_override((overlay.sphere_centroids if sphere else spatial.centroids)(outlines, keys)).drop("size")
     return joins.assemble_wide([(areas, "inner"), (tiers, "inner"), (centre, "inner")], list(keys))
 
 

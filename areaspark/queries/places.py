@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areaspark import session
-from areaspark.operators import benchmark, placelists, spatial
+from areaspark.operators import benchmark, overlay, placelists, spatial
 from areaspark.plans import locate, survey
 from areaspark.queries import indicators, people
 from areaspark.queries.indicators import AREA, KEYS, r6
@@ -77,24 +77,41 @@ def _(t: Tables):
     return locate.resolve_by_crosswalk(ambiguous, t.px_edges_tract, indicators.crosswalk(t))
 
 
-_SIDE = "least(x1 * 1000 + y1, x2 * 1000 + y2) AS a, greatest(x1 * 1000 + y1, x2 * 1000 + y2) AS b"
-view(
-    "ox_outline",
-    f"""SELECT County, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2 FROM (SELECT County, x1, y1, x2, y2, {_SIDE} FROM px_edges_muni WHERE County <> 'EXTRA')
-    GROUP BY County, a, b HAVING count(*) = 1""",
-)
+def outline(name: str, edges: str, keys: str) -> None:
+    """Brute force: every corner of a group against every edge of it; pieces that occur once."""
+    own = " AND ".join(f"e.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    named = ", ".join(f"e.{k.strip()}" for k in keys.split(","))
+    view(
+        f"{name}_stops",
+        f"""SELECT {keys}, x1, y1, x2, y2, x1 AS x, y1 AS y, 0 AS t FROM {edges} UNION ALL SELECT {keys}, x1, y1, x2, y2, x2, y2, 1 FROM {edges}
+        UNION ALL SELECT {named}, x1, y1, x2, y2, c.x, c.y, ((c.x - x1) * (x2 - x1) + (c.y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)
+        FROM {edges} e JOIN (SELECT {keys}, x1 AS x, y1 AS y FROM {edges} UNION SELECT {keys}, x2, y2 FROM {edges}) c ON {own}
+        WHERE (c.x - x1) * (y2 - y1) = (c.y - y1) * (x2 - x1) AND (c.x - x1) * (c.x - x2) + (c.y - y1) * (c.y - y2) < 0""",
+    )
+    view(
+        name,
+        f"""SELECT {keys}, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2 FROM (
+          SELECT {keys}, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {name}_stops WINDOW w AS (PARTITION BY {keys}, x1, y1, x2, y2 ORDER BY t)
+        ) WHERE x2 IS NOT NULL
+        GROUP BY {keys}, least(x1 * 1000 + y1, x2 * 1000 + y2), greatest(x1 * 1000 + y1, x2 * 1000 + y2) HAVING count(*) = 1""",
+    )
 
 
-# counties are columns of the grid, so dissolving them removes the inner borders
+view("ox_walls", "SELECT County, x1, y1, x2, y2 FROM px_edges_muni WHERE County <> 'EXTRA' UNION ALL SELECT County, x1, y1, x2, y2 FROM px_edges_brick")
+outline("ox_outline", "ox_walls", "County")
+
+
+# counties are columns of the grid, so dissolving them removes the inner borders; bricks share parts of their sides
 @query(
     "poly_dissolve",
     """SELECT County, x1, y1, x2, y2, coalesce(n, 0) AS residents FROM ox_outline o LEFT JOIN
     (SELECT County AS c, count(*) AS n FROM ox_point_hits GROUP BY County) h ON o.County = h.c""",
 )
 def _(t: Tables):
-    outline = spatial.dissolve(t.px_edges_muni.where("County <> 'EXTRA'"), ["County"])
+    walls = t.px_edges_muni.where("County <> 'EXTRA'").select("County", *spatial.EDGE).unionByName(t.px_edges_brick)
+    borders = overlay.dissolve(walls, ["County"])
     residents = spatial.points_in_polygons(t.px_points, t.px_edges_muni, MUNI).groupBy("County").agg(F.count(F.lit(1)).alias("n"))
-    return outline.join(residents, "County", "left").select("County", "x1", "y1", "x2", "y2", F.coalesce("n", F.lit(0)).alias("residents"))
+    return borders.join(residents, "County", "left").select("County", "x1", "y1", "x2", "y2", F.coalesce("n", F.lit(0)).alias("residents"))
 
 
 _CENTROID = """SELECT {k}, abs(sum(x1 * y2 - x2 * y1)) / 2 AS size, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / nullif(3 * sum(x1 * y2 - x2 * y1), 0) AS X,
@@ -112,6 +129,29 @@ def _(t: Tables):
     return r6(centre.join(placed, MUNI), "size", "X", "Y")
 
 
+def sphere_sql(keys: str, edges: str) -> str:
+    """Arcs (below a quarter turn) from the sine of the angle between their ends, areas from the solid angles of the triangles with the pole."""
+    return f"""SELECT {keys}, abs(sum(2 * atan2(ax * b_y - ay * bx, 1 + az + bz + ax * bx + ay * b_y + az * bz))) AS size,
+      degrees(atan2(sum(w * ny) * s, sum(w * nx) * s)) AS X, degrees(atan2(sum(w * nz) * s, sqrt(sum(w * nx) ** 2 + sum(w * ny) ** 2))) AS Y FROM (
+        SELECT *, asin(least(1, sqrt(nx ** 2 + ny ** 2 + nz ** 2))) / sqrt(nx ** 2 + ny ** 2 + nz ** 2) AS w, 1 AS s FROM (
+          SELECT *, ay * bz - az * b_y AS nx, az * bx - ax * bz AS ny, ax * b_y - ay * bx AS nz FROM (
+            SELECT {keys}, cos(radians(y1)) * cos(radians(x1)) AS ax, cos(radians(y1)) * sin(radians(x1)) AS ay, sin(radians(y1)) AS az,
+              cos(radians(y2)) * cos(radians(x2)) AS bx, cos(radians(y2)) * sin(radians(x2)) AS b_y, sin(radians(y2)) AS bz FROM {edges})))
+    GROUP BY {keys}, s"""
+
+
+# the same areas with their corners taken as longitude and latitude
+@query(
+    "poly_centroid_sphere",
+    f"""SELECT c.County, c.Municipality, round(size, 8) AS size, round(X, 6) AS X, round(Y, 6) AS Y, n FROM ({sphere_sql('County, Municipality', 'px_edges_muni')}) c
+    JOIN (SELECT County, Municipality, count(*) AS n FROM ox_point_hits GROUP BY 1, 2) h ON c.County = h.County AND c.Municipality = h.Municipality""",
+)
+def _(t: Tables):
+    centre = overlay.sphere_centroids(t.px_edges_muni, MUNI)
+    placed = spatial.points_in_polygons(t.px_points, t.px_edges_muni, MUNI).groupBy(*MUNI).agg(F.count(F.lit(1)).alias("n"))
+    return r6(centre.join(placed, MUNI), "X", "Y").withColumn("size", F.round("size", 8))
+
+
 _FIXED = {"Nation_5": (9.5, 9.25), "Nation_6": (None, 7.75)}
 
 
@@ -126,29 +166,39 @@ def _(t: Tables):
     return r6(centre.join(placed, "Municipality"), "X", "Y")
 
 
+outline("ox_hoods", "px_edges_hood", "Neighborhood")
 view(
     "ox_outlines",
-    f"""SELECT 'AFRICA' AS County, 'Nation_0' AS Municipality, Neighborhood, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2 FROM
-    (SELECT Neighborhood, x1, y1, x2, y2, {_SIDE} FROM px_edges_hood) GROUP BY Neighborhood, a, b HAVING count(*) = 1
+    """SELECT 'AFRICA' AS County, 'Nation_0' AS Municipality, Neighborhood, x1, y1, x2, y2 FROM ox_hoods
     UNION ALL SELECT County, Municipality, Municipality, x1, y1, x2, y2 FROM px_edges_muni""",
 )
 
 
-@query(
-    "area_dimension",
-    f"""SELECT {KEYS}, HoodID, {indicators._TIER.format('value')} AS Tier, round(X, 6) AS X, round(Y, 6) AS Y FROM ox_areas JOIN ox_di USING ({KEYS})
-    JOIN ({_CENTROID.format(k=KEYS, e='ox_outlines')}) c USING ({KEYS})""",
-)
-def _(t: Tables):
-    hoods = spatial.dissolve(t.px_edges_hood, ["Neighborhood"]).select(
+def _dimension_sql(centroid: str) -> str:
+    return f"""SELECT {KEYS}, HoodID, {indicators._TIER.format('value')} AS Tier, round(X, 6) AS X, round(Y, 6) AS Y FROM ox_areas JOIN ox_di USING ({KEYS})
+    JOIN ({centroid}) c USING ({KEYS})"""
+
+
+def _dimension(t: Tables, sphere: bool):
+    hoods = overlay.dissolve(t.px_edges_hood, ["Neighborhood"]).select(
         F.lit(CITY.county).alias("County"), F.lit(CITY.name).alias("Municipality"), "Neighborhood", *spatial.EDGE
     )
     munis = t.px_edges_muni.select(*MUNI, F.col("Municipality").alias("Neighborhood"), *spatial.EDGE)
     tiers = indicators.di(t).select(*AREA, benchmark.tier(F.col("value")).alias("Tier"))
-    out = locate.area_dimension(survey.areas(indicators.kept_hub(t)), tiers, hoods.unionByName(munis), AREA)
+    out = locate.area_dimension(survey.areas(indicators.kept_hub(t)), tiers, hoods.unionByName(munis), AREA, sphere)
     return r6(out, "X", "Y").select(*AREA, "HoodID", "Tier", "X", "Y")
 
 
+@query("area_dimension", _dimension_sql(_CENTROID.format(k=KEYS, e="ox_outlines")))
+def _(t: Tables):
+    return _dimension(t, sphere=False)
+
+
+@query("area_dimension_sphere", _dimension_sql(sphere_sql(KEYS, "ox_outlines")))
+def _(t: Tables):
+    return _dimension(t, sphere=True)
+
+
 _PLACES = """SELECT c_name AS Name, CASE WHEN c_custkey % 2 = 0 THEN 'School' ELSE 'Pharmacy' END AS Type,
     CASE WHEN c_acctbal < 0 THEN NULL ELSE ((c_custkey * 7919) % 1000) / 200 END AS X, ((c_custkey * 104729) % 1000) / 200 AS Y, c_mktsegment AS Address FROM customer"""
 view(

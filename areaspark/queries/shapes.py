@@ -278,6 +278,17 @@ shape(
     + catalog.values_text(_OVERLAP, ["x1", "y1", "x2", "y2"])
     + ") o",
 )
+# a wall of bricks: every second row is half a brick further, so neighbours have different corners
+shape(
+    "px_edges_brick",
+    _box(
+        "CASE WHEN n_nationkey % 5 < 3 THEN 'Bricks-West' ELSE 'Bricks-East' END AS County",
+        f"(n_nationkey % 5 + 0.5 * ({whole('n_nationkey / 5')} % 2))",
+        whole("n_nationkey / 5"),
+        "1",
+        "nation",
+    ),
+)
 HOOD = "CASE WHEN n_nationkey IN (3, 4) THEN 'Hood-3-Hood-4' ELSE 'Hood-' || CAST(n_nationkey AS STRING) END"
 shape("px_edges_hood", _box(f"{HOOD} AS Neighborhood", "n_nationkey % 5", whole("n_nationkey / 5"), "5", "nation"))
 TRACT_BOX = f"'39061' || {tract6('n_nationkey * 5')}"

@@ -8,7 +8,7 @@ from compare import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from areaspark.operators import joins, spatial, windows
+from areaspark.operators import joins, overlay, spatial, windows
 from areaspark.plans import locate, survey
 from areaspark.plans.survey import City
 
@@ -148,7 +148,7 @@ def test_dissolve_and_centroid(spark):
             ring = [(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)]
             cells += [("g", float(ax), float(ay), float(bx), float(by)) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])]
     edges = spark.createDataFrame(cells, "area string, x1 double, y1 double, x2 double, y2 double")
-    outline = spatial.dissolve(edges, ["area"])
+    outline = overlay.dissolve(edges, ["area"])
     assert outline.count() == 10
     r = spatial.centroids(outline, ["area"]).first()
     assert (r["size"], r["X"], r["Y"]) == pytest.approx((6.0, 1.5, 1.0))
