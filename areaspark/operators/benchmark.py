@@ -138,7 +138,27 @@ def zscore_halfscale(values: DataFrame, weights: DataFrame, keys: Sequence[str],
         missing.max_strict("value").alias("Max"),
         missing.stddev_strict("value").alias("SD"),
     )
-    out = joins.attach_scalar(joins.attach_scalar(values, mean), spread)
+    return _half_scaled(joins.attach_scalar(joins.attach_scalar(values, mean), spread))
+
+
+def zscore_by(values: DataFrame, weights: DataFrame, keys: Sequence[str], name: str, own: Column) -> DataFrame:
+    """The same for several measures at once: ``values`` and ``weights`` carry the measure in the column ``name``.
+
+    One aggregation gives mean, extremes and spread of every measure.
+    """
+    weighed = joins.null_safe_join(values, weights.select(*keys, name, F.col("estimate").alias("__w"), F.lit(True).alias("__has")), [*keys, name], "left")
+    counts = F.coalesce(F.col("__has"), F.lit(False)) & own
+    bench = weighed.groupBy(name).agg(
+        missing.ratio(missing.sum_strict_where(counts, F.col("value") * F.col("__w")), missing.sum_strict_where(counts, "__w")).alias("Mean"),
+        missing.min_strict("value").alias("Min"),
+        missing.max_strict("value").alias("Max"),
+        missing.stddev_strict("value").alias("SD"),
+    )
+    return _half_scaled(joins.null_safe_join(values, bench, [name]))
+
+
+def _half_scaled(out: DataFrame) -> DataFrame:
+    """z-score, scale and label offset of rows with value, Mean, Min, Max and SD."""
     out = out.withColumn("ZScore", missing.ratio(F.col("value") - F.col("Mean"), "SD"))
     up = missing.ratio(F.col("ZScore"), missing.ratio(F.col("Max") - F.col("Mean"), "SD"))
     down = missing.ratio(F.col("ZScore"), missing.ratio(F.col("Min") - F.col("Mean"), "SD"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from areaspark.functions import missing
 from areaspark.operators import benchmark, joins, names
-from areaspark.plans import catalog, deprivation, earlier, survey, themes
+from areaspark.plans import catalog, deprivation, earlier, statistics, survey, themes
+from areaspark.queries import shapes
 from areaspark.queries.registry import Tables, query, view
 from areaspark.queries.scalars import CLEAN_SQL
 from areaspark.queries.shapes import CITY, COUNTY_STATES, MERGES, OVERRIDES
@@ -77,6 +78,36 @@ def kept_hub(t: Tables) -> DataFrame:
     return t.kept("hub", lambda: hub(t))
 
 
+# Spark only: every survey row for the four geographies it counts in, read once
+_ONCE = f"""SELECT variable, inline(array(
+    named_struct('geography', 'block group', 'GEOID', {shapes.bg_geoid('l_suppkey')}, 'estimate', CAST(estimate AS DOUBLE)),
+    named_struct('geography', 'tract', 'GEOID', {shapes.tract_geoid('l_suppkey')}, 'estimate', CAST(estimate AS DOUBLE)),
+    named_struct('geography', 'place', 'GEOID', CAST(l_suppkey % 25 AS STRING) || '-' || CAST(part AS STRING), 'estimate', CAST(estimate AS DOUBLE)),
+    named_struct('geography', 'county', 'GEOID', CAST(l_suppkey % 5 AS STRING), 'estimate', CAST(county AS DOUBLE))
+  )) FROM (SELECT l_suppkey, v.variable, {shapes.ESTIMATE} AS estimate, {shapes.PART} AS part,
+    CASE WHEN v.variable = 'B25002_003' THEN l_quantity ELSE {shapes.ESTIMATE} END AS county {shapes.ROWS})"""
+_NAMED = f"""SELECT 'place' AS geography, CAST(nk AS STRING) || '-' || CAST(part AS STRING) AS GEOID, GEOID AS place, NAME FROM px_muni_names
+    UNION ALL SELECT 'county', CAST(r_regionkey AS STRING), CAST(NULL AS STRING), replace(r_name, ' ', '-') || ' County, ' || {shapes.state_name('r_regionkey')} FROM region"""
+
+
+def read_once(t: Tables) -> Tables:
+    """The survey tables of a query that needs several of them, from one aggregation over one scan."""
+
+    def make() -> DataFrame:
+        found = joins.null_safe_join(statistics.collect(t.sql(_ONCE)), t.sql(_NAMED), ["geography", "GEOID"], "left")
+        named = found.where(F.col("geography").isin("block group", "tract") | F.col("NAME").isNotNull())
+        return named.withColumn("GEOID", F.coalesce("place", "GEOID")).drop("place")
+
+    found = t.kept("statistics", make)
+    t.put("px_bg_rows", statistics.rows(found, "block group").drop("NAME"))
+    t.put("px_tract", statistics.rows(found, "tract").drop("NAME"))
+    t.put("px_muni_rows", statistics.rows(found, "place"))
+    t.put("px_county", statistics.rows(found, "county").drop("GEOID"))
+    t.put("px_bg", statistics.one_each(found, "block group", catalog.MEDIAN_INCOME).drop("NAME"))
+    t.put("px_muni", statistics.one_each(found, "place", catalog.MEDIAN_INCOME))
+    return t
+
+
 @query("merge_split_places", f"SELECT County, Municipality, variable, round({strict('estimate')}, 6) AS estimate FROM ox_named_muni GROUP BY ALL")
 def _(t: Tables):
     sums = t.px_muni_rows.groupBy("NAME", "variable").agg(missing.sum_strict("estimate").alias("estimate"))
@@ -535,19 +566,21 @@ _INDICATORS = [
     ),
 )
 def _(t: Tables):
-    rates = t.kept("inputs", lambda: themes.theme_wide(kept_hub(t), "deprivation"))
-    values = {
-        "DeprivationIndex": di(t), "Poverty": rates.select(*AREA, F.col("RatePoverty").alias("value")),
-        "Assistance": assistance(t).select(*AREA, F.col("AssistancePct").alias("value")), "MedianIncome": income(t),
-        "Uninsured": rates.select(*AREA, F.col("RateUninsured").alias("value")),
-        "NoHS": rates.select(*AREA, F.col("RateNoHighSchool").alias("value")), "Vacant": rates.select(*AREA, F.col("RateVacant").alias("value")),
-    }
-    out = None
-    for name, _, weight, good in _INDICATORS:
-        compared = benchmark.zscore_halfscale(values[name].select(*AREA, "value"), weights(t, weight), AREA, own_row())
-        shade = benchmark.direction_shade(F.col("Scale"), F.lit(good))
-        part = compared.select(F.lit(name).alias("name"), *AREA, F.round("Mean", 5).alias("Mean"), F.round("Scale", 5).alias("Scale"), F.round(shade, 5).alias("Shade"))
-        out = part if out is None else out.unionByName(part)
+    read_once(t)
+    rates = themes.theme_wide(kept_hub(t), "deprivation")
+    names_ = {"Poverty": "RatePoverty", "Uninsured": "RateUninsured", "NoHS": "RateNoHighSchool", "Vacant": "RateVacant"}
+    values = rates.select(*AREA, *[F.col(c).alias(n) for n, c in names_.items()]).unpivot(AREA, list(names_), "name", "value")
+    for name, part in (("DeprivationIndex", di(t)), ("Assistance", assistance(t).withColumn("value", F.col("AssistancePct"))), ("MedianIncome", income(t))):
+        values = values.unionByName(part.select(*AREA, F.lit(name).alias("name"), "value"))
+    by_weight = {}
+    for name, _, weight, _ in _INDICATORS:
+        by_weight.setdefault(weight, []).append(F.lit(name))
+    names_of = F.create_map(*[x for w, ns in by_weight.items() for x in (F.lit(w), F.array(*ns))])
+    weighted = kept_hub(t).where(F.col("variable").isin(list(by_weight))).select(*AREA, F.explode(names_of[F.col("variable")]).alias("name"), "estimate")
+    out = benchmark.zscore_by(t.kept("values", lambda: values), weighted, AREA, "name", own_row())
+    good = [n for n, *_, high in _INDICATORS if high]
+    shade = benchmark.direction_shade(F.col("Scale"), F.col("name").isin(good))
+    out = out.select("name", *AREA, F.round("Mean", 5).alias("Mean"), F.round("Scale", 5).alias("Scale"), F.round(shade, 5).alias("Shade"))
     areas = survey.areas(kept_hub(t)).select(*AREA, "HoodID")
     return joins.null_safe_join(out, areas, AREA)
 
@@ -713,6 +746,7 @@ view(
 
 
 def earlier_wide(t: Tables) -> DataFrame:
+    read_once(t)
     lookup = catalog.category_lookup(t.spark)
     # the earlier data has no merged neighbourhoods; keep the shape's merges for one index
     alloc = names.merge_neighbourhoods(t.px_alloc, {})

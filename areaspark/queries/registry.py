@@ -45,6 +45,10 @@ class Tables:
             self._frames[name] = frame
         return self._frames[name]
 
+    def put(self, name: str, frame: DataFrame) -> None:
+        """Read a shape from a frame instead of its SQL."""
+        self._frames[name] = frame
+
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """An intermediate used by several branches of one query, written once."""
         key = f"_kept_{name}"
