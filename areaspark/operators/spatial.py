@@ -112,18 +112,27 @@ def points_in_polygons(
     y: str = "Y",
     cell: float = 0.25,
     how: str = "inner",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Attach the keys of every polygon that holds the point.
 
     ``how="left"`` keeps unmatched points with NULL keys. A crowded cell is split
-    by adaptive execution when the polygons are too many to broadcast.
+    by adaptive execution when the polygons are too many to broadcast. ``within`` names columns of both sides, the parent of a
+    polygon and the parent already found for a point: only children of that parent meet the point, whatever else its cell holds.
     """
-    cells = polygon_cells(edges, keys, cell)
+    if within:
+        parents = [f"__in_{c}" for c in within]
+        edges = edges.withColumns({p: F.col(c) for p, c in zip(parents, within)})
+        # a null parent is a parent like any other
+        cells = polygon_cells(edges, [*keys, *parents], cell).withColumn("__parent", F.to_json(F.struct(*parents), {"ignoreNullFields": "false"})).drop(*parents)
+    else:
+        parents = []
+        cells = polygon_cells(edges, keys, cell)
     # the grids in use: as many as the sizes of the polygons have powers of two, at most
-    levels = sorted(r["level"] for r in polygon_levels(edges, keys, cell).select("level").distinct().collect()) or [0]
+    levels = sorted(r["level"] for r in polygon_levels(edges, [*keys, *parents], cell).select("level").distinct().collect()) or [0]
     if how == "left" and len(levels) > 1:
-        matched = points_in_polygons(points, edges, keys, x, y, cell)
-        rest = joins.null_safe_join(points, matched.select(x, y).distinct(), [x, y], "left_anti")
+        matched = points_in_polygons(points, edges, keys, x, y, cell, within=within)
+        rest = joins.null_safe_join(points, matched.select(x, y, *within).distinct(), [x, y, *within], "left_anti")
         kinds = {f.name: f.dataType for f in matched.schema.fields}
         missing = [F.lit(None).cast(kinds[c]).alias(c) if c in keys else F.col(c) for c in matched.columns]
         return matched.unionByName(rest.select(*missing))
@@ -137,6 +146,10 @@ def points_in_polygons(
         & (F.col("__cy") == F.col("cy"))
         & (F.col("edges").isNull() | covers(F.col("edges"), F.col(x), F.col(y)))
     )
+    if within:
+        own = F.to_json(F.struct(*[F.col(c).alias(p) for p, c in zip(parents, within)]), {"ignoreNullFields": "false"})
+        keyed = keyed.withColumn("__own", own)
+        hit = hit & (F.col("__own") == F.col("__parent"))
     joined = keyed.join(renamed, hit, how)
     kept = [c for c in points.columns if c not in keys]
     return joined.select(*kept, *[F.col(f"__p_{k}").alias(k) for k in keys])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaspark import session
-from areaspark.operators import benchmark, overlay, placelists, spatial
-from areaspark.plans import locate, survey
-from areaspark.queries import indicators, people
+from areaspark.operators import address, benchmark, overlay, placelists, spatial
+from areaspark.plans import cohorts, earlier_asthma, locate, survey
+from areaspark.queries import indicators, people, shapes
 from areaspark.queries.indicators import AREA, KEYS, r6
 from areaspark.queries.registry import Tables, query, view
 from areaspark.queries.shapes import CITY
@@ -199,6 +200,105 @@ def _(t: Tables):
     return _dimension(t, sphere=True)
 
 
+# --- earlier chain: neighbourhoods through block groups, addresses to area totals --------------------
+
+view("ox_city_points", "SELECT ID, X, Y FROM ox_point_hits WHERE ID IN (SELECT ID FROM ox_point_hits GROUP BY ID HAVING count(*) = 1) AND Municipality = 'Nation_0'")
+view("ox_bg_edges", "SELECT GEOID, x1, y1, x2, y2 FROM px_edges_bg WHERE County = 'AFRICA'")
+
+
+def blockgroup_view(name: str, points: str) -> None:
+    """Brute force over the block groups of the city's county; points with one neighbourhood."""
+    people.hits(f"{name}_hits", points, "ID, X, Y", "ox_bg_edges", "GEOID")
+    view(
+        name,
+        f"""SELECT ID, min(Neighborhood) AS Neighborhood FROM {name}_hits h JOIN px_bg_hood a ON h.GEOID = a.GEOID WHERE Municipality = 'Nation_0'
+        GROUP BY ID HAVING count(DISTINCT Neighborhood) = 1""",
+    )
+
+
+blockgroup_view("ox_bg_placed", "ox_city_points")
+
+
+@query("spatial_blockgroup_hood", "SELECT ID, 'Ohio' AS State, 'AFRICA' AS County, 'Nation_0' AS Municipality, Neighborhood FROM ox_bg_placed")
+def _(t: Tables):
+    placed = locate.unambiguous(spatial.points_in_polygons(t.px_points, t.px_edges_muni, MUNI).select("ID", "X", "Y", *MUNI), ["ID"])
+    inside = placed.where(F.col("Municipality") == CITY.name)
+    return earlier_asthma.blockgroup_hood(inside, t.px_edges_bg, t.px_bg_hood, CITY, cell=0.05)
+
+
+_REGION = {"Ohio": ["AFRICA", "AMERICA"], "Kentucky": ["ASIA", "EUROPE"], "Indiana": ["MIDDLE-EAST"]}
+_CODES = {("Ohio", "061"): "AFRICA", ("Ohio", "017"): "AMERICA", ("Kentucky", "015"): "ASIA", ("Kentucky", "037"): "EUROPE", ("Indiana", "029"): "MIDDLE-EAST"}
+_E4 = "State, County, Municipality, Neighborhood"
+_CLEAN = """upper(city) AS City, state, left(zip, 5) AS Zip,
+    regexp_replace(upper(coalesce(add_line_1, add_line_2)), '(APT|#|UNIT).*', '') AS Address"""
+view(
+    "ox_a_rows",
+    f"""SELECT {_CLEAN}, 1 AS r, 0 AS a FROM (SELECT DISTINCT p.* FROM px_patient p WHERE pat_id IN (SELECT networked_id FROM px_record JOIN px_membership USING (record_id)
+        JOIN px_config USING (registry_id) WHERE status_c = 1 AND contains(registry_name, 'click'))
+      AND NOT contains(add_line_1, '222 E') AND datediff('day', birth_date, DATE '{people.AS_OF}') / 385.25 < 18
+      AND (CASE state WHEN 'Ohio' THEN county IN ('AFRICA', 'AMERICA') WHEN 'Kentucky' THEN county IN ('ASIA', 'EUROPE') WHEN 'Indiana' THEN county = 'MIDDLE-EAST' ELSE false END
+        OR (state IN ('Ohio', 'Kentucky', 'Indiana') AND county IS NULL)))
+    UNION ALL SELECT {_CLEAN}, 0, 1 FROM px_network WHERE year(hosp_admsn_time) = 1997 AND asthma_admission = 1 AND NOT contains(add_line_1, '222 E')
+      AND (CASE state WHEN 'Ohio' THEN countyfp IN ('061', '017') WHEN 'Kentucky' THEN countyfp IN ('015', '037') WHEN 'Indiana' THEN countyfp = '029' ELSE false END
+        OR (state IN ('Ohio', 'Kentucky', 'Indiana') AND countyfp IS NULL))""",
+)
+view("ox_a_unique", "SELECT *, row_number() OVER () AS ID FROM (SELECT DISTINCT City, state, Zip, Address FROM ox_a_rows)")
+view(
+    "ox_a_points",
+    f"SELECT ID, lon AS X, lat AS Y FROM (SELECT ID, {', '.join(f'{e} AS {c}' for c, e in shapes.GEOCODED.items())} FROM ox_a_unique) WHERE precision = 'range' AND geocode_result <> 'imprecise_geocode'",
+)
+people.hits("ox_a_hits", "ox_a_points", "ID, X, Y", "px_edges_places", "State, County, Municipality")
+view("ox_a_several", "SELECT ID FROM ox_a_hits GROUP BY ID HAVING count(*) > 1")
+view("ox_a_border", "SELECT DISTINCT ID, X, Y FROM ox_a_hits WHERE ID IN (FROM ox_a_several)")
+people.hits("ox_a_tracts", "ox_a_border", "ID, X, Y", "px_edges_tract", "GEOID")
+view("ox_a_city", "SELECT ID, X, Y FROM ox_a_hits WHERE ID NOT IN (FROM ox_a_several) AND Municipality = 'Nation_0'")
+blockgroup_view("ox_a_hoods", "ox_a_city")
+view(
+    "ox_a_placed",
+    """SELECT ID, State, County, Municipality, CAST(NULL AS VARCHAR) AS Neighborhood FROM ox_a_hits WHERE ID NOT IN (FROM ox_a_several) AND Municipality <> 'Nation_0'
+    UNION ALL SELECT h.ID, h.State, h.County, h.Municipality, NULL FROM ox_a_hits h JOIN (SELECT DISTINCT ID, GEOID FROM ox_a_tracts) t ON h.ID = t.ID
+      JOIN ox_crosswalk c ON c.GEOID = t.GEOID AND c.State = h.State AND c.County = h.County AND c.Municipality = h.Municipality
+    UNION ALL SELECT ID, 'Ohio', 'AFRICA', 'Nation_0', Neighborhood FROM ox_a_hoods""",
+)
+view(
+    "ox_a_sums",
+    f"""SELECT {_E4}, sum(r) AS r, sum(a) AS a FROM (SELECT p.*, u.City, u.Address, u.Zip, u.state AS st FROM ox_a_placed p JOIN ox_a_unique u ON p.ID = u.ID) k
+    JOIN ox_a_rows w ON w.City IS NOT DISTINCT FROM k.City AND w.state IS NOT DISTINCT FROM k.st AND w.Zip IS NOT DISTINCT FROM k.Zip AND w.Address IS NOT DISTINCT FROM k.Address
+    GROUP BY k.State, k.County, k.Municipality, k.Neighborhood""".replace(f"SELECT {_E4}, sum(r)", "SELECT k.State, k.County, k.Municipality, k.Neighborhood, sum(r)"),
+)
+view(
+    "ox_a_levels",
+    f"""WITH l AS (SELECT {_E4}, r, a FROM ox_a_sums WHERE Neighborhood <> 'All' UNION ALL SELECT State, County, Municipality, 'All', sum(r), sum(a) FROM ox_a_sums GROUP BY 1, 2, 3
+      UNION ALL SELECT State, County, 'All', 'All', sum(r), sum(a) FROM ox_a_sums GROUP BY 1, 2 UNION ALL SELECT 'All', 'All', 'All', 'All', sum(r), sum(a) FROM ox_a_sums)
+    SELECT {_E4}, Children, CAST(coalesce(r, 0) AS BIGINT) AS AsthmaRegistry, CAST(coalesce(a, 0) AS BIGINT) AS AsthmaAdmissions,
+    coalesce(coalesce(r, 0) / nullif(Children, 0), 0) AS AsthmaRegistryRate, coalesce(coalesce(a, 0) / nullif(Children, 0), 0) AS AsthmaAdmissionRate
+    FROM l RIGHT JOIN px_e_children USING ({_E4})""",
+)
+
+
+def asthma_levels(t: Tables) -> DataFrame:
+    """Asthma sums and rates of neighbourhoods, municipalities, counties and the metro, from addresses on."""
+    wanted = F.col("registry_name").like("%click%")
+    registry = earlier_asthma.registry_rows(t.px_config, t.px_membership, t.px_record, t.px_patient, wanted, people.AS_OF, _REGION)
+    admitted = earlier_asthma.admission_rows(t.px_network, 1997, _CODES)
+    patients = session.keep(earlier_asthma.with_address(registry.unionByName(admitted)), "patients")
+    unique = patients.select("ID", *earlier_asthma.PARTS).distinct()
+    geocoded = address.precise_only(unique.select("ID", *[F.expr(e).alias(c) for c, e in shapes.GEOCODED.items()]))
+    placed = earlier_asthma.places(
+        geocoded.select("ID", F.col("lon").alias("X"), F.col("lat").alias("Y")), t.px_edges_places, t.px_edges_tract, t.px_edges_bg,
+        indicators.crosswalk(t), t.px_bg_hood, CITY, cell=0.1, keep=lambda df: session.keep(df, "municipalities"),
+    )
+    return cohorts.earlier_area_totals(earlier_asthma.back_to_patients(patients, placed), t.px_e_children)
+
+
+_ASTHMA = ["AsthmaRegistryRate", "AsthmaAdmissionRate"]
+
+
+@query("asthma_pipeline", f"SELECT {_E4}, Children, AsthmaRegistry, AsthmaAdmissions, {', '.join(f'round({c}, 6) AS {c}' for c in _ASTHMA)} FROM ox_a_levels")
+def _(t: Tables):
+    return r6(asthma_levels(t), *_ASTHMA).select(*earlier_asthma.AREA, "Children", "AsthmaRegistry", "AsthmaAdmissions", *_ASTHMA)
+
+
 _PLACES = """SELECT c_name AS Name, CASE WHEN c_custkey % 2 = 0 THEN 'School' ELSE 'Pharmacy' END AS Type,
     CASE WHEN c_acctbal < 0 THEN NULL ELSE ((c_custkey * 7919) % 1000) / 200 END AS X, ((c_custkey * 104729) % 1000) / 200 AS Y, c_mktsegment AS Address FROM customer"""
 view(

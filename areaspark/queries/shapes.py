@@ -289,6 +289,41 @@ shape(
         "nation",
     ),
 )
+# block groups of the city's county: four in each of its 25 boxes; one of another county over the first ones
+shape("px_quarters", "SELECT n_nationkey AS n, q FROM nation JOIN (SELECT r_regionkey AS q FROM region WHERE r_regionkey < 4) r ON TRUE")
+shape(
+    "px_edges_bg",
+    _box(
+        f"'AFRICA' AS County, {bg_geoid('(n * 4 + q + 1)')} AS GEOID", "(n % 5 * 2 + q % 2)", f"({whole('n / 5')} * 2 + {whole('q / 2')})", "10", "px_quarters"
+    )
+    + " UNION ALL "
+    + _box(f"'ASIA' AS County, {bg_geoid('1')} AS GEOID", "0", "0", "2", "region WHERE r_regionkey = 0"),
+)
+# most block groups lie in one neighbourhood, every fifth in two
+shape("px_bg_hood", "SELECT GEOID, Municipality, Neighborhood FROM px_alloc WHERE Allocation > 0.5 OR substring(GEOID, 12, 1) = '0'")
+shape(
+    "px_edges_places",
+    f"""SELECT CASE WHEN County IN ('AFRICA', 'AMERICA') THEN 'Ohio' WHEN County IN ('ASIA', 'EUROPE') THEN 'Kentucky' ELSE 'Indiana' END AS State, County, Municipality, x1, y1, x2, y2 FROM px_edges_muni""",
+)
+shape(
+    "px_network",
+    f"""SELECT 'P' || {text('o_custkey')} AS pat_id, {listed(address('o_orderkey % 3000'))}, CAST(o_orderdate AS TIMESTAMP) AS hosp_admsn_time,
+      CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '061' WHEN 2 THEN '017' WHEN 3 THEN '015' WHEN 4 THEN '037' WHEN 5 THEN '029' ELSE '999' END AS countyfp,
+      CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS asthma_admission FROM orders""",
+)
+_HOUSE = "(coalesce(TRY_CAST(substring(Address, 1, greatest(instr(Address, ' ') - 1, 0)) AS BIGINT), 7) * 37 + coalesce(TRY_CAST(substring(Zip, 3, 3) AS BIGINT), 5) * 11)"
+# what a geocoder says of an address; column text of a cleaned address table
+GEOCODED = {
+    "lon": f"({_HOUSE} * 7919 % 1000) / 200", "lat": f"({_HOUSE} * 104729 % 1000) / 200",
+    "precision": f"CASE WHEN {_HOUSE} % 13 = 0 THEN 'city' ELSE 'range' END", "geocode_result": f"CASE WHEN {_HOUSE} % 17 = 0 THEN 'imprecise_geocode' ELSE 'geocoded' END",
+}
+shape(
+    "px_e_areas",
+    f"""SELECT DISTINCT State, County, Municipality, 'All' AS Neighborhood FROM px_edges_places UNION ALL SELECT DISTINCT State, County, 'All', 'All' FROM px_edges_places
+    UNION ALL SELECT 'All', 'All', 'All', 'All' FROM region WHERE r_regionkey = 0
+    UNION ALL SELECT DISTINCT 'Ohio', 'AFRICA', 'Nation_0', 'Hood-' || {text('n_nationkey')} FROM nation""",
+)
+shape("px_e_children", "SELECT State, County, Municipality, Neighborhood, CAST(length(Municipality) * 100 + length(Neighborhood) % 6 - 5 AS DOUBLE) AS Children FROM px_e_areas")
 HOOD = "CASE WHEN n_nationkey IN (3, 4) THEN 'Hood-3-Hood-4' ELSE 'Hood-' || CAST(n_nationkey AS STRING) END"
 shape("px_edges_hood", _box(f"{HOOD} AS Neighborhood", "n_nationkey % 5", whole("n_nationkey / 5"), "5", "nation"))
 TRACT_BOX = f"'39061' || {tract6('n_nationkey * 5')}"
