@@ -85,7 +85,10 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _signed(rows: DataFrame, words: int) -> DataFrame:
-    """``id``, ``node``, number of shingles, band keys and low bytes of the bins (null for an empty set) of every row."""
+    """``id``, ``node``, number of shingles, band keys and low bytes of the bins (null for an empty set) of every row.
+
+    A key is a hash of a band's bins, whose last six bits are the number of the band.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -101,7 +104,8 @@ def _signed(rows: DataFrame, words: int) -> DataFrame:
                     continue
                 sign = signature(found)
                 raw = sign.tobytes()
-                keys.append(np.array([xxhash.xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64))
+                hashes = np.array([xxhash.xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)]) for k in range(BANDS)], np.uint64)
+                keys.append((hashes & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64))
                 bins.append((sign & 0xFF).astype(np.uint8).tobytes())
             cols = [batch.column("id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "keys", "bins"])
@@ -110,11 +114,22 @@ def _signed(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(task, T.StructType([rows.schema["id"], rows.schema["node"], *added]))
 
 
-def _stars(index: DataFrame) -> DataFrame:
-    """Pairs of a bucket's smallest node and each other one of another group; ``index`` has key, node and root."""
-    hub = index.groupBy("key").agg(F.min(F.struct("node", "root")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = index.join(hub, "key").where("node <> hub.node AND root <> hub.root")
-    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+def _index(signed: DataFrame) -> DataFrame:
+    """``key`` and ``node`` of the buckets with several rows; most rows have none and go no further."""
+    entries = signed.where("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
+    busy = keep_table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "busy")
+    return keep_table(entries.join(busy, "key").select("key", "node").distinct(), "index")
+
+
+def _stars(index: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs of a bucket's smallest node and each other one; with ``roots``, each one of another group."""
+    hub = index.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = index.join(hub, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    if roots is None:
+        return pairs
+    for end in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -134,19 +149,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = keep_table(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = keep_table(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part")
-    members = pairs.join(parts, "a").select("a", part, "b").join(some.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    hubs = parts.join(some.select(F.col("node").alias("a"), "text"), "a")
+    members = pairs.join(parts, "a").select("a", part, "b").join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    hubs = parts.join(texts.select(F.col("node").alias("a"), "text"), "a")
     hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
     met = members.union(hubs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return keep_table(met.mapInArrow(task, "a binary, b binary"), "links")
 
 
-def _searched(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups of a bucket whose bins nearly agree; ``members`` has key, band, node, root and bins."""
+def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups of a bucket whose bins nearly agree; ``members`` has key, node and root, ``bins`` node and bins."""
     share = percent / 100
     enough = int(BINS * (share - SLACK * (share * (1 - share) / BINS) ** 0.5))
 
@@ -181,7 +194,9 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
         "key", F.col("large.root").alias("large"), F.ceil((F.col("members") - F.col("large.n")) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"),
     )
-    rows = members.join(open_, "key")
+    rows = keep_table(members.join(open_, "key"), "open")  # the bins of a node follow only where it is in an open bucket
+    wanted = rows.select("node").distinct()
+    rows = rows.join(bins.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node").withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
     kept = ["band", "node", "root", "bins"]
@@ -192,20 +207,19 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(task, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(signed: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs ``a``, ``b`` that connect whatever is as similar as asked; a pair inside a group may be left out."""
-    index = nodes.where("keys IS NOT NULL").select("node", "bins", F.posexplode("keys").alias("band", "key"))
-    early = index.where(F.col("band") < EARLY).select("key", "node", F.col("node").alias("root"))
-    found = _confirmed(_stars(early), texts, words, percent)
-
-    def placed(found: DataFrame) -> DataFrame:
-        roots = keep_table(graph.components(found), "roots")
-        return nodes.where("keys IS NOT NULL").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keys", "bins")
-
-    later = placed(found).select("node", "root", F.posexplode("keys").alias("band", "key")).where(F.col("band") >= EARLY)
-    found = found.union(_confirmed(_stars(later.select("key", "node", "root")), texts, words, percent))
-    members = keep_table(placed(found), "members").select("node", "root", "bins", F.posexplode("keys").alias("band", "key"))
-    return found.union(_confirmed(_searched(members, percent), texts, words, percent))
+    index = _index(signed)
+    met = index.select("node").distinct()
+    texts = keep_table(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    early = F.col("key").bitwiseAND(63) < EARLY
+    found = _confirmed(_stars(index.where(early)), texts, words, percent)
+    roots = keep_table(graph.components(found), "roots")
+    found = found.union(_confirmed(_stars(index.where(~early), roots), texts, words, percent))
+    roots = keep_table(graph.components(found), "roots")
+    members = index.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    searched = _searched(keep_table(members, "members"), signed.select("node", "bins"), percent)
+    return found.union(_confirmed(searched, texts, words, percent))
 
 
 def groups(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -214,9 +228,8 @@ def groups(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = W
     node = F.unhex(F.md5(F.coalesce(df[text], F.lit("")).cast("binary")))
     rows = df.select(df[id].alias("id"), df[text].alias("text"), node.alias("node"))
     signed = keep_table(_signed(rows, words), "signed")
-    nodes = signed.groupBy("node").agg(F.min("id").alias("least"), F.min("keys").alias("keys"), F.min("bins").alias("bins"))
-    nodes = keep_table(nodes, "nodes")
-    roots = keep_table(graph.components(links(nodes, rows.select("node", "text"), words, percent)), "roots")
+    nodes = signed.groupBy("node").agg(F.min("id").alias("least"))
+    roots = keep_table(graph.components(links(signed, rows.select("node", "text"), words, percent)), "roots")
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min("least").alias("component"))
     of_node = placed.join(first, "root").select("node", "component")
