@@ -208,31 +208,39 @@ def _(t: Tables):
 # Sorting, limits, set operations
 
 
-@query("sort_asc", "SELECT pat_id, county FROM px_patient ORDER BY county NULLS LAST, pat_id")
+# every row with its place in the partitions as they were written, so that the order itself is compared
+
+
+def _placed(t: Tables, name: str, ordered):
+    return ordering.positions(ordered, lambda df: session.keep(df, name))
+
+
+@query("sort_asc", "SELECT pat_id, county, row_number() OVER (ORDER BY county NULLS LAST, pat_id) AS position FROM px_patient")
 def _(t: Tables):
-    return ordering.sort_rows(t.px_patient.select("pat_id", "county"), "county", "pat_id")
+    return _placed(t, "sort_asc", ordering.sort_rows(t.px_patient.select("pat_id", "county"), "county", "pat_id"))
 
 
-@query("sort_desc", "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ORDER BY n DESC, o_custkey")
+@query("sort_desc", "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS position FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def _(t: Tables):
     counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return ordering.sort_rows(counts, "n", "o_custkey", descending=["n"])
+    return _placed(t, "sort_desc", ordering.sort_rows(counts, "n", "o_custkey", descending=["n"]))
 
 
-@query("sort_expr", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey")
+@query("sort_expr", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS position FROM part")
 def _(t: Tables):
-    return ordering.sort_rows(t.part.select("p_partkey", "p_name"), text.title_case("p_name"), "p_partkey")
+    return _placed(t, "sort_expr", ordering.sort_rows(t.part.select("p_partkey", "p_name"), text.title_case("p_name"), "p_partkey"))
 
 
 @query(
     "sort_category",
-    """SELECT o_orderpriority, n, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '1-URGENT' THEN 3 END AS rank
-    FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""",
+    """SELECT o_orderpriority, n, rank, row_number() OVER (ORDER BY rank NULLS LAST, o_orderpriority) AS position FROM (
+    SELECT o_orderpriority, n, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '1-URGENT' THEN 3 END AS rank
+    FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1))""",
 )
 def _(t: Tables):
     counts = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     rank = ordering.category_rank("o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"]).cast("int")
-    return ordering.sort_rows(counts.withColumn("rank", rank), "rank")
+    return _placed(t, "sort_category", ordering.sort_rows(counts.withColumn("rank", rank), "rank", "o_orderpriority"))
 
 
 @query("limit_head", "SELECT c_custkey, c_name FROM customer ORDER BY c_name LIMIT 6")
