@@ -276,8 +276,8 @@ view(
 )
 
 
-def asthma_levels(t: Tables) -> DataFrame:
-    """Asthma sums and rates of neighbourhoods, municipalities, counties and the metro, from addresses on."""
+def placed_patients(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Patients with the identity of their address, and where these addresses are."""
     wanted = F.col("registry_name").like("%click%")
     registry = earlier_asthma.registry_rows(t.px_config, t.px_membership, t.px_record, t.px_patient, wanted, people.AS_OF, _REGION)
     admitted = earlier_asthma.admission_rows(t.px_network, 1997, _CODES)
@@ -288,7 +288,7 @@ def asthma_levels(t: Tables) -> DataFrame:
         geocoded.select("ID", F.col("lon").alias("X"), F.col("lat").alias("Y")), t.px_edges_places, t.px_edges_tract, t.px_edges_bg,
         indicators.crosswalk(t), t.px_bg_hood, CITY, cell=0.1, keep=lambda df: session.keep(df, "municipalities"),
     )
-    return cohorts.earlier_area_totals(earlier_asthma.back_to_patients(patients, placed), t.px_e_children)
+    return patients, placed
 
 
 _ASTHMA = ["AsthmaRegistryRate", "AsthmaAdmissionRate"]
@@ -296,7 +296,48 @@ _ASTHMA = ["AsthmaRegistryRate", "AsthmaAdmissionRate"]
 
 @query("asthma_pipeline", f"SELECT {_E4}, Children, AsthmaRegistry, AsthmaAdmissions, {', '.join(f'round({c}, 6) AS {c}' for c in _ASTHMA)} FROM ox_a_levels")
 def _(t: Tables):
-    return r6(asthma_levels(t), *_ASTHMA).select(*earlier_asthma.AREA, "Children", "AsthmaRegistry", "AsthmaAdmissions", *_ASTHMA)
+    patients, placed = placed_patients(t)
+    levels = cohorts.earlier_area_totals(earlier_asthma.back_to_patients(patients, placed), t.px_e_children)
+    return r6(levels, *_ASTHMA).select(*earlier_asthma.AREA, "Children", "AsthmaRegistry", "AsthmaAdmissions", *_ASTHMA)
+
+
+_LEVELS = [*indicators._LM, *_ASTHMA]
+view(
+    "ox_ea",
+    f"""WITH l AS (SELECT {_E4}, r, a FROM ox_a_sums WHERE Neighborhood <> 'All' UNION ALL SELECT State, County, Municipality, 'All', sum(r), sum(a) FROM ox_a_sums GROUP BY 1, 2, 3
+      UNION ALL SELECT State, County, 'All', 'All', sum(r), sum(a) FROM ox_a_sums GROUP BY 1, 2 UNION ALL SELECT 'All', 'All', 'All', 'All', sum(r), sum(a) FROM ox_a_sums),
+    c AS (SELECT e.*, w.Children FROM ox_e_labelled e JOIN ox_e_wide w ON e.State = w.State AND e.County = w.County AND e.Municipality = coalesce(w.Municipality, 'All')
+      AND e.Neighborhood = coalesce(w.Neighborhood, 'All'))
+    SELECT c.*, coalesce(coalesce(r, 0) / nullif(Children, 0), 0) AS AsthmaRegistryRate, coalesce(coalesce(a, 0) / nullif(Children, 0), 0) AS AsthmaAdmissionRate
+    FROM l RIGHT JOIN c USING ({_E4})""",
+)
+view("ox_ea_long", " UNION ALL ".join(f"SELECT Level, County, Municipality, Neighborhood, '{m}' AS variable, {m} AS value FROM ox_ea" for m in _LEVELS))
+view(
+    "ox_ea_bench",
+    """SELECT Level, variable, Mean, Minimum, Maximum FROM (SELECT 'Municipality' AS Level, variable, value AS Mean FROM ox_ea_long WHERE County = 'All'
+      UNION ALL SELECT 'County', variable, value FROM ox_ea_long WHERE County = 'All' UNION ALL SELECT 'Neighborhood', variable, value FROM ox_ea_long WHERE Municipality = 'Nation_0' AND Neighborhood = 'All') m
+    JOIN (SELECT Level, variable, min(value) AS Minimum, max(value) AS Maximum FROM ox_ea_long GROUP BY 1, 2) e USING (Level, variable)""",
+)
+_SHARES = ", ".join(f"'{m}'" for m in benchmark.RAW_SCALE_RATES)
+
+
+# the level benchmarks of all measures, the asthma rates among them
+@query(
+    "bench_level_asthma",
+    f"""SELECT r.Level, r.County, r.Municipality, r.Neighborhood, r.variable, round(Mean, 5) AS Mean,
+    round(CASE WHEN r.variable IN ({_SHARES}) THEN value ELSE (value - Minimum) / nullif(Maximum - Minimum, 0) END, 5) AS Scale,
+    round(CASE WHEN value > Mean THEN (value - Mean) / nullif(Maximum - Mean, 0) WHEN value IS NULL OR Mean IS NULL THEN NULL ELSE (value - Mean) / nullif(Mean - Minimum, 0) END, 5) AS Shade
+    FROM ox_ea_long r JOIN ox_ea_bench b ON r.Level = b.Level AND r.variable = b.variable WHERE r.County <> 'All'""",
+)
+def _(t: Tables):
+    patients, placed = placed_patients(t)
+    census = t.kept("census", lambda: indicators.labelled(t).drop("Level", "Label"))
+    both = cohorts.earlier_area_totals(earlier_asthma.back_to_patients(patients, placed), census.select(*earlier_asthma.AREA, "Children", *indicators._LM))
+    rows = t.kept("levels_asthma", lambda: benchmark.level_and_label(both))
+    bench = benchmark.level_benchmarks(rows, _LEVELS, CITY.name, benchmark.PAIRING_METRO_LABELLED_COUNTY)
+    long = rows.where("County <> 'All'").select("Level", *AREA, *_LEVELS).unpivot(["Level", *AREA], _LEVELS, "variable", "value")
+    out = benchmark.compare_levels(long, bench)
+    return out.select("Level", *AREA, "variable", *[F.round(c, 5).alias(c) for c in ("Mean", "Scale", "Shade")])
 
 
 _PLACES = """SELECT c_name AS Name, CASE WHEN c_custkey % 2 = 0 THEN 'School' ELSE 'Pharmacy' END AS Type,
