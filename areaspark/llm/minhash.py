@@ -8,8 +8,8 @@ first occupied bin of its own fixed random order of bins, so two sets agree in a
 Candidates are star-shaped: the members of a bucket meet its smallest member only, so a bucket of n texts gives n - 1 pairs.
 The first bands go first; in the others only members that aren't connected with the centre yet meet it. Buckets that still hold
 several groups are then searched: every member outside the largest group is held against all others, in blocks of bounded
-size, by the bytes of the bins, and a pair goes on if these agree ``SLACK`` deviations below the limit at least. Every pair is confirmed on its full sets before
-it links: the text of a centre travels once for ``TOGETHER`` pairs.
+size, first by the bytes of the bins (which agree ``SLACK`` deviations below the limit at least), then by short hashes of the full sets. Every pair is confirmed on
+its full sets before it links: the text of a centre travels once for ``TOGETHER`` pairs.
 
 Cases: a text of fewer words than a shingle is one shingle; null, empty and wordless texts have an empty set and are linked with
 nothing, not even with each other; repeated rows share a component; a null id never becomes the id of a component unless all ids of it are
@@ -40,6 +40,8 @@ TOGETHER = 64
 BLOCK, CHUNK = 512, 2_048
 #: Standard deviations of the share of equal bins.
 SLACK = 4.5
+#: Per cent by which short hashes, which may collide inside a set, stay below the limit.
+SHORT = 1
 
 _RANDOM = np.random.default_rng(13)
 #: Row i: rank of every bin in the order in which an empty bin i looks for a donor.
@@ -127,9 +129,23 @@ def _stars(index: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     pairs = index.join(hub, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     if roots is None:
         return pairs
+    return _rooted(pairs, roots).where("root_a <> root_b").select("a", "b")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs with ``root_a`` and ``root_b``; a node without a root is its own."""
     for end in "ab":
         pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        pairs = pairs.withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs
+
+
+def _near_roots(found: DataFrame) -> DataFrame:
+    """``root`` of each linked node: the smallest node that it reaches over two of the links to smaller nodes; most stars are no deeper."""
+    up = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    once = keep_table(up, "up")
+    twice = once.join(once.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
+    return keep_table(twice.select("node", F.coalesce("further", "root").alias("root")), "roots")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -158,13 +174,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return keep_table(met.mapInArrow(task, "a binary, b binary"), "links")
 
 
-def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups of a bucket whose bins nearly agree; ``members`` has key, node and root, ``bins`` node and bins."""
+def _short_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node`` and its shingles as sorted hashes of 32 bits."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(t, words).astype("<u4")).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "short"])
+
+    return texts.select("node", "text").mapInArrow(task, "node binary, short binary")
+
+
+def _searched(members: DataFrame, bins: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of different groups of a bucket that nearly agree; ``members`` has key, node and root, ``bins`` node and bins."""
     share = percent / 100
     enough = int(BINS * (share - SLACK * (share * (1 - share) / BINS) ** 0.5))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] | np.ndarray = []
+        sets: list[np.ndarray] = []
         nodes: list[bytes] = []
         roots: list[bytes] = []
         at = None
@@ -172,9 +200,11 @@ def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
             a, b = [], []
             for row in batch.to_pylist():
                 if row["block"] != at:
-                    held, nodes, roots, at = [], [], [], row["block"]
+                    held, sets, nodes, roots, at = [], [], [], [], row["block"]
+                own = np.frombuffer(row["short"], "<u4")
                 if row["outside"]:  # come first of their block
                     held.append(np.frombuffer(row["bins"], np.uint8))
+                    sets.append(own)
                     nodes.append(row["node"])
                     roots.append(row["root"])
                     continue
@@ -183,7 +213,9 @@ def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
                 same = held == np.frombuffer(row["bins"], np.uint8)
                 for k in np.flatnonzero(same.sum(1) >= enough).tolist():
                     # a pair goes on from the first band that it shares, and once of its two orders
-                    if roots[k] != row["root"] and (not row["rest"] or nodes[k] < row["node"]) and same[k].reshape(BANDS, ROWS).all(1).argmax() == row["band"]:
+                    if roots[k] == row["root"] or row["rest"] and nodes[k] >= row["node"] or same[k].reshape(BANDS, ROWS).all(1).argmax() != row["band"]:
+                        continue
+                    if alike(sets[k], own, percent - SHORT):
                         a.append(nodes[k])
                         b.append(row["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -196,10 +228,11 @@ def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     )
     rows = keep_table(members.join(open_, "key"), "open")  # the bins of a node follow only where it is in an open bucket
     wanted = rows.select("node").distinct()
-    rows = rows.join(bins.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node").withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+    known = bins.join(wanted, "node", "left_semi").dropDuplicates(["node"]).join(_short_sets(texts.join(wanted, "node", "left_semi"), words), "node")
+    rows = rows.join(keep_table(known, "known"), "node").withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
-    kept = ["band", "node", "root", "bins"]
+    kept = ["band", "node", "root", "bins", "short"]
     outside = rows.where("root <> large").select("key", *kept, dealt("blocks").alias("x"), upto("chunks").alias("y"), F.lit(True).alias("outside"), F.lit(True).alias("rest"))
     every = rows.select("key", *kept, upto("blocks").alias("x"), dealt("chunks").alias("y"), F.lit(False).alias("outside"), (F.col("root") != F.col("large")).alias("rest"))
     both = outside.union(every).select(*kept, "outside", "rest", F.struct("key", "x", "y").alias("block"))
@@ -207,19 +240,22 @@ def _searched(members: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(task, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(signed: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a``, ``b`` that connect whatever is as similar as asked; a pair inside a group may be left out."""
+def components(signed: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``node`` and ``root``, the smallest node reachable, of every node that is linked."""
     index = _index(signed)
     met = index.select("node").distinct()
     texts = keep_table(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "texts")
     early = F.col("key").bitwiseAND(63) < EARLY
     found = _confirmed(_stars(index.where(early)), texts, words, percent)
-    roots = keep_table(graph.components(found), "roots")
-    found = found.union(_confirmed(_stars(index.where(~early), roots), texts, words, percent))
+    found = found.union(_confirmed(_stars(index.where(~early), _near_roots(found)), texts, words, percent))
     roots = keep_table(graph.components(found), "roots")
     members = index.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    searched = _searched(keep_table(members, "members"), signed.select("node", "bins"), percent)
-    return found.union(_confirmed(searched, texts, words, percent))
+    searched = _searched(keep_table(members, "members"), signed.select("node", "bins"), texts, words, percent)
+    more = keep_table(_rooted(_confirmed(searched, texts, words, percent), roots), "more")
+    # groups that the search has joined, as links between their roots
+    higher = keep_table(graph.components(more, "root_a", "root_b"), "higher")
+    ends = roots.select("node", "root").union(more.select("a", "root_a")).union(more.select("b", "root_b")).distinct()
+    return ends.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def groups(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -229,7 +265,7 @@ def groups(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = W
     rows = df.select(df[id].alias("id"), df[text].alias("text"), node.alias("node"))
     signed = keep_table(_signed(rows, words), "signed")
     nodes = signed.groupBy("node").agg(F.min("id").alias("least"))
-    roots = keep_table(graph.components(links(signed, rows.select("node", "text"), words, percent)), "roots")
+    roots = keep_table(components(signed, rows.select("node", "text"), words, percent), "roots")
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min("least").alias("component"))
     of_node = placed.join(first, "root").select("node", "component")
