@@ -7,9 +7,11 @@ The join works on grids. Each polygon lists the grid cells it meets, on the fine
 the grids (each twice as coarse as the one before) on which it is at most ``SPAN``
 cells wide and high; a cell that no edge of the polygon passes through is wholly
 inside (kept without edges) or wholly outside (dropped). A point meets only the
-polygons of its own cell, and only the edges in its grid row and not left of its cell
-are tested, so neither the cells nor the work per point grow with the size of a
-polygon. Boundary points belong to every polygon they touch.
+polygons of its own cell, and only the edges that pass through it: the path from the point to the right side of
+its cell and down that side to the corner, of which the cell knows whether it is inside, crosses no other edge.
+So an edge is copied once per cell it passes, and neither the cells nor the work per point grow with the size of a
+polygon. Grid lines run beside round coordinates; a cell whose corner still comes too near an edge keeps
+all edges right of it instead. Boundary points belong to every polygon they touch.
 """
 
 from __future__ import annotations
@@ -24,10 +26,19 @@ from areaspark.operators import joins
 EDGE = ["x1", "y1", "x2", "y2"]
 # cells that a polygon is wide or high, at most about
 SPAN = 64
+# grid lines lie this share of a cell beside multiples of its size
+ASIDE = 0.3183098861837907
+# share of a cell's size that an edge keeps from a corner that is asked about
+NEAR = 1e-7
 
 
 def _cell(v: Column, size: Column | float) -> Column:
-    return F.floor(v / (size if isinstance(size, Column) else F.lit(size))).cast("long")
+    return F.floor(v / (size if isinstance(size, Column) else F.lit(size)) - ASIDE).cast("long")
+
+
+def _line(number: Column, size: Column) -> Column:
+    """Coordinate at which a cell begins."""
+    return (number + ASIDE) * size
 
 
 def _size(level: Column, cell: float) -> Column:
@@ -59,10 +70,34 @@ def _on_edge(e: Column, x: Column, y: Column) -> Column:
     )
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Point inside or on the boundary, from the edges of the point's grid row."""
-    crossings = F.size(F.filter(edges, lambda e: _crosses(e, x, y)))
-    return (crossings % 2 == 1) | F.exists(edges, lambda e: _on_edge(e, x, y))
+def _side(e: Column, x: Column, y: Column) -> Column:
+    """Positive on one side of an edge's line, negative on the other."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+
+
+def _right_of(e: Column, x: Column, y: Column) -> Column:
+    """Does the edge's line run right of the point, or above it if it is level?"""
+    side = _side(e, x, y)
+    return F.when(e["y2"] > e["y1"], side > 0).when(e["y2"] < e["y1"], side < 0).otherwise(e["y1"] > y)
+
+
+def covers(edges: Column, x: Column, y: Column, right: Column, low: Column, corner: Column) -> Column:
+    """Point inside or on the boundary.
+
+    ``edges`` are those of the point's cell, ``right`` the coordinate of its right side, ``low`` that of its lower one, ``corner`` whether
+    the corner of the two is inside. Without ``corner``, ``edges`` are all those of the grid row not left of the cell.
+    """
+    ray = F.size(F.filter(edges, lambda e: _crosses(e, x, y)))
+
+    def turned(e: Column) -> Column:
+        # on the way to the right side, and down that side
+        ahead = ((e["y1"] > y) != (e["y2"] > y)) & _crosses(e, x, y) & ~_right_of(e, right, y)
+        beside = ((e["x1"] > right) != (e["x2"] > right)) & (_right_of(e, right, y) != _right_of(e, right, low))
+        return ahead != beside
+
+    path = F.size(F.filter(edges, turned))
+    inside = F.when(corner.isNull(), ray % 2 == 1).otherwise((path % 2 == 1) != corner)
+    return inside | F.exists(edges, lambda e: _on_edge(e, x, y))
 
 
 def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
@@ -73,14 +108,18 @@ def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFra
     """
     leveled = joins.null_safe_join(edges.select(*keys, *EDGE), polygon_levels(edges, keys, cell), list(keys))
     size = _size(F.col("level"), cell)
-    low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = leveled.select(
-        *keys,
-        "level",
-        F.struct(*EDGE).alias("e"),
-        _cell(F.least("x1", "x2"), size).alias("lx"),
-        _cell(F.greatest("x1", "x2"), size).alias("hx"),
-        F.explode(F.sequence(_cell(low_y, size), _cell(high_y, size))).alias("cy"),
+    crossed = leveled.select(
+        *keys, "level", *EDGE, F.explode(F.sequence(_cell(F.least("y1", "y2"), size), _cell(F.greatest("y1", "y2"), size))).alias("cy")
+    )
+    # the part of an edge in a grid row, and a little more
+    run, rise = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    share = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y1"), rise)))
+    from_ = F.when(rise == 0, F.lit(0.0)).otherwise(share(_line(F.col("cy"), size) - NEAR * size))
+    to = F.when(rise == 0, F.lit(1.0)).otherwise(share(_line(F.col("cy") + 1, size) + NEAR * size))
+    ax, bx = F.col("x1") + from_ * run, F.col("x1") + to * run
+    rows = crossed.select(
+        *keys, "level", F.struct(*EDGE).alias("e"), "cy",
+        _cell(F.least(ax, bx) - NEAR * size, size).alias("lx"), _cell(F.greatest(ax, bx) + NEAR * size, size).alias("hx"),
     )
     bands = rows.groupBy(*keys, "level", "cy").agg(
         F.collect_list(
@@ -92,15 +131,29 @@ def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFra
     cells = bands.select(
         *keys, "level", "cy", "edges", F.explode(F.sequence("from_x", "to_x")).alias("cx")
     )
+    right, low = _line(F.col("cx") + 1, size), _line(F.col("cy"), size)
+    spans = lambda e: (e["y1"] > low) != (e["y2"] > low)
+    own = F.filter("edges", lambda e: (e["lx"] <= F.col("cx")) & (F.col("cx") <= e["hx"]))
+    corner = F.size(F.filter("edges", lambda e: spans(e) & _right_of(e, right, low))) % 2 == 1
+    # an edge of this cell or its neighbour so near the cell's corner that rounding could put it on either side, or ending on a grid line
+    reach = lambda e: F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])
+    here = lambda e: (e["lx"] <= F.col("cx") + 1) & (F.col("cx") <= e["hx"])
+    at_line = lambda e: (F.abs(e["x1"] - right) <= NEAR * size) | (F.abs(e["x2"] - right) <= NEAR * size)
+    level_line = lambda e: (F.abs(e["y1"] - low) <= NEAR * size) | (F.abs(e["y2"] - low) <= NEAR * size)
+    unsure = F.exists("edges", lambda e: level_line(e) | (here(e) & ((F.abs(_side(e, right, low)) <= NEAR * size * reach(e)) | at_line(e))))
+    cells = cells.withColumns({"own": own, "corner": corner, "unsure": unsure})
+    passed = F.size("own") > 0
+    # a cell without edges is inside where its corner is, or where its middle is
+    middle_x, middle_y = right - 0.5 * size, low + 0.5 * size
+    inside = F.when(F.col("unsure"), F.size(F.filter("edges", lambda e: (e["hx"] >= F.col("cx")) & _crosses(e, middle_x, middle_y))) % 2 == 1).otherwise(F.col("corner"))
     # edges left of a cell neither hold its points nor meet the rays that leave them to the right
-    cells = cells.withColumn("edges", F.filter("edges", lambda e: e["hx"] >= F.col("cx")))
-    passed = F.exists("edges", lambda e: (e["lx"] <= F.col("cx")) & (F.col("cx") <= e["hx"]))
-    middle_x, middle_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    inside = F.size(F.filter("edges", lambda e: _crosses(e, middle_x, middle_y))) % 2 == 1
+    tested = F.when(F.col("unsure"), F.filter("edges", lambda e: e["hx"] >= F.col("cx"))).otherwise(F.col("own"))
     return (
-        cells.withColumn("passed", passed)
-        .where(F.col("passed") | inside)
-        .select(*keys, "level", "cx", "cy", F.when(F.col("passed"), F.col("edges")).alias("edges"))
+        cells.where(passed | inside)
+        .select(
+            *keys, "level", "cx", "cy", F.when(passed, tested).alias("edges"),
+            F.when(passed & ~F.col("unsure"), F.col("corner")).alias("corner"), right.alias("right"), low.alias("low"),
+        )
     )
 
 
@@ -144,7 +197,7 @@ def points_in_polygons(
         (F.col("__level") == F.col("level"))
         & (F.col("__cx") == F.col("cx"))
         & (F.col("__cy") == F.col("cy"))
-        & (F.col("edges").isNull() | covers(F.col("edges"), F.col(x), F.col(y)))
+        & (F.col("edges").isNull() | covers(F.col("edges"), F.col(x), F.col(y), F.col("right"), F.col("low"), F.col("corner")))
     )
     if within:
         own = F.to_json(F.struct(*[F.col(c).alias(p) for p, c in zip(parents, within)]), {"ignoreNullFields": "false"})

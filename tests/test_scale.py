@@ -1,5 +1,6 @@
 """Skew, spatial brute force and plan shape."""
 
+import math
 import random
 import re
 
@@ -124,6 +125,33 @@ def test_cells_do_not_grow_with_a_polygon(spark):
     assert got == [(1, "a"), (2, None), (3, "a"), (4, "a"), (5, None)]
 
 
+def test_copies_of_a_round_polygon(spark):
+    """A circle with 20,000 corners: an edge is copied once per cell it passes; points against the true circle."""
+    n = 20_000
+    ring = [(5 + 3 * math.cos(2 * math.pi * k / n), 5 + 3 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    edges = spark.createDataFrame([("o", *p, *q) for p, q in zip(ring, ring[1:] + ring[:1])], "area string, x1 double, y1 double, x2 double, y2 double")
+    cells = spatial.polygon_cells(edges, ["area"], 0.01)
+    copies = cells.agg(F.sum(F.when(F.col("edges").isNotNull(), F.size("edges")))).first()[0]
+    assert copies < 30_000
+    rnd = random.Random(3)
+    pts = [(k, rnd.uniform(1.5, 8.5), rnd.uniform(1.5, 8.5)) for k in range(3_000)]
+    got = {r["ID"] for r in spatial.points_in_polygons(spark.createDataFrame(pts, "ID int, X double, Y double"), edges, ["area"], cell=0.01).collect()}
+    assert got == {k for k, x, y in pts if math.hypot(x - 5, y - 5) < 3}
+
+
+@pytest.mark.parametrize("aside", [spatial.ASIDE, 0.0])
+def test_grid_lines_through_corners(spark, monkeypatch, aside):
+    """Polygons and points on the grid itself, also with grid lines on round coordinates."""
+    monkeypatch.setattr(spatial, "ASIDE", aside)
+    rings = {"a": [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)], "b": [(0, 0), (0, 3), (3, 3), (3, 0), (2, 0), (2, 2), (1, 2), (1, 0)], "c": [(-1, 0), (1, 2), (3, 0), (1, -2)]}
+    rows_ = [(k, *map(float, p), *map(float, q)) for k, ring in rings.items() for r in (ring,) for p, q in zip(r, r[1:] + r[:1])]
+    edges = spark.createDataFrame(rows_, "area string, x1 double, y1 double, x2 double, y2 double")
+    pts = [(31 * i + j, -2 + i / 5, -3 + j / 5) for i in range(31) for j in range(31)]
+    want = sorted((a, k) for k, x, y in pts for a, ring in rings.items() if _inside(ring, x, y))
+    got = spatial.points_in_polygons(spark.createDataFrame(pts, "ID int, X double, Y double"), edges, ["area"], cell=0.5)
+    assert sorted((r["area"], r["ID"]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("cell", [0.02, 0.3, 1.0, 7.0])
 def test_points_in_polygons_against_brute_force(spark, cell):
     rnd = random.Random(5)
