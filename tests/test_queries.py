@@ -10,6 +10,11 @@ from areaspark.queries import load
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = load.oracle_sql()
+#: Queries without a row on the smallest tables, where no index or border is left; on larger ones all have rows.
+EMPTY = {
+    "area_dimension", "area_dimension_sphere", "bench_enclave_copy", "bench_level_asthma", "bench_minmax_scale", "dataset_final",
+    "deprivation_city", "deprivation_place", "spatial_crosswalk_fallback", "tier_bucket",
+} if FOLDER.endswith("sf0.001") else set()
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +26,7 @@ def con():
 def test_query(spark, con, key):
     df = load.queries()[key](spark, FOLDER)
     problems = compare.differences(df, con, SQL[key])
-    # a query may be empty on the smallest tables; it must still agree
-    assert [p for p in problems if p != "no rows at all"] == []
+    assert problems == (["no rows at all"] if key in EMPTY else [])
 
 
 def test_entry(spark):
