@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from areaspark import session
 from areaspark.llm import ann, chat, graph, simhash, suffix_dedup
 
 # Suffix dedup
@@ -290,12 +292,15 @@ def test_stages_on_odd_rows(spark, table, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
-def test_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("areaspark.session.tempfile.mkdtemp", lambda prefix: str(tmp_path))
+def test_run_leaves_its_result_only(spark, monkeypatch):
+    made, real = [], session.work_folder
+    spy = lambda spark, name: made.append(real(spark, name)) or made[-1]
+    monkeypatch.setattr(session, "work_folder", spy)
+    monkeypatch.setattr(corpus_pipeline, "work_folder", spy)
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    left = [os.path.basename(p).split("-")[0] for p in made if os.path.isdir(p)]
     rows = found.select("n_tokens", F.octet_length("ids").alias("bytes"), "ids_sha256", F.sha2("ids", 256).alias("again")).collect()
-    assert left == ["encoding"]
+    assert len(made) > 10 and left == ["encoding"]
     assert rows and all(r["bytes"] == 4 * r["n_tokens"] and r["ids_sha256"] == r["again"] for r in rows)
 
 
