@@ -100,13 +100,16 @@ def covers(edges: Column, x: Column, y: Column, right: Column, low: Column, corn
     return inside | F.exists(edges, lambda e: _on_edge(e, x, y))
 
 
-def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+def polygon_cells(edges: DataFrame, keys: Sequence[str], cell: float, levels: DataFrame | None = None) -> DataFrame:
     """Grid cells of each polygon, with the edges to test (NULL: wholly inside).
 
+    ``levels`` are those of :func:`polygon_levels`, where they are known already.
+
     One polygon's edges within one grid row form one array; a polygon is a single
     geometry value, so this is bounded by its number of corners.
     """
-    leveled = joins.null_safe_join(edges.select(*keys, *EDGE), polygon_levels(edges, keys, cell), list(keys))
+    levels = polygon_levels(edges, keys, cell) if levels is None else levels
+    leveled = joins.null_safe_join(edges.select(*keys, *EDGE), levels, list(keys))
     size = _size(F.col("level"), cell)
     crossed = leveled.select(
         *keys, "level", *EDGE, F.explode(F.sequence(_cell(F.least("y1", "y2"), size), _cell(F.greatest("y1", "y2"), size))).alias("cy")
@@ -166,29 +169,30 @@ def points_in_polygons(
     cell: float = 0.25,
     how: str = "inner",
     within: Sequence[str] = (),
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Attach the keys of every polygon that holds the point.
 
     ``how="left"`` keeps unmatched points with NULL keys. A crowded cell is split
     by adaptive execution when the polygons are too many to broadcast. ``within`` names columns of both sides, the parent of a
     polygon and the parent already found for a point: only children of that parent meet the point, whatever else its cell holds.
+    The polygons' levels are read twice, as are the matches with ``how="left"`` over several levels; ``keep`` may write both once.
     """
+    parents = [f"__in_{c}" for c in within]
     if within:
-        parents = [f"__in_{c}" for c in within]
         edges = edges.withColumns({p: F.col(c) for p, c in zip(parents, within)})
-        # a null parent is a parent like any other
-        cells = polygon_cells(edges, [*keys, *parents], cell).withColumn("__parent", F.to_json(F.struct(*parents), {"ignoreNullFields": "false"})).drop(*parents)
-    else:
-        parents = []
-        cells = polygon_cells(edges, keys, cell)
+    known = keep(polygon_levels(edges, [*keys, *parents], cell))
     # the grids in use: as many as the sizes of the polygons have powers of two, at most
-    levels = sorted(r["level"] for r in polygon_levels(edges, [*keys, *parents], cell).select("level").distinct().collect()) or [0]
+    levels = sorted(r["level"] for r in known.select("level").distinct().collect()) or [0]
     if how == "left" and len(levels) > 1:
-        matched = points_in_polygons(points, edges, keys, x, y, cell, within=within)
+        matched = keep(points_in_polygons(points, edges, keys, x, y, cell, within=within, keep=keep))
         rest = joins.null_safe_join(points, matched.select(x, y, *within).distinct(), [x, y, *within], "left_anti")
         kinds = {f.name: f.dataType for f in matched.schema.fields}
         missing = [F.lit(None).cast(kinds[c]).alias(c) if c in keys else F.col(c) for c in matched.columns]
         return matched.unionByName(rest.select(*missing))
+    cells = polygon_cells(edges, [*keys, *parents], cell, known)
+    if within:  # a null parent is a parent like any other
+        cells = cells.withColumn("__parent", F.to_json(F.struct(*parents), {"ignoreNullFields": "false"})).drop(*parents)
     size = _size(F.col("__level"), cell)
     level = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels)))
     keyed = points.withColumn("__level", level).withColumns({"__cx": _cell(F.col(x), size), "__cy": _cell(F.col(y), size)})
@@ -221,7 +225,7 @@ def polygons_with_points(
 
     The matches are read twice; ``keep`` may write them once.
     """
-    matched = keep(points_in_polygons(points, edges, keys, x, y, cell))
+    matched = keep(points_in_polygons(points, edges, keys, x, y, cell, keep=keep))
     empty = joins.null_safe_join(
         edges.select(*keys).distinct(), matched.select(*keys).distinct(), list(keys), "left_anti"
     )

@@ -43,11 +43,11 @@ def two_stage(
     distinct = points.select("X", "Y").where("X is not null and Y is not null").distinct()
     placed = keep(
         unambiguous(
-            spatial.points_in_polygons(distinct, municipality_edges, ["County", "Municipality"], cell=cell), ["X", "Y"]
+            spatial.points_in_polygons(distinct, municipality_edges, ["County", "Municipality"], cell=cell, keep=keep), ["X", "Y"]
         )
     )
     inside = placed.where(F.col("Municipality") == city.name)
-    hoods = spatial.points_in_polygons(inside, neighbourhood_edges, ["Neighborhood"], cell=cell)
+    hoods = spatial.points_in_polygons(inside, neighbourhood_edges, ["Neighborhood"], cell=cell, keep=keep)
     outside = placed.where(F.col("Municipality") != city.name).withColumn("Neighborhood", F.col("Municipality"))
     return outside.unionByName(hoods)
 
