@@ -105,6 +105,17 @@ def before_any(col: Column | str, delimiters: Sequence[str]) -> Column:
     return out
 
 
+def listed_or_starts(col: Column | str, listed: Sequence[str], prefixes: Sequence[str], trait: str | None = None) -> Column:
+    """Is the value listed, or does it start with one of the prefixes and is not ``trait``?
+
+    One expression reads the value once: written as many comparisons, a value that is itself a long expression would be
+    worked out once for each of them.
+    """
+    either = "|".join([f"(?:{literal_pattern(v)})\\z" for v in listed] + [literal_pattern(p) for p in prefixes])
+    other = "" if trait is None else f"(?!{literal_pattern(trait)}\\z)"
+    return _c(col).rlike(f"\\A{other}(?:{either})")
+
+
 def recode(col: Column | str, mapping: Mapping[str, str], default: Column | None = None) -> Column:
     """Value lookup in a small fixed mapping; unmatched rows take ``default``."""
     c = _c(col)

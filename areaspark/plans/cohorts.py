@@ -50,7 +50,7 @@ def with_geocode(df: DataFrame, cache: DataFrame) -> DataFrame:
     return joins.null_safe_join(df, cache, ADDRESS)
 
 
-def registry_cohort(
+def registry_rows(
     config: DataFrame,
     membership: DataFrame,
     record: DataFrame,
@@ -63,7 +63,7 @@ def registry_cohort(
     divisor: float = dates.DAYS_PER_YEAR,
     flags: Sequence[str] = tuple(UNUSABLE_FLAGS),
 ) -> DataFrame:
-    """Active members of the wanted registries at a usable address, up to an age."""
+    """Active members of the wanted registries at a usable address, up to an age; equal rows stay."""
     wanted = config.where(registries).select("registry_id", "registry_name")
     active = membership.where("status_c = 1").select("registry_id", "record_id").distinct()
     # reduce to one row per registry and patient before any patient data is moved
@@ -80,10 +80,15 @@ def registry_cohort(
         age = dates.age_years("birth_date", as_of, divisor)
         people = people.where(age <= max_age if inclusive else age < max_age)
     usable = cache.where(usable_address(flags) & F.col("state").isin(STATES)).select(*ADDRESS, "X", "Y")
-    return joins.null_safe_join(enrolled, with_geocode(people, usable), ["pat_id"]).distinct()
+    return joins.null_safe_join(enrolled, with_geocode(people, usable), ["pat_id"])
 
 
-def admission_cohort(
+def registry_cohort(*args, **kwargs) -> DataFrame:
+    """The rows of :func:`registry_rows`, each once."""
+    return registry_rows(*args, **kwargs).distinct()
+
+
+def admission_rows(
     encounter: DataFrame,
     history: DataFrame,
     cache: DataFrame,
@@ -91,9 +96,10 @@ def admission_cohort(
     last: str,
     flags: Sequence[str] = tuple(UNUSABLE_FLAGS),
 ) -> DataFrame:
-    """Encounters of a time window with the address valid at admission.
+    """Encounters of a time window with the address valid at admission; equal rows stay.
 
-    ``history`` names its address parts as the cache does.
+    ``history`` names its address parts as the cache does. Whoever needs few columns takes them before rows are made
+    unique, so that the address doesn't travel with every encounter.
     """
     # locate the addresses first: fewer rows than encounters, and unusable ones drop early
     usable = cache.where(usable_address(flags)).select(*ADDRESS, "X", "Y")
@@ -103,15 +109,17 @@ def admission_cohort(
     )
     return joined.withColumn("contact_date", F.col("hosp_admsn_time").cast("date")).drop(
         "hosp_admsn_time", "eff_start_date", "eff_end_date"
-    ).distinct()
+    )
+
+
+def admission_cohort(*args, **kwargs) -> DataFrame:
+    """The rows of :func:`admission_rows`, each once."""
+    return admission_rows(*args, **kwargs).distinct()
 
 
 def exception_encounters(account_dx: DataFrame, dx_code: DataFrame, account_encounter: DataFrame) -> DataFrame:
     """Encounters whose account carries a diagnosis that rules the asthma flag out."""
-    code = F.col("code")
-    excluded = code.isin(EXCEPTION_CODES) | (code.startswith(SICKLE_CELL_PREFIX) & (code != SICKLE_CELL_TRAIT))
-    for p in EXCEPTION_PREFIXES:
-        excluded = excluded | code.startswith(p)
+    excluded = text.listed_or_starts("code", EXCEPTION_CODES, [SICKLE_CELL_PREFIX, *EXCEPTION_PREFIXES], SICKLE_CELL_TRAIT)
     ids = dx_code.where(excluded).select("dx_id").distinct()
     accounts = joins.null_safe_join(account_dx.select("hsp_account_id", "dx_id"), ids, ["dx_id"], "left_semi").select(
         "hsp_account_id"
@@ -147,6 +155,11 @@ def mental_known() -> Column:
     return F.coalesce("MH", F.lit(0))
 
 
+def known_points(cache: DataFrame, located: DataFrame) -> DataFrame:
+    """Cached addresses at located points: no other row can be placed later, so the others need not be joined."""
+    return joins.null_safe_join(cache.where("X is not null and Y is not null"), located.select("X", "Y"), ["X", "Y"], "left_semi")
+
+
 def at_located_points(rows: DataFrame, located: DataFrame) -> DataFrame:
     """Bring the areas of located points back to the rows with the same X and Y.
 

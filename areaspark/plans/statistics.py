@@ -8,6 +8,7 @@ the survey's own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,10 +19,13 @@ KEYS = ["geography", "GEOID", "variable"]
 MERGED = {"n": F.sum, "known": F.sum, "positive": F.sum, "rest": F.sum, "top": F.max}
 
 
-def collect(survey: DataFrame) -> DataFrame:
-    """Per geography, area and variable: rows ``n``, ``known`` estimates, sum of the ``positive`` ones and of the ``rest``, largest one (``top``)."""
+def collect(survey: DataFrame, keys: Sequence[str] = tuple(KEYS)) -> DataFrame:
+    """Per geography, area and variable: rows ``n``, ``known`` estimates, sum of the ``positive`` ones and of the ``rest``, largest one (``top``).
+
+    Other ``keys`` collect by source area first, for :func:`regroup`.
+    """
     value = F.col("estimate")
-    return survey.groupBy(*KEYS).agg(
+    return survey.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count(value).alias("known"),
         F.sum(F.when(value > 0, value)).alias("positive"), F.sum(F.when(value <= 0, value)).alias("rest"), F.max(value).alias("top"),
     )
@@ -29,8 +33,12 @@ def collect(survey: DataFrame) -> DataFrame:
 
 def merge(*parts: DataFrame) -> DataFrame:
     """Statistics of several parts of a survey as those of the whole."""
-    both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy(*KEYS).agg(*[how(c).alias(c) for c, how in MERGED.items()])
+    return regroup(reduce(DataFrame.unionByName, parts))
+
+
+def regroup(statistics: DataFrame) -> DataFrame:
+    """Statistics of source areas, each listed for every area it counts in, as those of the areas."""
+    return statistics.groupBy(*KEYS).agg(*[how(c).alias(c) for c, how in MERGED.items()])
 
 
 def rows(statistics: DataFrame, geography: str) -> DataFrame:

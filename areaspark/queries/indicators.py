@@ -78,14 +78,24 @@ def kept_hub(t: Tables) -> DataFrame:
     return t.kept("hub", lambda: hub(t))
 
 
-# Spark only: every survey row for the four geographies it counts in, read once
-_ONCE = f"""SELECT variable, inline(array(
-    named_struct('geography', 'block group', 'GEOID', {shapes.bg_geoid('l_suppkey')}, 'estimate', CAST(estimate AS DOUBLE)),
-    named_struct('geography', 'tract', 'GEOID', {shapes.tract_geoid('l_suppkey')}, 'estimate', CAST(estimate AS DOUBLE)),
-    named_struct('geography', 'place', 'GEOID', CAST(l_suppkey % 25 AS STRING) || '-' || CAST(part AS STRING), 'estimate', CAST(estimate AS DOUBLE)),
-    named_struct('geography', 'county', 'GEOID', CAST(l_suppkey % 5 AS STRING), 'estimate', CAST(county AS DOUBLE))
-  )) FROM (SELECT l_suppkey, v.variable, {shapes.ESTIMATE} AS estimate, {shapes.PART} AS part,
-    CASE WHEN v.variable = 'B25002_003' THEN l_quantity ELSE {shapes.ESTIMATE} END AS county {shapes.ROWS})"""
+# Spark only: survey rows of a source area, read once, under numbers instead of names; the one variable that counties count by another rule
+# has a row for them (1) and one for the other geographies (2)
+_ONCE = f"""SELECT source, idx, inline(CASE WHEN variable = 'B25002_003'
+    THEN array(named_struct('rule', 1, 'estimate', CAST(l_quantity AS DOUBLE)), named_struct('rule', 2, 'estimate', estimate))
+    ELSE array(named_struct('rule', 0, 'estimate', estimate)) END)
+    FROM (SELECT l_suppkey AS source, l_quantity, v.idx, v.variable, CAST({shapes.ESTIMATE} AS DOUBLE) AS estimate {shapes.ROWS})"""
+_LEVELS = {
+    "block group": shapes.bg_geoid("source"), "tract": shapes.tract_geoid("source"),
+    "place": f"CAST(source % 25 AS STRING) || '-' || CAST({shapes.PART.replace('l_suppkey', 'source')} AS STRING)", "county": "CAST(source % 5 AS STRING)",
+}
+
+
+def _listed(*geographies: str) -> str:
+    return "array(" + ", ".join(f"named_struct('geography', '{g}', 'GEOID', {_LEVELS[g]})" for g in geographies) + ")"
+
+
+# the areas of four geographies that a source area counts in
+_COUNTS_IN = f"inline(CASE rule WHEN 1 THEN {_listed('county')} WHEN 2 THEN {_listed('block group', 'tract', 'place')} ELSE {_listed(*_LEVELS)} END)"
 _NAMED = f"""SELECT 'place' AS geography, CAST(nk AS STRING) || '-' || CAST(part AS STRING) AS GEOID, GEOID AS place, NAME FROM px_muni_names
     UNION ALL SELECT 'county', CAST(r_regionkey AS STRING), CAST(NULL AS STRING), replace(r_name, ' ', '-') || ' County, ' || {shapes.state_name('r_regionkey')} FROM region"""
 
@@ -94,7 +104,11 @@ def read_once(t: Tables) -> Tables:
     """The survey tables of a query that needs several of them, from one aggregation over one scan."""
 
     def make() -> DataFrame:
-        found = joins.null_safe_join(statistics.collect(t.sql(_ONCE)), t.sql(_NAMED), ["geography", "GEOID"], "left")
+        # sum per source area before a row counts in four areas
+        sources = statistics.collect(t.sql(_ONCE), ["source", "idx", "rule"])
+        named = joins.null_safe_join(sources, t.px_vars, ["idx"])
+        areas = statistics.regroup(named.selectExpr("variable", *statistics.MERGED, _COUNTS_IN))
+        found = joins.null_safe_join(areas, t.sql(_NAMED), ["geography", "GEOID"], "left")
         named = found.where(F.col("geography").isin("block group", "tract") | F.col("NAME").isNotNull())
         return named.withColumn("GEOID", F.coalesce("place", "GEOID")).drop("place")
 
