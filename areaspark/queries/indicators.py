@@ -65,12 +65,14 @@ view(
 )
 
 
-def hub(t: Tables) -> DataFrame:
-    return survey.hub(
-        survey.city_long(t.px_bg_rows, t.px_alloc, CITY, MERGES),
-        survey.municipality_long(t.px_muni_rows, OVERRIDES),
-        catalog.dictionary(t.spark),
-    )
+def hub(t: Tables, of: Column | None = None) -> DataFrame:
+    """``of``: a condition on label levels; other variables are left out before they are summed."""
+    words = catalog.dictionary(t.spark)
+    bg, muni = t.px_bg_rows, t.px_muni_rows
+    if of is not None:
+        named = catalog.with_levels(words).where(of).select("variable")
+        bg, muni = (joins.null_safe_join(rows, named, ["variable"], "left_semi") for rows in (bg, muni))
+    return survey.hub(survey.city_long(bg, t.px_alloc, CITY, MERGES), survey.municipality_long(muni, OVERRIDES), words)
 
 
 def kept_hub(t: Tables) -> DataFrame:
@@ -299,7 +301,7 @@ view("ox_children", f"SELECT {KEYS}, {strict('estimate')} AS Children FROM ox_hu
 
 @query("children_count", f"SELECT {KEYS}, {_r('Children')} FROM ox_children")
 def _(t: Tables):
-    return r6(themes.children(hub(t)), "Children")
+    return r6(themes.children(hub(t, catalog.child_kind().isNotNull())), "Children")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from areaspark import session
 from areaspark.functions import text
-from areaspark.plans import cohorts, statistics
+from areaspark.plans import catalog, cohorts, statistics, survey, themes
 from areaspark.queries import indicators, people
 from areaspark.queries.registry import Tables
 
@@ -27,6 +27,22 @@ def test_survey_rows_are_summed_before_they_count_in_four_geographies(spark, mon
     assert any("Aggregate [source" in line for line in plan[fanned + 1 :])
 
 
+def test_children_sum_their_own_variables_only(spark, monkeypatch):
+    monkeypatch.setattr(session, "keep", lambda df, name: df)
+    seen = []
+    for name in ("city_long", "municipality_long"):
+        monkeypatch.setattr(survey, name, lambda df, *args, f=getattr(survey, name): seen.append(df) or f(df, *args))
+    t = Tables(spark, FOLDER)
+    found = people.children(t)
+    levels = catalog.with_levels(catalog.dictionary(spark))
+    wanted = {r["variable"] for r in levels.where(F.col("Group3").isin(catalog.CHILD_BANDS)).collect()}
+    assert len(seen) == 2
+    for df in seen:
+        assert {r["variable"] for r in df.select("variable").distinct().collect()} == wanted
+    whole = themes.children(indicators.hub(t))
+    assert rows(indicators.r6(found, "Children")) == rows(indicators.r6(whole, "Children"))
+
+
 def test_statistics_of_sources_regrouped_are_those_of_the_areas(spark):
     cells = [(i % 7, f"v{i % 3}", None if i % 11 == 0 else float(i % 5 - 2)) for i in range(200)]
     df = spark.createDataFrame(cells, "source int, variable string, estimate double")
