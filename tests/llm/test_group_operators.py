@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from areaspark import session
-from areaspark.llm import ann, chat, graph, simhash, suffix_dedup
+from areaspark.llm import ann, chat, graph, queries, simhash, suffix_dedup
 
 # Suffix dedup
 
@@ -78,6 +78,28 @@ def test_no_texts_to_dedup(table):
     assert suffix_dedup.spans(df.limit(0)).count() == 0
 
 
+def test_query_of_planted_passages(spark, table, tmp_path):
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghé", k=rng.randint(2, 9))) for _ in range(n))
+    texts, passages = [say(rng.randint(20, 250)) for _ in range(80)], [say(rng.randint(51, 90)) for _ in range(20)]
+    for i, passage in enumerate(passages * 2):
+        texts[i] += " " + passage + " " + say(rng.randint(0, 9))
+    texts += [None, "", say(4), texts[0], texts[70]]
+    table(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:5] for r in queries.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, (text, (spans, kept)) in enumerate(zip(texts, plain_spans(texts, 400))):
+        n = len((text or "").encode())
+        want[i] = (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+    assert got == want
+    # passages of 400 bytes with their two spaces go from both documents; shorter ones stay, and documents without one lose nothing
+    reach = [len(p.encode()) + 2 >= 400 for p in passages]
+    assert set(reach[1:]) == {True, False}
+    for i in range(1, 20):
+        assert {got[k][1] > 0 for k in (i, i + 20)} == {reach[i]}
+    assert not any(got[k][1] for k in range(40, 80) if k != 70)
+
+
 # SimHash
 
 
