@@ -100,6 +100,26 @@ def test_query_of_planted_passages(spark, table, tmp_path):
     assert not any(got[k][1] for k in range(40, 80) if k != 70)
 
 
+def test_query_returns_what_is_left(spark, table, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    passage = say(500)
+    texts = [say(90) + passage + say(30), say(40) + passage, passage + say(700), say(600), "x" * 900, say(20) + passage, say(20), None, ""]
+    # é and ũ share their second byte, é and è their first: the repeats take half of each
+    texts += [say(50) + "é" + passage[::-1] + "n", say(50) + "ũ" + passage[::-1], say(350)]
+    texts += ["n" + passage[100:] + passage[:50] + "é", "m" + passage[100:] + passage[:50] + "è"]
+    texts += [texts[3], texts[6], say(20) + "\ufffd"]
+    table(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    kept = [k for _, k in plain_spans(texts, 400)]
+    assert [rows[i]["text"] for i in range(len(texts))] == [k.decode(errors="replace") for k in kept]
+    assert [rows[i]["kept_sha256"] for i in range(len(texts))] == [hashlib.sha256(k).hexdigest() for k in kept]
+    assert passage not in "".join(r["text"] for r in rows.values())
+    assert rows[6]["text"] == texts[6] and rows[7]["text"] == "" and rows[3]["text"] == ""
+    assert rows[9]["text"].endswith("\ufffdn") and rows[10]["text"].endswith("\ufffd") and rows[12]["text"] == "n\ufffd" and rows[16]["text"] == texts[16]
+
+
 # SimHash
 
 
